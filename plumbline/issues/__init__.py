@@ -1,7 +1,13 @@
 from .base import Issue, IssueDetector
 from .features import ConstantFeatures, UnnormalisedFeatures
 from .overlap import TrainTestOverlap, overlapping_rows, shared_lineages
-from .shift import CovariateShift, LabelShift, covariate_shift_between_runs, domain_classifier_auc
+from .shift import (
+    AUC_THRESHOLD,
+    CovariateShift,
+    LabelShift,
+    covariate_shift_between_runs,
+    domain_classifier_auc,
+)
 
 # In the order in which they run.
 DETECTORS = {
@@ -13,6 +19,7 @@ DETECTORS = {
 }
 
 __all__ = [
+    "AUC_THRESHOLD",
     "DETECTORS",
     "ConstantFeatures",
     "CovariateShift",

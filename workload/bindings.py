@@ -35,6 +35,15 @@ star AS (
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 )"""
 
+# Every (source, row) of every lineage, repeats included.
+PAIRS_SQL = """
+pairs AS (
+  SELECT split, 0 AS operator_id, o_orderkey AS row_id FROM star
+  UNION ALL SELECT split, 1, c_custkey FROM star
+  UNION ALL SELECT split, 2, n_nationkey FROM star
+  UNION ALL SELECT split, 3, r_regionkey FROM star
+)"""
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -24,7 +24,9 @@ from plumbline.sources import file_position_ids
 from .bindings import (
     LEAK_DATE,
     ORDERS,
+    PAIRS_SQL,
     SPLIT_DATE,
+    STAR_SQL,
     labelled_documents,
     moment,
     orders_pipeline,
@@ -135,10 +137,11 @@ def filter_isin(spark, folder):
     )
 
 
-@query("project_columns", "SELECT p_name, c_custkey AS lineage_id FROM (SELECT c_name AS p_name, c_custkey FROM customer)")
+@query("project_columns", "SELECT c_name AS customer_name, '1:' || c_custkey AS lineage FROM customer")
 def project_columns(spark, folder):
-    only = tracked(spark, folder, "customer").select("c_name").rename({"c_name": "p_name"})
-    return only.df.select("p_name", row_id_of(F.col(LINEAGE), 1).alias("lineage_id"))
+    """The lineage stays although the key is not selected."""
+    only = tracked(spark, folder, "customer").select("c_name").rename({"c_name": "customer_name"})
+    return shown(only, "customer_name")
 
 
 @query("fill_null", "SELECT doc_id, coalesce(nullif(lang, 'de'), '') AS lang, n_chars FROM documents")
@@ -399,11 +402,16 @@ def lineage_roundtrip(spark, folder):
 
 @query(
     "source_roles",
-    """
-    SELECT split, source_id::INTEGER AS source_id, name, role
-    FROM (VALUES (0, 'orders', 'Entities'), (1, 'customer', 'SideData'), (2, 'nation', 'SideData'),
-                 (3, 'region', 'SideData')) AS t(source_id, name, role),
-         (VALUES ('train'), ('test')) AS s(split)
+    f"""
+    WITH {STAR_SQL}, {PAIRS_SQL},
+    fact AS (
+      SELECT split, min(operator_id) AS fact FROM (
+        SELECT split, operator_id FROM pairs GROUP BY ALL HAVING count(*) = count(DISTINCT row_id)
+      ) GROUP BY split
+    )
+    SELECT split, source_id::INTEGER AS source_id, name,
+           CASE WHEN source_id = fact THEN 'Entities' ELSE 'SideData' END AS role
+    FROM fact, (VALUES (0, 'orders'), (1, 'customer'), (2, 'nation'), (3, 'region')) AS t(source_id, name)
     """,
 )
 def source_roles(spark, folder):
