@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashed_ngrams, normalise_array, safe_log
+from ..functions import bind, hashed_ngrams, normalise_array, safe_log
 
 MAX_CATEGORIES = 100_000
 
@@ -97,9 +97,10 @@ class OneHot(Encoder):
         position = F.array_position(F.array(*[F.lit(c) for c in known]), col) if known else F.lit(0)
         if None in categories:
             position = F.when(col.isNull(), F.lit(len(categories))).otherwise(position)
-        return F.transform(
-            F.sequence(F.lit(1), F.lit(len(categories))),
-            lambda i: F.coalesce(i == position, F.lit(False)).cast("double"),
+        places = F.sequence(F.lit(1), F.lit(len(categories)))
+        return bind(
+            F.coalesce(position, F.lit(0)).cast("int"),
+            lambda at: F.transform(places, lambda i: (i == at).cast("double")),
         )
 
 

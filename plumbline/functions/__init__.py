@@ -1,6 +1,7 @@
 from .expressions import (
     add_separator_join,
     binarize,
+    bind,
     hashed_ngrams,
     normalise_array,
     parse_int_array,
@@ -12,6 +13,7 @@ from .expressions import (
 __all__ = [
     "add_separator_join",
     "binarize",
+    "bind",
     "hashed_ngrams",
     "normalise_array",
     "parse_int_array",

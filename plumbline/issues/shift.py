@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.lineage import LINEAGE
 from ..operators.ranking import roc_auc_value
 from ..operators.sampling import split_at_rank
+from ..session import shared_folder
 from .base import Issue, IssueDetector
 
 # Fixed values.
@@ -74,24 +75,27 @@ def domain_classifier_auc(
     """AUC with which a random forest tells held-out rows of ``two`` from those of ``one``.
 
     Both frames hold ``lineage`` and ``features``. The held-out fifth is chosen by hash, exactly.
+    The forest regresses the 0/1 domain: its splits are those of the Gini impurity and its score is
+    the mean share of domain 1 in the leaves. The classifier would merge sibling leaves with the same
+    majority and so lose the scores when one side is much larger.
     """
     both = _with_domain(one, 0.0).unionByName(_with_domain(two, 1.0))
     both = both.persist(StorageLevel.MEMORY_AND_DISK)
+    shared_folder(both.sparkSession)  # the forest checkpoints its node ids there
     try:
         held_out, fitted_on = split_at_rank(both, lambda n: math.ceil(HELD_OUT * n), seed)
-        forest = RandomForestClassifier(
+        forest = RandomForestRegressor(
             featuresCol="vector",
             labelCol="domain",
+            predictionCol="score",
             numTrees=trees,
             maxDepth=depth,
             featureSubsetStrategy="sqrt",
             seed=seed,
             maxMemoryInMB=1024,
+            cacheNodeIds=True,
         ).fit(fitted_on)
-        scored = forest.transform(held_out).select(
-            vector_to_array("probability")[1].alias("score"), "domain"
-        )
-        return roc_auc_value(scored, "score", "domain")
+        return roc_auc_value(forest.transform(held_out), "score", "domain")
     finally:
         both.unpersist()
 

@@ -1,4 +1,13 @@
-from .lineage import LINEAGE, lineage_pairs, lineage_text, merge_lineage, row_id_of, row_ids_of
+from .lineage import (
+    LINEAGE,
+    lineage_entries,
+    lineage_pairs,
+    lineage_text,
+    merge_lineage,
+    row_id_of,
+    row_ids_of,
+    with_source_rows,
+)
 from .ranking import roc_auc, roc_auc_value
 from .sampling import balance_classes, random_split, sample_rows, split_at_rank, temporal_split
 from .tracked import Tracked, track
@@ -7,6 +16,7 @@ __all__ = [
     "LINEAGE",
     "Tracked",
     "balance_classes",
+    "lineage_entries",
     "lineage_pairs",
     "lineage_text",
     "merge_lineage",
@@ -19,4 +29,5 @@ __all__ = [
     "split_at_rank",
     "temporal_split",
     "track",
+    "with_source_rows",
 ]

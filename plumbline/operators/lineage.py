@@ -56,13 +56,27 @@ def row_id_of(lineage: Column, source_id: int) -> Column:
     return F.get(row_ids_of(lineage, source_id), F.lit(0))
 
 
+def lineage_entries(df: DataFrame) -> DataFrame:
+    """(operator_id, row_id) of every entry of every lineage, repeats included.
+
+    The outer form of ``inline`` spares the optimiser's extra filter on the array's size.
+    """
+    return df.select(F.inline_outer(LINEAGE)).filter(F.col("operator_id").isNotNull())
+
+
 def lineage_pairs(df: DataFrame, source_id: int | None = None) -> DataFrame:
     """The distinct (operator_id, row_id) pairs that occur in any row's lineage.
 
     ``distinct`` combines before the shuffle, so a dimension row found in a third of all lineages
     travels once per task.
     """
-    lineage = F.col(LINEAGE)
+    entries = lineage_entries(df)
     if source_id is not None:
-        lineage = F.filter(lineage, lambda e: e["operator_id"] == source_id)
-    return df.select(F.inline(lineage)).distinct()
+        entries = entries.filter(F.col("operator_id") == source_id)
+    return entries.distinct()
+
+
+def with_source_rows(df: DataFrame, source_id: int, name: str) -> DataFrame:
+    """One row per row id of the source in each lineage; rows without one are dropped."""
+    ids = F.explode_outer(row_ids_of(F.col(LINEAGE), source_id)).alias(name)
+    return df.select("*", ids).filter(F.col(name).isNotNull())

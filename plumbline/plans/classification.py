@@ -110,9 +110,14 @@ class ClassificationPipeline:
 
 
 def feature_statistics(df: DataFrame) -> DataFrame:
-    """One row per feature position. Partial sums per task keep the shuffle at d rows per task."""
+    """One row per feature position. Partial sums per task keep the shuffle at d rows per task.
+
+    The outer form of ``posexplode`` spares the filter on the array's size that the optimiser would
+    add: pushed down, it computes the features a second time.
+    """
     return (
-        df.select(F.posexplode("features").alias("pos", "x"))
+        df.select(F.posexplode_outer("features").alias("pos", "x"))
+        .filter(F.col("pos").isNotNull())
         .groupBy("pos")
         .agg(
             F.count("*").alias("n"),

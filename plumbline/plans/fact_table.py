@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import LINEAGE
+from ..operators.lineage import lineage_entries
 from ..operators.tracked import JoinRecord
 
 
@@ -18,7 +18,7 @@ def one_to_one_sources(rows: DataFrame) -> DataFrame:
     Counting per (source, row) first combines within each task, also for very frequent rows.
     """
     return (
-        rows.select(F.inline(LINEAGE))
+        lineage_entries(rows)
         .groupBy("operator_id", "row_id")
         .agg(F.count("*").alias("uses"))
         .groupBy("operator_id")
@@ -38,7 +38,7 @@ def join_usage(joins: Iterable[JoinRecord], exact: bool = False) -> dict[int, in
     for join in joins:
         ids: Iterable[int] = join.source_ids
         if exact:
-            seen = join.output.select(F.inline(LINEAGE)).select("operator_id").distinct()
+            seen = lineage_entries(join.output).select("operator_id").distinct()
             ids = [r["operator_id"] for r in seen.collect()]
         usage.update(ids)
     return dict(usage)

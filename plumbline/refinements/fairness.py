@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import LINEAGE, row_id_of, row_ids_of
+from ..operators.lineage import LINEAGE, row_id_of, with_source_rows
 from .base import Refinement
 
 COUNTS = ("true_positives", "false_negatives", "false_positives", "true_negatives")
@@ -31,9 +31,8 @@ def confusion_by_group(predicted: DataFrame, membership: DataFrame, source_id: i
         .otherwise(COUNTS[3])
     )
     per_row = (
-        predicted.select(
-            F.explode(row_ids_of(F.col(LINEAGE), source_id)).alias("row_id"), outcome.alias("outcome")
-        )
+        with_source_rows(predicted, source_id, "row_id")
+        .select("row_id", outcome.alias("outcome"))
         .groupBy("row_id", "outcome")
         .agg(F.count("*").alias("n"))
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import LINEAGE, row_id_of, row_ids_of
+from ..operators.lineage import LINEAGE, row_id_of, with_source_rows
 from ..operators.ranking import BUCKET, before_in, rank_from_both_ends
 from .base import Refinement
 
@@ -121,8 +121,8 @@ class DataValuation(Refinement):
             .limit(self.num_test_samples)
             .collect()
         )
-        train = pipeline.split("train").select(
-            F.explode(row_ids_of(F.col(LINEAGE), fact)).alias("key"), "features", "label"
+        train = with_source_rows(pipeline.split("train"), fact, "key").select(
+            "key", "features", "label"
         )
         return knn_shapley(train, [(r["features"], r["label"]) for r in first], self.k)
 

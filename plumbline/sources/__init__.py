@@ -1,5 +1,5 @@
 from .identity import file_position_ids, hashed_ids, key_ids
-from .readers import read_delimited, read_indexed_csv, read_plain_csv
+from .readers import read_delimited, read_indexed_csv, read_plain_csv, spread
 
 __all__ = [
     "file_position_ids",
@@ -8,4 +8,5 @@ __all__ = [
     "read_delimited",
     "read_indexed_csv",
     "read_plain_csv",
+    "spread",
 ]

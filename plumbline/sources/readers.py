@@ -11,26 +11,35 @@ def _csv(spark: SparkSession, schema: StructType | str | None, **options):
     return reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
 
 
-def _spread(df: DataFrame, path: str, partitions: int | None) -> DataFrame:
-    # One gzip file is one task; spread its rows before any further work.
-    if partitions is None and str(path).endswith(".gz"):
-        partitions = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(partitions) if partitions else df
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows of a scan over all cores when it has fewer partitions than there are cores.
+
+    For few, large or unsplittable files ahead of costly work per row. A scan of many files is left
+    alone. Filters and column pruning still pass through to the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+
+
+def _unpacked(df: DataFrame, path: str) -> DataFrame:
+    return spread(df, *df.columns) if str(path).endswith(".gz") else df
 
 
 def read_plain_csv(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, partitions: int | None = None
+    spark: SparkSession, path: str, schema: StructType | str | None = None
 ) -> DataFrame:
     """CSV with a header line, plain or gzip-compressed."""
-    return _spread(_csv(spark, schema, header=True, multiLine=False).csv(path), path, partitions)
+    return _unpacked(_csv(spark, schema, header=True).csv(path), path)
 
 
 def read_indexed_csv(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, partitions: int | None = None
+    spark: SparkSession, path: str, schema: StructType | str | None = None
 ) -> DataFrame:
     """CSV with a header line whose first column is a row index and not an attribute."""
     df = _csv(spark, schema, header=True).csv(path)
-    return _spread(df.drop(df.columns[0]), path, partitions)
+    return _unpacked(df.drop(df.columns[0]), path)
 
 
 def read_delimited(

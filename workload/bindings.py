@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.features import ArrayFeature, FeatureBlock, FeaturePlan, HashNgrams, OneHot, StandardScale
 from plumbline.functions import binarize
 from plumbline.operators import Tracked, random_split, temporal_split, track
+from plumbline.sources import spread
 from plumbline.plans import ClassificationPipeline, build_classification
 
 SPLIT_DATE = "1999-12-31"
@@ -49,19 +50,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tracked(spark: SparkSession, folder: str, name: str) -> Tracked:
+def tracked(spark: SparkSession, folder: str, name: str, spread_rows: bool = False) -> Tracked:
     source_id, key = KEYS[name]
-    return track(table(spark, folder, name), source_id, name, key=key)
+    rows = table(spark, folder, name)
+    return track(spread(rows, key) if spread_rows else rows, source_id, name, key=key)
 
 
 def moment(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def orders_star(spark: SparkSession, folder: str) -> Tracked:
+def orders_star(spark: SparkSession, folder: str, spread_rows: bool = False) -> Tracked:
     """Orders with their customer, nation and region."""
     return (
-        tracked(spark, folder, "orders")
+        tracked(spark, folder, "orders", spread_rows)
         .join(tracked(spark, folder, "customer"), left_on="o_custkey", right_on="c_custkey")
         .join(tracked(spark, folder, "nation"), left_on="c_nationkey", right_on="n_nationkey")
         .join(tracked(spark, folder, "region"), left_on="n_regionkey", right_on="r_regionkey")
@@ -86,7 +88,9 @@ def orders_pipeline(
     cache: bool = True,
 ) -> ClassificationPipeline:
     """Predict expensive orders; split by date. ``change_test`` may plant an error in the test rows."""
-    train, test = temporal_split(orders_star(spark, folder), "o_orderdate", moment(SPLIT_DATE))
+    train, test = temporal_split(
+        orders_star(spark, folder, spread_rows=cache), "o_orderdate", moment(SPLIT_DATE)
+    )
     if change_test is not None:
         test = change_test(test)
     is_expensive = binarize(F.col("o_totalprice") > 250000, [False, True])
@@ -107,7 +111,8 @@ def leaky_pipeline(spark: SparkSession, folder: str) -> ClassificationPipeline:
 
 
 def labelled_documents(spark: SparkSession, folder: str) -> Tracked:
-    return tracked(spark, folder, "documents").join(tracked(spark, folder, "labels"), on="doc_id")
+    documents = tracked(spark, folder, "documents", spread_rows=True)
+    return documents.join(tracked(spark, folder, "labels"), on="doc_id")
 
 
 def text_pipeline(spark: SparkSession, folder: str, fit) -> ClassificationPipeline:
@@ -121,14 +126,14 @@ def text_pipeline(spark: SparkSession, folder: str, fit) -> ClassificationPipeli
 
 def vector_pipeline(spark: SparkSession, folder: str) -> ClassificationPipeline:
     """Embeddings as features; the label tells high class numbers from low ones."""
-    train, test = random_split(tracked(spark, folder, "embeddings"), 0.2, seed=1337)
+    train, test = random_split(tracked(spark, folder, "embeddings", True), 0.2, seed=1337)
     plan = FeaturePlan([FeatureBlock(["embedding"], [ArrayFeature()])])
     return build_classification(train, test, plan, F.col("label") >= 5)
 
 
 def events_pipeline(spark: SparkSession, folder: str, start: str) -> ClassificationPipeline:
     """Predict purchases from the event's value and its hour, from a start date on."""
-    events = tracked(spark, folder, "events").filter_between("ts", low=moment(start))
+    events = tracked(spark, folder, "events", True).filter_between("ts", low=moment(start))
     events = events.with_column("hour", F.hour("ts"))
     train, test = random_split(events, 0.2, seed=3, exact=False)
     plan = FeaturePlan([FeatureBlock(["value", "hour"], [StandardScale()])])

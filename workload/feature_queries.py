@@ -20,6 +20,7 @@ from plumbline.functions import binarize, hashed_ngrams
 from plumbline.operators import LINEAGE, row_id_of, temporal_split
 from plumbline.plans import fit_linear, fit_network
 from plumbline.plans.classification import accuracy
+from plumbline.sources import spread
 
 from .bindings import (
     ORDERS,
@@ -132,7 +133,7 @@ def hash_ngrams(spark, folder):
     """Signed 1- to 3-gram counts of whole texts in 100 hash buckets."""
     counts = hashed_ngrams(F.col("text"), normalise=False)
     return (
-        table(spark, folder, "documents")
+        spread(table(spark, folder, "documents"), "doc_id")
         .select("doc_id", F.posexplode(counts).alias("bucket", "value"))
         .filter(F.col("value") != 0)
     )
@@ -148,7 +149,7 @@ def hash_ngrams(spark, folder):
 )
 def hash_ngrams_normalised(spark, folder):
     return (
-        table(spark, folder, "documents")
+        spread(table(spark, folder, "documents"), "doc_id")
         .select("doc_id", F.posexplode(hashed_ngrams(F.col("text"))).alias("bucket", "value"))
         .filter(F.col("value") != 0)
         .withColumn("value", F.round("value", 6))
