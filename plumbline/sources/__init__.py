@@ -1,10 +1,11 @@
-from .identity import file_position_ids, hashed_ids, key_ids
+from .identity import file_position_ids, hashed_ids, key_ids, landed_ids
 from .readers import read_delimited, read_indexed_csv, read_plain_csv, spread
 
 __all__ = [
     "file_position_ids",
     "hashed_ids",
     "key_ids",
+    "landed_ids",
     "read_delimited",
     "read_indexed_csv",
     "read_plain_csv",

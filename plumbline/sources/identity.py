@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
+
 ROW_ID = "__row_id"
 
 # Above this number of files the offset table is joined by a shuffle instead of a broadcast.
@@ -52,3 +54,10 @@ def file_position_ids(spark: SparkSession, path: str) -> DataFrame:
     return located.join(offsets, "__file").select(
         *[F.col(c) for c in columns], (F.col("__index") + F.col("__offset")).alias(ROW_ID)
     )
+
+
+def landed_ids(df: DataFrame) -> DataFrame:
+    """Write a frame without any key to the shared folder as Parquet, and use the positions there."""
+    path = fresh_path(df.sparkSession, "landed")
+    df.write.parquet(path)
+    return file_position_ids(df.sparkSession, path)

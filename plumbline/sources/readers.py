@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .identity import ROW_ID
+
 
 def _csv(spark: SparkSession, schema: StructType | str | None, **options):
     reader = spark.read.options(**options)
@@ -35,11 +38,19 @@ def read_plain_csv(
 
 
 def read_indexed_csv(
-    spark: SparkSession, path: str, schema: StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    index_as_row_id: bool = False,
 ) -> DataFrame:
-    """CSV with a header line whose first column is a row index and not an attribute."""
+    """CSV with a header line whose first column is a row index and not an attribute.
+
+    A unique integral index can serve as the row id of ``track``.
+    """
     df = _csv(spark, schema, header=True).csv(path)
-    return _unpacked(df.drop(df.columns[0]), path)
+    index, *attributes = (F.col(f"`{c}`") for c in df.columns)
+    row_id = [index.cast("bigint").alias(ROW_ID)] if index_as_row_id else []
+    return _unpacked(df.select(*attributes, *row_id), path)
 
 
 def read_delimited(
