@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +28,17 @@ def row_hash(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), lineage_text(F.col(LINEAGE))))
 
 
-def split_at_rank(
-    df: DataFrame, n: int | Callable[[int], int], seed: int
-) -> tuple[DataFrame, DataFrame]:
-    """Split into the first ``n`` rows in hash order and the rest. Both together are all rows.
+@dataclass(frozen=True)
+class Cut:
+    """The first rows in hash order: those in ``head``, and ``copies`` of the equal rows in ``edge``."""
+
+    head: Column
+    edge: Column | None = None
+    copies: int = 0
+
+
+def find_cut(df: DataFrame, n: int | Callable[[int], int], seed: int) -> Cut:
+    """Where the first ``n`` rows in hash order end.
 
     ``n`` may be a function of the number of rows, which the first counts give for free.
     """
@@ -49,9 +56,9 @@ def split_at_rank(
             rows = sum(size for _, size in sizes)
             wanted = n(rows) if callable(n) else n
             if wanted <= 0:
-                return df.limit(0), df
+                return Cut(F.lit(False))
             if wanted >= rows:
-                return df, df.limit(0)
+                return Cut(F.lit(True))
         for prefix, size in sizes:
             if wanted <= size:
                 break
@@ -61,12 +68,8 @@ def split_at_rank(
 
     # Equal lineages share a hash, so the boundary lies between distinct (hash, lineage) values, or
     # inside one of them when rows of the same lineage repeat.
-    candidates = (
-        hashed.filter(F.col(_HASH).startswith(prefix)).groupBy(_HASH, _TEXT).count()
-        .orderBy(_HASH, _TEXT)
-        .limit(_SMALL)
-        .collect()
-    )
+    within = hashed.filter(F.col(_HASH).startswith(prefix))
+    candidates = within.groupBy(_HASH, _TEXT).count().orderBy(_HASH, _TEXT).limit(_SMALL).collect()
     for last in candidates:
         if wanted <= last["count"]:
             break
@@ -75,14 +78,27 @@ def split_at_rank(
         raise RuntimeError("too many different lineages share one md5")
 
     hash_now, text_now = row_hash(seed), lineage_text(F.col(LINEAGE))
-    edge = F.lit(last[_HASH])
-    before = (hash_now < edge) | ((hash_now == edge) & (text_now < F.lit(last[_TEXT])))
-    at_edge = (hash_now == edge) & (text_now == F.lit(last[_TEXT]))
+    here = hash_now == F.lit(last[_HASH])
+    before = (hash_now < F.lit(last[_HASH])) | (here & (text_now < F.lit(last[_TEXT])))
+    edge = here & (text_now == F.lit(last[_TEXT]))
     if wanted == last["count"]:
-        return df.filter(before | at_edge), df.filter(~(before | at_edge))
-    head, tail = _split_copies(df.filter(at_edge), wanted)
-    after = df.filter(~(before | at_edge))
-    return df.filter(before).unionByName(head), after.unionByName(tail)
+        return Cut(before | edge)
+    return Cut(before, edge, wanted)
+
+
+def split_at_rank(
+    df: DataFrame, n: int | Callable[[int], int], seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """Split into the first ``n`` rows in hash order and the rest. Both together are all rows."""
+    return _apply(df, find_cut(df, n, seed))
+
+
+def _apply(df: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
+    if cut.edge is None:
+        return df.filter(cut.head), df.filter(~cut.head)
+    head, tail = _split_copies(df.filter(cut.edge), cut.copies)
+    after = df.filter(~(cut.head | cut.edge))
+    return df.filter(cut.head).unionByName(head), after.unionByName(tail)
 
 
 def _split_copies(df: DataFrame, wanted: int) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +123,7 @@ def _split_copies(df: DataFrame, wanted: int) -> tuple[DataFrame, DataFrame]:
 
 def sample_rows(frame: Tracked, n: int, seed: int = 42) -> Tracked:
     """Exactly ``n`` rows without replacement."""
-    return replace(frame, df=split_at_rank(frame.df, n, seed)[0])
+    return frame.with_rows(split_at_rank(frame.df, n, seed)[0])
 
 
 def balance_classes(frame: Tracked, is_kept: Column, seed: int = 42) -> Tracked:
@@ -124,11 +140,14 @@ def random_split(
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
     if exact:
-        test, train = split_at_rank(frame.df, lambda rows: math.ceil(test_size * rows), seed)
+        cut = find_cut(frame.df, lambda rows: math.ceil(test_size * rows), seed)
+        if cut.edge is not None:
+            test, train = _apply(frame.df, cut)
+            return frame.with_rows(train), frame.with_rows(test)
+        is_test = cut.head
     else:
         is_test = row_hash(seed) < F.lit(f"{int(test_size * 16**8):08x}")
-        train, test = frame.df.filter(~is_test), frame.df.filter(is_test)
-    return replace(frame, df=train), replace(frame, df=test)
+    return frame.branched(~is_test), frame.branched(is_test)
 
 
 def temporal_split(
@@ -137,4 +156,4 @@ def temporal_split(
     """(train, test): up to the date, and after it. ``overlap`` plants a leak: the date is in both."""
     moment = F.col(column)
     late = moment >= F.lit(split_date) if overlap else moment > F.lit(split_date)
-    return frame.filter(moment <= F.lit(split_date)), frame.filter(late)
+    return frame.branched(moment <= F.lit(split_date)), frame.branched(late)

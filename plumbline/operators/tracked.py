@@ -26,6 +26,14 @@ class JoinRecord:
     output: DataFrame = field(compare=False, repr=False)
 
 
+@dataclass(frozen=True)
+class Branch:
+    """The frame is ``parent`` filtered by ``condition``: splits of one frame can be read in one pass."""
+
+    parent: DataFrame
+    condition: Column
+
+
 @dataclass(frozen=True)
 class Tracked:
     """A DataFrame with a lineage column, the sources it reads and the joins it went through.
@@ -38,6 +46,15 @@ class Tracked:
     sources: Mapping[int, DataFrame]
     names: Mapping[int, str]
     joins: frozenset[JoinRecord] = frozenset()
+    branch: Branch | None = field(default=None, compare=False, repr=False)
+
+    def with_rows(self, df: DataFrame) -> Tracked:
+        """The same provenance over other rows."""
+        return replace(self, df=df, branch=None)
+
+    def branched(self, condition: Column) -> Tracked:
+        rows = self.df.filter(condition)
+        return replace(self, df=rows, branch=Branch(self.df, condition))
 
     @property
     def source_ids(self) -> frozenset[int]:
@@ -52,12 +69,12 @@ class Tracked:
         result = step(self.df)
         if LINEAGE not in result.columns:
             raise ValueError(f"the step dropped the column {LINEAGE!r}")
-        return replace(self, df=result)
+        return self.with_rows(result)
 
     # ---- row selection
 
     def filter(self, condition: Column | str) -> Tracked:
-        return replace(self, df=self.df.filter(condition))
+        return self.with_rows(self.df.filter(condition))
 
     def filter_equal(self, column: str, value) -> Tracked:
         return self.filter(F.col(column) == F.lit(value))
@@ -84,22 +101,22 @@ class Tracked:
     # ---- columns
 
     def select(self, *columns: str | Column) -> Tracked:
-        return replace(self, df=self.df.select(*columns, F.col(LINEAGE)))
+        return self.with_rows(self.df.select(*columns, F.col(LINEAGE)))
 
     def with_column(self, name: str, value: Column) -> Tracked:
         if name == LINEAGE:
             raise ValueError(f"{LINEAGE!r} is reserved")
-        return replace(self, df=self.df.withColumn(name, value))
+        return self.with_rows(self.df.withColumn(name, value))
 
     def drop(self, *columns: str) -> Tracked:
-        return replace(self, df=self.df.drop(*[c for c in columns if c != LINEAGE]))
+        return self.with_rows(self.df.drop(*[c for c in columns if c != LINEAGE]))
 
     def rename(self, mapping: Mapping[str, str]) -> Tracked:
-        return replace(self, df=self.df.withColumnsRenamed(dict(mapping)))
+        return self.with_rows(self.df.withColumnsRenamed(dict(mapping)))
 
     def fill_null(self, columns: Sequence[str], value) -> Tracked:
-        return replace(
-            self, df=self.df.withColumns({c: F.coalesce(F.col(c), F.lit(value)) for c in columns})
+        return self.with_rows(
+            self.df.withColumns({c: F.coalesce(F.col(c), F.lit(value)) for c in columns})
         )
 
     def concat_text(self, name: str, columns: Sequence[str], separator: str = " ") -> Tracked:

@@ -150,19 +150,10 @@ def build_classification(
     features, which are derived from them on the fly.
     """
     labels = label if isinstance(label, tuple) else (label, label)
-    extra = [] if prediction is None else [prediction.cast("double").alias("prediction")]
-    kept = [F.col(f"`{c}`") for c in dict.fromkeys([*features.columns, *carry])]
-
-    def needed(frame: Tracked, split: str, label_value: Column) -> DataFrame:
-        return frame.df.select(
-            F.lit(split).alias("split"),
-            F.col(LINEAGE),
-            *kept,
-            label_value.cast("double").alias("label"),
-            *extra,
-        )
-
-    rows = needed(train, "train", labels[0]).unionByName(needed(test, "test", labels[1]))
+    wanted = [F.col(f"`{c}`") for c in dict.fromkeys([*features.columns, *carry])]
+    if prediction is not None:
+        wanted.append(prediction.cast("double").alias("prediction"))
+    rows = _both_splits(train, test, labels, wanted)
     cached = []
     if cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -174,8 +165,8 @@ def build_classification(
         LINEAGE,
         encoded.alias("features"),
         "label",
-        *["prediction" for _ in extra],
-        *[c for c in carry],
+        *([] if prediction is None else ["prediction"]),
+        *carry,
     )
     model = None
     if fit is not None:
@@ -191,6 +182,35 @@ def build_classification(
     )
 
 
+def _both_splits(
+    train: Tracked, test: Tracked, labels: tuple[Column, Column], columns: Sequence[Column]
+) -> DataFrame:
+    """``(split, lineage, columns, label)`` of both splits.
+
+    Splits that are filters of one frame are cut out of a single pass over it; a row that satisfies
+    both filters comes out twice. Others are put together by a union.
+    """
+
+    def needed(df: DataFrame, split: Column, label: Column) -> DataFrame:
+        chosen = [split.alias("split"), F.col(LINEAGE), *columns, label.cast("double").alias("label")]
+        return df.select(*chosen)
+
+    one, other = train.branch, test.branch
+    if one is None or other is None or one.parent is not other.parent:
+        first = needed(train.df, F.lit("train"), labels[0])
+        return first.unionByName(needed(test.df, F.lit("test"), labels[1]))
+    in_split = F.array_compact(
+        F.array(
+            F.when(one.condition, F.lit("train")), F.when(other.condition, F.lit("test"))
+        )
+    )
+    rows = one.parent.filter(one.condition | other.condition)
+    rows = rows.select("*", F.explode_outer(in_split).alias("__split"))
+    split = F.col("__split")
+    label = labels[0] if labels[0] is labels[1] else F.when(split == "train", labels[0]).otherwise(labels[1])
+    return needed(rows, split, label)
+
+
 def accuracy(outputs: DataFrame) -> DataFrame:
     """Share of test rows whose prediction equals the label, as one row ``accuracy``."""
     hit = (F.col("prediction") == F.col("label")).cast("double")

@@ -30,7 +30,7 @@ def review_files(tmp_path_factory):
     rng = random.Random(11)
     reviews, ratings = [], []
     for i in range(1200):
-        day = f"2015-{1 + i % 12:02d}-{1 + i % 28:02d}"
+        day = "2015-07-31" if i % 50 == 6 else f"2015-{1 + i % 12:02d}-{1 + i % 28:02d}"
         words = [" ".join(rng.choices(WORDS, k=n)) if rng.random() > 0.1 else None for n in (3, 9)]
         reviews.append(
             (i, f"r{i}", f"p{rng.randrange(40)}", "Y" if i % 9 else "N", "US" if i % 11 else "DE", day,
