@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..session import materialise, shuffle_partitions
 
@@ -22,7 +23,7 @@ def range_buckets(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return df.repartitionByRange(parts, *order).withColumn(BUCKET, F.spark_partition_id())
 
 
-def before_in(order: Column, group: Sequence[str] = ()) -> W:
+def before_in(order: Column, group: Sequence[str] = ()) -> WindowSpec:
     return W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
 
 
@@ -56,27 +57,34 @@ def roc_auc_value(df: DataFrame, score: str, label: str) -> float | None:
     return roc_auc(df, score, label).first()["auc"]
 
 
-def rank_from_both_ends(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], keep: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Global positions per group, without putting a group into one task.
+def from_end_window(group: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """Within a bucket of ``global_ranks``, from the last row to the first."""
+    return W.partitionBy(*group, BUCKET).orderBy(*[F.col(c).desc() for c in order])
 
-    Gives ``(rows, ranges)``. ``rows`` has the group, ``keep``, the bucket and ``from_end``, the
-    position within the bucket counted from its end. ``ranges`` has, per group and bucket, ``size``,
-    ``before`` (rows in earlier buckets) and ``total`` (rows of the group); it holds at most one row
-    per shuffle partition plus one per group. The rank of a row is ``before + size - from_end + 1``.
+
+def global_ranks(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``rank`` (1 for the first row of its group), ``total`` (rows of the group) and a bucket.
+
+    No group is put into one task. The rows are range-partitioned and written once, so that bucket
+    numbers hold; a row's rank is its place in its bucket plus the sizes of the buckets before. Those
+    sizes are at most one row per shuffle partition plus one per group. The result is partitioned and
+    sorted as ``from_end_window`` wants it.
     """
-    window = W.partitionBy(*group, BUCKET).orderBy(*[F.col(c).desc() for c in order])
-    rows = materialise(
-        range_buckets(df, [*group, *order])
-        .withColumn("from_end", F.row_number().over(window))
-        .select(*group, BUCKET, *keep, "from_end")
+    rows = materialise(range_buckets(df, [*group, *order]))
+    ranges = (
+        rows.groupBy(*group, BUCKET)
+        .agg(F.count("*").alias("size"))
+        .withColumns(
+            {
+                "before": F.coalesce(F.sum("size").over(before_in(F.col(BUCKET), group)), F.lit(0)),
+                "total": F.sum("size").over(W.partitionBy(*group)),
+            }
+        )
     )
-    sizes = rows.groupBy(*group, BUCKET).agg(F.count("*").alias("size"))
-    ranges = sizes.withColumns(
-        {
-            "before": F.coalesce(F.sum("size").over(before_in(F.col(BUCKET), group)), F.lit(0)),
-            "total": F.sum("size").over(W.partitionBy(*group)),
-        }
+    from_end = F.row_number().over(from_end_window(group, order))
+    return (
+        rows.withColumn("from_end", from_end)
+        .join(F.broadcast(ranges), [*group, BUCKET])
+        .withColumn("rank", F.col("before") + F.col("size") - F.col("from_end") + 1)
+        .drop("from_end", "before", "size")
     )
-    return rows, ranges

@@ -153,7 +153,7 @@ def build_classification(
     wanted = [F.col(f"`{c}`") for c in dict.fromkeys([*features.columns, *carry])]
     if prediction is not None:
         wanted.append(prediction.cast("double").alias("prediction"))
-    rows = _both_splits(train, test, labels, wanted)
+    rows = _both_splits(train, test, labels, wanted, once=cache)
     cached = []
     if cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -183,12 +183,17 @@ def build_classification(
 
 
 def _both_splits(
-    train: Tracked, test: Tracked, labels: tuple[Column, Column], columns: Sequence[Column]
+    train: Tracked,
+    test: Tracked,
+    labels: tuple[Column, Column],
+    columns: Sequence[Column],
+    once: bool,
 ) -> DataFrame:
     """``(split, lineage, columns, label)`` of both splits.
 
-    Splits that are filters of one frame are cut out of a single pass over it; a row that satisfies
-    both filters comes out twice. Others are put together by a union.
+    With ``once``, splits that are filters of one frame are cut out of a single pass over it; a row
+    that satisfies both filters comes out twice. Otherwise they are put together by a union, through
+    which a later choice of one split still reaches the scan.
     """
 
     def needed(df: DataFrame, split: Column, label: Column) -> DataFrame:
@@ -196,7 +201,7 @@ def _both_splits(
         return df.select(*chosen)
 
     one, other = train.branch, test.branch
-    if one is None or other is None or one.parent is not other.parent:
+    if not once or one is None or other is None or one.parent is not other.parent:
         first = needed(train.df, F.lit("train"), labels[0])
         return first.unionByName(needed(test.df, F.lit("test"), labels[1]))
     in_split = F.array_compact(

@@ -17,10 +17,11 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.lineage import LINEAGE, row_id_of, with_source_rows
-from ..operators.ranking import BUCKET, before_in, rank_from_both_ends
+from ..operators.ranking import BUCKET, before_in, from_end_window, global_ranks
 from .base import Refinement
 
 MAX_SAMPLE_VALUES = 20_000_000  # numbers in the test sample that each task gets
@@ -60,26 +61,24 @@ def knn_shapley(train: DataFrame, sample: Sequence[tuple[Sequence[float], float]
     pairs = train.select(
         "key", "label", F.posexplode(distances_to(matrix)("features")).alias("test", "dist")
     )
-    rows, ranges = rank_from_both_ends(pairs, ["test"], ["dist", "key", "label"], ["key", "label"])
-    on = ["test", BUCKET]
-    rank = F.col("before") + F.col("size") - F.col("from_end") + 1
-    hit = (F.col("label") == F.get(sample_labels, F.col("test"))).cast("double")
+    group, order = ["test"], ["dist", "key", "label"]
+    on = [*group, BUCKET]
     weight, weight_before = _weight(F.col("rank"), k), _weight(F.col("rank") - 1, k)
+    step = F.when(F.col("rank") > 1, F.col("hit") * (weight - weight_before)).otherwise(0.0)
     ranked = (
-        rows.join(F.broadcast(ranges), on)
-        .withColumn("rank", rank)
-        .withColumn("hit", hit)
-        .withColumn("step", F.when(F.col("rank") > 1, F.col("hit") * (weight - weight_before)).otherwise(0.0))
+        global_ranks(pairs, group, order)
+        .withColumn("hit", (F.col("label") == F.get(sample_labels, F.col("test"))).cast("double"))
+        .withColumn("step", step)
     )
-    later = F.coalesce(F.sum("step").over(before_in(F.col(BUCKET).desc(), ["test"])), F.lit(0.0))
-    later_ranges = (
+    later = F.coalesce(F.sum("step").over(before_in(F.col(BUCKET).desc(), group)), F.lit(0.0))
+    later_buckets = (
         ranked.groupBy(*on).agg(F.sum("step").alias("step")).select(*on, later.alias("later"))
     )
-    within = F.coalesce(F.sum("step").over(before_in(F.col("from_end"), on)), F.lit(0.0))
+    behind = from_end_window(group, order).rowsBetween(W.unboundedPreceding, -1)
     value = F.col("hit") * weight + F.col("within") + F.col("later")
     return (
-        ranked.withColumn("within", within)
-        .join(F.broadcast(later_ranges), on)
+        ranked.withColumn("within", F.coalesce(F.sum("step").over(behind), F.lit(0.0)))
+        .join(F.broadcast(later_buckets), on)
         .groupBy("key")
         .agg((F.sum(value) / len(sample)).alias("shapley_value"))
     )
