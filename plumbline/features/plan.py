@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .encoders import Encoder
 
 
+COLLECTED_COUNTS = 200_000
+
+
 @dataclass(frozen=True)
 class FeatureBlock:
     """Columns that go through the same chain of encoders."""
@@ -57,11 +61,13 @@ class FeaturePlan:
         return list(dict.fromkeys(c for b in self.blocks for c in b.columns))
 
     def fit(self, train: DataFrame) -> FittedFeatures:
-        """Learn from the training rows: at most one job for aggregates, and one per counting
-        encoder, for each place in the chains."""
+        """Learn from the training rows: at each place in the chains one job for all aggregates, and
+        one for all counts by value. Counts of a column that were small enough to collect also serve
+        the next encoder of its chain."""
         chains = [(c, list(b.chain)) for b in self.blocks for c in b.columns]
         current: list[Column] = [F.col(f"`{c}`") for c, _ in chains]
         learned: dict = {}
+        counts: dict[int, DataFrame] = {}
         for place in range(max((len(chain) for _, chain in chains), default=0)):
             active = [i for i, (_, chain) in enumerate(chains) if place < len(chain)]
             wanted = {
@@ -72,6 +78,9 @@ class FeaturePlan:
             row = (
                 train.agg(*[agg.alias(key) for key, agg in wanted.items()]).first() if wanted else {}
             )
+            counting = [i for i in active if chains[i][1][place].needs_counts]
+            missing = [i for i in counting if i not in counts]
+            counts |= value_counts(train, {i: current[i] for i in missing})
             for i in active:
                 column, chain = chains[i]
                 encoder = chain[place]
@@ -79,12 +88,46 @@ class FeaturePlan:
                     key.split(".", 1)[1]: row[key] for key in wanted if key.startswith(f"{i}.")
                 }
                 if encoder.needs_counts:
-                    counts = train.groupBy(current[i].alias("value")).agg(F.count("*").alias("n"))
-                    values = encoder.learn_counts(counts)
+                    values = encoder.learn_counts(counts[i])
                 learned[(column, place)] = values
                 current[i] = encoder.expression(current[i], values)
+                known = counts.pop(i, None)
+                if known is not None and not encoder.is_array:
+                    value = encoder.expression(F.col("value"), values)
+                    counts[i] = known.groupBy(value.alias("value")).agg(F.sum("n").alias("n"))
         parts = [
             (column, current[i], chain[-1].is_array if chain else False)
             for i, (column, chain) in enumerate(chains)
         ]
         return FittedFeatures(parts, learned)
+
+
+def value_counts(rows: DataFrame, columns: Mapping[int, Column]) -> dict[int, DataFrame]:
+    """``(value, n)`` for each column, all counted in one pass by grouping sets.
+
+    Up to ``COLLECTED_COUNTS`` values in all are held as local rows; more stay distributed.
+    """
+    if not columns:
+        return {}
+    names = {i: f"c{i}" for i in columns}
+    chosen = rows.select(*[col.alias(names[i]) for i, col in columns.items()])
+    keys = list(names.values())
+    # The set number tells the columns apart, also where their values are null.
+    sets = (
+        chosen.groupingSets([[k] for k in keys], *keys)
+        .agg(F.count("*").alias("n"), F.grouping_id().alias("set"))
+    )
+    set_of = {i: sum(1 << (len(keys) - 1 - at) for at in range(len(keys)) if at != place)
+              for place, i in enumerate(names)}
+    collected = sets.limit(COLLECTED_COUNTS + 1).collect()
+    result = {}
+    for i, name in names.items():
+        if len(collected) > COLLECTED_COUNTS:
+            part = sets.filter(F.col("set") == set_of[i]).select(F.col(name).alias("value"), "n")
+        else:
+            mine = [(r[name], r["n"]) for r in collected if r["set"] == set_of[i]]
+            kind = chosen.schema[name].dataType
+            schema = StructType([StructField("value", kind), StructField("n", LongType())])
+            part = rows.sparkSession.createDataFrame(mine, schema)
+        result[i] = part
+    return result

@@ -133,3 +133,17 @@ def test_small_expressions(spark):
     assert [r[2] for r in got] == [True, False, False]
     with pytest.raises(ValueError):
         binarize(F.col("b"), [True])
+
+
+@pytest.mark.parametrize("collected", [0, 1000])
+def test_counts_of_several_columns_in_one_pass(spark, rows, monkeypatch, collected):
+    monkeypatch.setattr("plumbline.features.plan.COLLECTED_COUNTS", collected)
+    values = fitted(
+        rows.withColumn("d", F.col("id") % 2),
+        FeatureBlock(["c"], [ImputeMode(), OneHot()]),
+        FeatureBlock(["d"], [OneHot()]),
+        FeatureBlock(["x"], [ImputeMode()]),
+    )
+    # x has four different values once each: the smallest fills the gap
+    assert values[1] == [1.0, 0.0, 1.0, 0.0, 0.0]
+    assert values[0] == [0.0, 1.0, 0.0, 1.0, 1.0]
