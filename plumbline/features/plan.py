@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -125,9 +126,10 @@ def value_counts(rows: DataFrame, columns: Mapping[int, Column]) -> dict[int, Da
         if len(collected) > COLLECTED_COUNTS:
             part = sets.filter(F.col("set") == set_of[i]).select(F.col(name).alias("value"), "n")
         else:
-            mine = [(r[name], r["n"]) for r in collected if r["set"] == set_of[i]]
+            mine = [r for r in collected if r["set"] == set_of[i]]
             kind = chosen.schema[name].dataType
             schema = StructType([StructField("value", kind), StructField("n", LongType())])
-            part = rows.sparkSession.createDataFrame(mine, schema)
+            local = pa.table({"value": [r[name] for r in mine], "n": [r["n"] for r in mine]})
+            part = rows.sparkSession.createDataFrame(local, schema)
         result[i] = part
     return result

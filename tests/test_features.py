@@ -147,3 +147,9 @@ def test_counts_of_several_columns_in_one_pass(spark, rows, monkeypatch, collect
     # x has four different values once each: the smallest fills the gap
     assert values[1] == [1.0, 0.0, 1.0, 0.0, 0.0]
     assert values[0] == [0.0, 1.0, 0.0, 1.0, 1.0]
+
+
+def test_counts_keep_their_types(spark):
+    df = spark.sql("select 1 id, cast(3 as int) i, cast(null as string) s, true b, cast(1.5 as float) f, date'2020-01-01' d")
+    blocks = [FeatureBlock([c], [OneHot()]) for c in ("i", "s", "b", "f", "d")]
+    assert fitted(df, *blocks) == [[1.0] * 5]
