@@ -8,7 +8,7 @@ encoders that stand at the same place of their chains.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,10 @@ class Encoder:
     needs_counts = False
     is_array = False
 
+    def arguments(self) -> dict[str, str]:
+        """The settings given by the user, for the run's parameters."""
+        return {f.name: _shown(getattr(self, f.name)) for f in fields(self)} if is_dataclass(self) else {}
+
     def aggregates(self, col: Column) -> dict[str, Column]:
         return {}
 
@@ -137,5 +141,9 @@ class Apply(Encoder):
         return self.function(col)
 
 
+def _shown(setting) -> str:
+    return getattr(setting, "__name__", None) or str(setting)
+
+
 def _number(col: Column) -> Column:
     return col.cast("double")

@@ -61,6 +61,14 @@ class FeaturePlan:
     def columns(self) -> list[str]:
         return list(dict.fromkeys(c for b in self.blocks for c in b.columns))
 
+    def described(self) -> list[tuple[str, dict[str, str]]]:
+        """(type, arguments) of every encoder in order, with the columns it works on."""
+        return [
+            (type(encoder).__name__, {"columns": ",".join(b.columns), **encoder.arguments()})
+            for b in self.blocks
+            for encoder in b.chain
+        ]
+
     def fit(self, train: DataFrame) -> FittedFeatures:
         """Learn from the training rows: at each place in the chains one job for all aggregates, and
         one for all counts by value. Counts of a column that were small enough to collect also serve

@@ -58,6 +58,7 @@ class ClassificationPipeline:
     model: Model | None = None
     cached: list[DataFrame] = field(default_factory=list)
     known_facts: dict[str, int] = field(default_factory=dict)
+    preprocessing: list[tuple[str, dict[str, str]]] = field(default_factory=list)
 
     def split(self, split: str) -> DataFrame:
         if split not in SPLITS:
@@ -179,6 +180,7 @@ def build_classification(
         train.joins | test.joins,
         model,
         cached,
+        preprocessing=features.described(),
     )
 
 

@@ -16,7 +16,11 @@ def with_vector(df: DataFrame) -> DataFrame:
 
 
 def fit_linear(
-    train: DataFrame, penalty: str = "l1", strength: float = 1e-4, max_iter: int = 100
+    train: DataFrame,
+    penalty: str = "l1",
+    strength: float = 1e-4,
+    max_iter: int = 1000,
+    tolerance: float = 1e-4,
 ) -> Model:
     """Logistic regression with an L1 or L2 penalty."""
     if penalty not in ("l1", "l2"):
@@ -27,6 +31,7 @@ def fit_linear(
         elasticNetParam=1.0 if penalty == "l1" else 0.0,
         regParam=strength,
         maxIter=max_iter,
+        tol=tolerance,
         standardization=False,
     )
     return learner.fit(with_vector(train))

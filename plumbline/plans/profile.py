@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from .classification import SPLITS, ClassificationPipeline
 
 
 def pipeline_profile(pipeline: ClassificationPipeline) -> list[tuple[str, str]]:
-    """Role, rows, attributes and types of every source; rows and features of X_train and X_test."""
+    """Role, rows, attributes and types of every source; rows and features of X_train and X_test; the
+    encoders with their arguments."""
     rows: list[tuple[str, str]] = []
     counts: dict[int, int] = {}
     for split in SPLITS:
@@ -34,4 +37,7 @@ def pipeline_profile(pipeline: ClassificationPipeline) -> list[tuple[str, str]]:
         shape = shapes.get(split)
         rows.append((f"X_{split}.num_rows", str(shape["n"] if shape else 0)))
         rows.append((f"X_{split}.num_features", str(shape["d"] if shape else 0)))
+    for number, (kind, arguments) in enumerate(pipeline.preprocessing):
+        rows.append((f"preprocessing.{number}.type", kind))
+        rows.append((f"preprocessing.{number}.arguments", json.dumps(arguments)))
     return rows

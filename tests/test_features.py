@@ -153,3 +153,14 @@ def test_counts_keep_their_types(spark):
     df = spark.sql("select 1 id, cast(3 as int) i, cast(null as string) s, true b, cast(1.5 as float) f, date'2020-01-01' d")
     blocks = [FeatureBlock([c], [OneHot()]) for c in ("i", "s", "b", "f", "d")]
     assert fitted(df, *blocks) == [[1.0] * 5]
+
+
+def test_plans_describe_their_encoders():
+    plan = FeaturePlan(
+        [FeatureBlock(["a", "b"], [ImputeMean(), Apply(positive_flag)]), FeatureBlock(["t"], [HashNgrams(50)])]
+    )
+    assert plan.described() == [
+        ("ImputeMean", {"columns": "a,b"}),
+        ("Apply", {"columns": "a,b", "function": "positive_flag", "is_array": "False"}),
+        ("HashNgrams", {"columns": "t", "buckets": "50", "low": "1", "high": "3"}),
+    ]

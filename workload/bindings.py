@@ -89,7 +89,7 @@ def orders_pipeline(
 ) -> ClassificationPipeline:
     """Predict expensive orders; split by date. ``change_test`` may plant an error in the test rows."""
     train, test = temporal_split(
-        orders_star(spark, folder, spread_rows=cache), "o_orderdate", moment(SPLIT_DATE)
+        orders_star(spark, folder, spread_rows=True), "o_orderdate", moment(SPLIT_DATE)
     )
     if change_test is not None:
         test = change_test(test)

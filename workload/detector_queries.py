@@ -335,6 +335,10 @@ def covariate_shift_runs(spark, folder):
     UNION ALL SELECT split || '_source.' || id || '.attribute_types', types FROM tables, splits
     UNION ALL SELECT 'X_' || split || '.num_rows', count(*)::VARCHAR FROM star GROUP BY split
     UNION ALL SELECT 'X_' || split || '.num_features', d::VARCHAR FROM width, splits
+    UNION ALL FROM (VALUES ('preprocessing.0.type', 'StandardScale'),
+                           ('preprocessing.0.arguments', '{{"columns": "c_acctbal"}}'),
+                           ('preprocessing.1.type', 'OneHot'),
+                           ('preprocessing.1.arguments', '{{"columns": "c_mktsegment,o_orderpriority"}}'))
     """,
 )
 def run_profile(spark, folder):
