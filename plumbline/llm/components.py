@@ -1,4 +1,4 @@
-"""Connected components over a table of links, by rounds of small-label propagation with pointer jumping."""
+"""Connected components over a table of links, by contraction."""
 
 from __future__ import annotations
 
@@ -9,26 +9,33 @@ from .common import landed
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``links`` (a, b): label is the smallest node of its component.
+    """(node, label) for every node of ``links`` (a, b): nodes have one label just if links connect them.
 
-    Each round hands every node the least label of its neighbourhood and then the label of that label, so that the
-    number of rounds grows with the logarithm of a chain's length. A node's neighbours are only ever aggregated.
+    Each round moves every node to the first of its neighbours and itself, in an order drawn anew, and keeps the links
+    between different places. At least half of the nodes are expected to go, whatever the shape, and so the rounds
+    grow with the logarithm of the size. A node's neighbours are only ever aggregated.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = landed(both.filter("a <> b").distinct(), "links")
-    labels = landed(edges.groupBy("a").agg(F.min("b").alias("b")).select(
-        F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # what a root learned from any of its members becomes the root's own label, and then every member's
-        taught = step.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("best"))
-        step = step.join(taught, step["old"] == taught["root"]).select("node", "old", F.least("label", "best").alias("label"))
-        step = landed(step, "labels")
-        parent = step.select(F.col("node").alias("p"), F.col("label").alias("up"))
-        labels = landed(step.join(parent, step["label"] == parent["p"]).select(
-            "node", "old", F.least("label", "up").alias("label")), "labels")
-        if labels.filter("label <> old").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+    edges = landed(_both(links), "links")
+    moves, turn = [], 0
+    while not edges.isEmpty():
+        rank = lambda name: F.struct(F.xxhash64(name, F.lit(turn)).alias("by"), F.col(name).alias("node"))  # noqa: E731, B023
+        first = edges.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a"))).alias("first"))
+        move = landed(first.select(F.col("a").alias("node"), F.col("first.node").alias("to")), "moves")
+        left = move.select(F.col("node").alias("a"), F.col("to").alias("x"))
+        right = move.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        moved = edges.filter("a < b").join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = landed(_both(moved), "links")
+        moves.append(move)
+        turn += 1
+    if not moves:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+    found = moves[0].withColumnRenamed("to", "label")
+    for move in moves[1:]:
+        step = move.select(F.col("node").alias("label"), "to")
+        found = found.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return found
+
+
+def _both(links: DataFrame) -> DataFrame:
+    links = links.select("a", "b").filter("a <> b")
+    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, landed, map_arrow, mix, slices, text_bytes, unit, window_hashes, window_starts, words_of
@@ -32,8 +32,10 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
-#: Leaders that a bucket of several classes is tried with.
-ROUNDS = 6
+#: Turns of comparing with leaders.
+TURNS = 4
+#: Leaders of a bucket in one turn, and sets of three bands that each band starts in one turn.
+LEADERS, STEPS = 3, 5
 
 _LEAST_RANK = 2.0**-6
 _SLOT = np.uint64((1 << 48) - 1)
@@ -254,18 +256,26 @@ def _link(docs, text, doc_id, signed, nodes, buckets, similarity, size) -> DataF
     named = docs.select(_key(text, doc_id).alias("__doc"), F.coalesce(column(text), F.lit("")).alias("text"))
     texts = named.join(chosen, F.col("__doc") == F.col("__key")).select("node", "text", "print_a", "print_b")
     sets = landed(strip_sets(texts, size).dropDuplicates(["node"]), "strips")
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
+    labels = landed(wanted.withColumn("label", F.col("node")), "labels")
     tested = spark.createDataFrame([], "a long, b long")
-    for turn in range(ROUNDS):
-        placed = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "label")
+    for turn in range(TURNS):
+        placed = buckets.join(labels, "node")
+        mixed = placed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = mixed.filter("low <> high").select("band", "key")
+        placed = placed.join(mixed, ["band", "key"])
+        if turn > 0:
+            placed = _finer(placed.select("node", "label").distinct(), nodes, turn)
+        placed = placed.select("band", "key", "node", "label")
         leaders = placed.groupBy("band", "key").agg(
-            F.min(order).alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"))
-        leaders = leaders.filter("low <> high").select("band", "key", "leader")
+            F.min("label").alias("low"), F.max("label").alias("high"),
+            F.array_distinct(F.array(*(
+                F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "label")) for i in range(LEADERS if turn else 1)
+            ))).alias("leaders"))
+        leaders = leaders.filter("low <> high").select("band", "key", "leaders")
+        meeting = placed.join(leaders, ["band", "key"]).select(
+            "node", "label", F.explode("leaders").alias("leader")).filter("label <> leader.label")
         pairs = (
-            placed.join(leaders, ["band", "key"]).filter("label <> leader.label")
-            .select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+            meeting.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
             .distinct().join(tested, ["a", "b"], "left_anti")
         )
         pairs = landed(pairs, "pairs")
@@ -275,14 +285,49 @@ def _link(docs, text, doc_id, signed, nodes, buckets, similarity, size) -> DataF
         tested = tested.unionByName(pairs)
         if found.isEmpty():
             continue
-        links = links.unionByName(found)
-        labels = components(links)
+        left = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+        right = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        merged = found.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        merged = components(merged).select(F.col("node").alias("label"), F.col("label").alias("now"))
+        labels = landed(labels.join(merged, "label", "left").select(
+            "node", F.coalesce("now", "label").alias("label")), "labels")
     return labels
 
 
+def _finer(placed: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """The nodes (node, label) in buckets of three bands at once, others in each turn.
+
+    Where many documents are somewhat similar, a bucket of one band holds mostly pairs below the limit. Three bands
+    agree for 3.5 % of the pairs at 0.8 and for 0.05 % at 0.6, so that a leader found there is mostly a true one.
+    """
+    held = placed.join(nodes.select("node", "bands"), "node")
+    steps = range((turn - 1) * STEPS + 1, turn * STEPS + 1)
+    picked = F.flatten(F.array(*(F.transform("bands", _three_bands(step)) for step in steps)))
+    return held.select("node", "label", F.posexplode(picked).alias("band", "key"))
+
+
+def _three_bands(step: int):
+    def combine(key: Column, at: Column) -> Column:
+        second, third = (F.element_at("bands", (at + shift) % F.size("bands") + 1) for shift in (step, 3 * step + 1))
+        return F.xxhash64(key, second, third)
+
+    return combine
+
+
 def _key(text: str, doc_id: str) -> Column:
-    """What a document is found again by: its doc_id, or a hash of its text where it has none."""
-    return F.coalesce(column(doc_id).cast("long"), F.xxhash64(F.coalesce(column(text), F.lit(""))))
+    """What a document is found again by."""
+    return F.xxhash64(column(doc_id).cast("long"), F.coalesce(column(text), F.lit("")))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents with one of each class left; columns as given."""
+    kept = near_classes(docs, text, doc_id).filter(F.col("row") == F.col("best.row")).select(
+        F.col("doc_id").alias("__kept_id"), F.col("key").alias("__kept_key"))
+    keyed = docs.withColumn("__key", _key(text, doc_id)).withColumn("__id", column(doc_id).cast("long"))
+    same = (F.col("__key") == F.col("__kept_key")) & F.col("__id").eqNullSafe(F.col("__kept_id"))
+    once = Window.partitionBy("__key", "__id").orderBy("__key")
+    left = keyed.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(once))
+    return left.filter("__n = 1").select(*map(column, docs.columns))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
