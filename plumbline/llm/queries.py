@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, exact_dedup, language_id, mixing, packing
+from . import dart_minhash, exact_dedup, language_id, mixing, packing, window_dedup
 from .common import documents
 from .registry import query
 
@@ -52,3 +52,8 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def language_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return language_id.identify(docs, language_id.fit_languages(docs))
+
+
+@query("op10_window_dedup")
+def window_dedup_words(spark: SparkSession, folder: str) -> DataFrame:
+    return window_dedup.remove_repeated(documents(spark, folder)).drop("kept_text")
