@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, exact_dedup, language_id, mixing, packing, window_dedup
+from . import dart_minhash, exact_dedup, language_id, line_crf, line_join, mixing, packing, pii, warc_fixity, window_dedup
 from .common import documents
 from .registry import query
 
@@ -57,3 +57,42 @@ def language_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_window_dedup")
 def window_dedup_words(spark: SparkSession, folder: str) -> DataFrame:
     return window_dedup.remove_repeated(documents(spark, folder)).drop("kept_text")
+
+
+@query("op4_line_crf")
+def line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return line_crf.line_quality(docs, line_crf.fit_lines(docs))
+
+
+@query("op6_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(documents(spark, folder))
+
+
+@query(
+    "op2_warc_fixity",
+    r"""
+    WITH r AS (
+        SELECT page_id, page_id // 500 AS archive, url,
+               concat('WARC/1.1', e'\r\n', 'WARC-Type: resource', e'\r\n', 'WARC-Record-ID: <urn:page:', page_id, '>', e'\r\n',
+                      'WARC-Target-URI: ', url, e'\r\n', 'Content-Type: text/html', e'\r\n',
+                      'Content-Length: ', strlen(coalesce(html, '')), e'\r\n\r\n', coalesce(html, ''), e'\r\n\r\n') AS record,
+               html
+        FROM pages
+    )
+    SELECT page_id, url, archive, strlen(record) AS length, sha256(record) AS sha256,
+           CAST(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(record) AS BIGINT) AS "offset",
+           CASE WHEN page_id % 97 = 3 AND length(html) > 0 THEN 'changed' ELSE 'intact' END AS state
+    FROM r
+    """,
+)
+def warc_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as archives in two replicas, one of them damaged at every 97th page, and the audit of all records."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return warc_fixity.audited(spark, *warc_fixity.replicated(pages, F.col("page_id") % 97 == 3))
+
+
+@query("op3_line_join")
+def line_join_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return line_join.duplicate_lines(documents(spark, folder))
