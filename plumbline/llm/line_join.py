@@ -28,14 +28,6 @@ EDITS = 2
 CHARS_PER_EDIT = 10
 
 
-def _segment(length: Column, number: int, count: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment of a line of this length; the last segments are the longer ones."""
-    base = F.floor(length / count)
-    longer = length % count
-    start = number * base + F.greatest(F.lit(0), F.lit(number - count) + longer)
-    return start.cast("int"), (base + (F.lit(number) >= F.lit(count) - longer).cast("int")).cast("int")
-
-
 def _allowed(length: Column, edits: int) -> Column:
     return F.least(F.lit(edits), F.floor(length / CHARS_PER_EDIT)).cast("int")
 
@@ -44,72 +36,75 @@ def _key(threshold: int, number: int, length: Column, part: Column) -> Column:
     return F.xxhash64(F.lit(threshold), F.lit(number), length.cast("int"), part)
 
 
-def _index_keys(edits: int) -> Column:
-    by_threshold = F.lit(None).cast("array<bigint>")
-    for t in range(1, edits + 1):
-        keys = []
-        for i in range(t + 1):
-            start, size = _segment(F.col("size"), i, t + 1)
-            keys.append(_key(t, i, F.col("size"), F.substring("line", start + 1, size)))
-        by_threshold = F.when(_allowed(F.col("size"), edits) == t, F.array(*keys)).otherwise(by_threshold)
-    return by_threshold
-
-
-def _probe_keys(edits: int) -> Column:
-    """(key, gap) of every substring that may equal a segment of a line shorter by ``gap``."""
-    probes = []
-    for t in range(1, edits + 1):
-        for gap in range(t + 1):
-            other = F.col("size") - gap
-            for i in range(t + 1):
-                start, size = _segment(other, i, t + 1)
-                # i segments lie before this one and t - i after it: so many edits can have moved it
-                for shift in range(max(-i, gap - (t - i)), min(i, gap + (t - i)) + 1):
-                    at = start + shift
-                    inside = (_allowed(other, edits) == t) & (at >= 0) & (at + size <= F.col("size"))
-                    key = _key(t, i, other, F.substring("line", at + 1, size))
-                    probes.append(F.when(inside, F.struct(key.alias("key"), F.lit(gap).alias("gap"))))
-    return F.array_compact(F.array(*probes))
+def _keys(lines: DataFrame, specs: list[tuple[int, int, int, int]], edits: int) -> DataFrame:
+    """(id, gap, key) of lines (id, line, size) for each spec (threshold, gap, segment, shift) that applies."""
+    listed = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(s, ("t", "gap", "i", "shift")))) for s in specs))
+    rows = lines.select("id", "line", "size", F.inline(listed)).withColumn("other", F.col("size") - F.col("gap"))
+    rows = rows.filter(_allowed(F.col("other"), edits) == F.col("t"))
+    count = F.col("t") + 1
+    base, longer = F.floor(F.col("other") / count).cast("int"), F.col("other") % count
+    start = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - count + longer) + F.col("shift")
+    size = base + (F.col("i") >= count - longer).cast("int")
+    rows = rows.select("id", "line", "size", "t", "i", "gap", "other", start.alias("start"), size.alias("width"))
+    rows = rows.filter("start >= 0 and start + width <= size")
+    return rows.select("id", "gap", F.xxhash64("t", "i", "other", F.substring("line", F.col("start") + 1, F.col("width"))).alias("key"))
+
+
+def _index_specs(edits: int) -> list[tuple[int, int, int, int]]:
+    return [(t, 0, i, 0) for t in range(1, edits + 1) for i in range(t + 1)]
+
+
+def _probe_specs(edits: int) -> list[tuple[int, int, int, int]]:
+    """Of the substrings that may equal a segment of a line shorter by ``gap``: i segments lie before it and t - i after
+    it, and so many edits can have moved it."""
+    return [
+        (t, gap, i, shift)
+        for t in range(1, edits + 1) for gap in range(t + 1) for i in range(t + 1)
+        for shift in range(max(-i, gap - (t - i)), min(i, gap + (t - i)) + 1)
+    ]
 
 
 def _distance(a: Column, b: Column, limit: Column) -> Column:
     """Edit distance of character arrays ``a`` and ``b`` (not longer than ``a``), right where it is at most ``limit``.
 
     The band's cells of a column are bits of one integer, the lowest diagonal on top; each step moves the band by one
-    row. ``limit`` may be at most 31 and at most either length.
+    row. ``limit`` may be at most EDITS and at most either length.
     """
     top = F.lit(-(1 << 63)).cast("bigint")
-    width = F.sequence(F.lit(0), 2 * limit)
+    rows = F.size(a) - limit
+    # the score stands on the lowest diagonal of the band; above this no later step can bring it back to the limit
+    hopeless = 2 * limit + F.size(b) - F.size(a)
+
+    def matches(text: Column, j: Column) -> Column:
+        bits = F.lit(0).cast("bigint")
+        for t in range(2 * EDITS + 1):
+            bit = -(1 << 63) if t == 0 else 1 << (63 - t)
+            bits = bits.bitwiseOR(F.when(F.get(a, j + limit - t) == text, F.lit(bit)).otherwise(F.lit(0)))
+        return bits
 
     def step(state: Column, j: Column) -> Column:
-        text = F.get(b, j)
-        equal = F.aggregate(width, F.lit(0).cast("bigint"), lambda bits, t: bits.bitwiseOR(
-            F.when(F.get(a, j + limit - t) == text, F.call_function("shiftrightunsigned", top, t)).otherwise(F.lit(0))))
-        return F.struct(state["vp"].alias("vp"), state["vn"].alias("vn"), state["score"].alias("score"), equal.alias("x"), j.alias("j"))
+        vp, vn = state["vp"], state["vn"]
 
-    def advance(state: Column) -> Column:
-        vp, vn, x = state["vp"], state["vn"], state["x"]
-        d0 = _add(x.bitwiseAND(vp), vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)
-        return F.struct(vp.alias("vp"), vn.alias("vn"), state["score"].alias("score"), d0.alias("d0"), state["j"].alias("j"))
+        def finish(x: Column) -> Column:
+            return _let(_add(x.bitwiseAND(vp), vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn), lambda d0: _let(
+                _pair(vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)), lambda h: update(d0, h["a"], h["b"])))
 
-    rows = F.size(a) - limit
+        def update(d0: Column, hp: Column, hn: Column) -> Column:
+            half = F.shiftrightunsigned(d0, 1)
+            # on the diagonal while the band's lowest row is inside, along the last row after that
+            mask = F.call_function("shiftrightunsigned", top, F.greatest(F.lit(0), j - rows + 1))
+            on = lambda bits: (bits.bitwiseAND(mask) != 0).cast("int")
+            score = state["score"] + F.when(j < rows, 1 - on(d0)).otherwise(on(hp) - on(hn))
+            return _state(hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp))), half.bitwiseAND(hp), score)
+
+        return F.when(state["score"] > hopeless, state).otherwise(_let(matches(F.get(b, j), j), finish))
+
+    start = _state(F.call_function("shiftright", top, limit), F.lit(0).cast("bigint"), limit)
+    return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step, lambda s: s["score"])
 
-    def finish(state: Column) -> Column:
-        vp, vn, d0, j = state["vp"], state["vn"], state["d0"], state["j"]
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)))
-        hn = d0.bitwiseAND(vp)
-        half = F.shiftrightunsigned(d0, 1)
-        # on the diagonal while the band's top row is inside, along the last row after that
-        mask = F.call_function("shiftrightunsigned", top, F.greatest(F.lit(0), j - rows + 1))
-        on = lambda bits: (bits.bitwiseAND(mask) != 0).cast("int")
-        score = state["score"] + F.when(j < rows, 1 - on(d0)).otherwise(on(hp) - on(hn))
-        return F.struct(
-            hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"), score.alias("score"))
 
-    start = F.struct(
-        F.call_function("shiftright", top, limit).alias("vp"), F.lit(0).cast("bigint").alias("vn"), limit.alias("score"))
-    last = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, lambda s, j: finish(advance(step(s, j))))
-    return last["score"]
+def _state(vp: Column, vn: Column, score: Column) -> Column:
+    return F.struct(vp.alias("vp"), vn.alias("vn"), score.cast("int").alias("score"))
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -184,8 +179,8 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ed
     distinct = landed(
         lines.filter(worded).select("line").withColumns(mark).groupBy("h1", "h2").agg(F.first("line").alias("line"))
         .withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.char_length("line")), "distinct-lines")
-    index = distinct.select("id", F.explode(_index_keys(edits)).alias("key"))
-    probe = distinct.select(F.col("id").alias("other"), F.inline(_probe_keys(edits)))
+    index = _keys(distinct, _index_specs(edits), edits).select("id", "key")
+    probe = _keys(distinct, _probe_specs(edits), edits).withColumnRenamed("id", "other")
     meeting = probe.join(index, "key").filter((F.col("gap") > 0) | (F.col("id") < F.col("other")))
     pairs = landed(meeting.select("other", "id").distinct(), "line-pairs")
     wanted = pairs.select(F.col("id").alias("w")).union(pairs.select("other")).distinct()
