@@ -24,6 +24,8 @@ from .common import column, landed
 from .components import components
 
 EDITS = 2
+#: Lines of a segment key that a probe meets all of; of more it meets LEADERS.
+FEW, LEADERS = 32, 8
 #: A line allows one edit for each so many characters, up to EDITS.
 CHARS_PER_EDIT = 10
 
@@ -115,6 +117,24 @@ def _add(a: Column, b: Column) -> Column:
     return F.shiftleft(high.bitwiseAND(low32), 32).bitwiseOR(low.bitwiseAND(low32))
 
 
+def _meetings(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """(other, id): the pairs of lines to compare, ``other`` not the shorter.
+
+    A probe meets all lines of a key that has up to FEW of them. Of a key with more, it meets LEADERS lines, drawn by
+    hash; what is linked at all in such a family is linked through them or through the family's smaller keys.
+    """
+    drawn = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"] for i in range(LEADERS))))
+    sizes = index.groupBy("key").agg(F.count("*").alias("n"), drawn.alias("leaders"))
+    sized = probe.join(sizes, "key")
+    small = sized.filter(F.col("n") <= FEW).select("key", "other", "gap").join(index, "key").select("other", "gap", "id")
+    large = sized.filter(F.col("n") > FEW).select("other", "gap", F.explode("leaders").alias("id"))
+    # lines of equal length meet once
+    first = (F.col("gap") > 0) | (F.col("id") < F.col("other"))
+    both = small.filter(first).unionByName(large.filter(F.col("id") != F.col("other")).select(
+        F.when(first, F.col("other")).otherwise(F.col("id")).alias("other"), "gap", F.when(first, F.col("id")).otherwise(F.col("other")).alias("id")))
+    return both.select("other", "id").distinct()
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however the optimiser moves the expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -181,8 +201,7 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ed
         .withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.char_length("line")), "distinct-lines")
     index = _keys(distinct, _index_specs(edits), edits).select("id", "key")
     probe = _keys(distinct, _probe_specs(edits), edits).withColumnRenamed("id", "other")
-    meeting = probe.join(index, "key").filter((F.col("gap") > 0) | (F.col("id") < F.col("other")))
-    pairs = landed(meeting.select("other", "id").distinct(), "line-pairs")
+    pairs = landed(_meetings(index, probe), "line-pairs")
     wanted = pairs.select(F.col("id").alias("w")).union(pairs.select("other")).distinct()
     texts = landed(distinct.select("id", "line").join(wanted, F.col("id") == F.col("w"), "left_semi"), "line-texts")
     longer = texts.select(F.col("id").alias("other"), F.col("line").alias("p"))
