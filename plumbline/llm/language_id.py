@@ -35,6 +35,8 @@ class Settings(NamedTuple):
     bits: int = 15
     size: int = 16
     epochs: int = 12
+    #: Small samples are gone through more often, until so many steps are made.
+    steps: int = 1200
     batch: int = 32
     rate: float = 0.5
     held: float = 0.2
@@ -110,8 +112,9 @@ def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) ->
         bags.append((ids, counts / max(counts.sum(), 1)))
     held = int(len(texts) * settings.held)
     train = np.arange(held, len(texts))
-    for epoch in range(settings.epochs):
-        rate = settings.rate * (1 - epoch / settings.epochs)
+    epochs = max(settings.epochs, -(-settings.steps // max(1, len(train) // settings.batch)))
+    for epoch in range(epochs):
+        rate = settings.rate * (1 - epoch / epochs)
         for part in np.array_split(rng.permutation(train), max(1, len(train) // settings.batch)):
             if not len(part):
                 continue

@@ -120,8 +120,8 @@ class Field:
         return np.array(labels[::-1], np.int64)
 
 
-def fit_field(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, rate: float = 1.0, decay: float = 1e-3) -> Field:
-    """Gradient ascent on the mean conditional log-likelihood of (features, labels) sequences."""
+def fit_field(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
+    """Gradient ascent (Adam) on the mean conditional log-likelihood of (features, labels) sequences."""
     emission = np.zeros((FEATURES, 2))
     transition = np.zeros((2, 2))
     total = sum(len(y) for _, y in sequences)
@@ -129,7 +129,9 @@ def fit_field(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, r
         # nothing to learn from: all lines are content
         emission[0] = (1.0, 0.0)
         return Field(emission, transition)
-    for _ in range(steps):
+    mean = [np.zeros_like(emission), np.zeros_like(transition)]
+    square = [np.zeros_like(emission), np.zeros_like(transition)]
+    for turn in range(1, steps + 1):
         d_emission, d_transition = np.zeros_like(emission), np.zeros_like(transition)
         for x, y in sequences:
             if not len(y):
@@ -150,8 +152,11 @@ def fit_field(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, r
                 pair = np.exp(forward[:-1, :, None] + transition + (score + backward)[1:, None, :] - log_z)
                 d_transition -= pair.sum(axis=0)
                 np.add.at(d_transition, (y[:-1], y[1:]), 1)
-        emission += rate * (d_emission / total - decay * emission)
-        transition += rate * (d_transition / total - decay * transition)
+        for i, (weight, slope) in enumerate(((emission, d_emission), (transition, d_transition))):
+            slope = slope / total - decay * weight
+            mean[i] = 0.9 * mean[i] + 0.1 * slope
+            square[i] = 0.99 * square[i] + 0.01 * slope**2
+            weight += rate * (mean[i] / (1 - 0.9**turn)) / (np.sqrt(square[i] / (1 - 0.99**turn)) + 1e-8)
     return Field(emission, transition)
 
 

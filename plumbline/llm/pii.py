@@ -4,7 +4,7 @@ Base detectors find e-mail addresses, IPv4 addresses, payment cards and phone nu
 normalise the text: look-alike letters and full-width forms become ASCII, invisible characters vanish, spelled digits
 become digits, and "at" / "dot" disguises become ``@`` and ``.``. The detectors run again on the normalised text, and
 the spans they find through a rewritten place are mapped back to source characters. Base spans always stay; a span
-that would overlap one is dropped. Spans are in code points, the end exclusive.
+that lies within one adds nothing and is dropped. Spans are in code points, the end exclusive.
 
 Defined cases: null and empty texts have no span; an empty table gives no rows; rows are treated one by one, so
 repeated rows and ids, and null ids, give a row each.
@@ -171,7 +171,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
             start += 1
         while end > start and text[end - 1].isspace():
             end -= 1
-        if all(end <= s or e <= start for _, s, e in base):
+        if not any(s <= start and end <= e for _, s, e in base):
             found.append((kind, start, end))
     return found
 
