@@ -106,5 +106,5 @@ def reviews_pipeline(
         test,
         network_features() if network else linear_features(),
         binarize(F.col("is_helpful"), [True, False]),
-        fit=(lambda rows: fit_network(rows, max_iter=5)) if network else fit_linear,
+        fit=fit_network if network else fit_linear,
     )

@@ -12,8 +12,9 @@ from dataclasses import dataclass, fields, is_dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
-from ..functions import bind, hashed_ngrams, normalise_array, safe_log
+from ..functions import bind, hashed_ngrams, normalise_array, number, safe_log
 
 MAX_CATEGORIES = 100_000
 
@@ -39,10 +40,10 @@ class Encoder:
 
 class ImputeMean(Encoder):
     def aggregates(self, col: Column) -> dict[str, Column]:
-        return {"mean": F.avg(_number(col))}
+        return {"mean": F.avg(number(col))}
 
     def expression(self, col: Column, learned: Mapping) -> Column:
-        return F.coalesce(_number(col), F.lit(learned["mean"]))
+        return F.coalesce(number(col), F.lit(learned["mean"]))
 
 
 class SafeLog(Encoder):
@@ -51,31 +52,37 @@ class SafeLog(Encoder):
 
 
 class StandardScale(Encoder):
-    """(x - mean) / population standard deviation; a zero deviation divides by one."""
+    """(x - mean) / population standard deviation; a zero deviation divides by one.
+
+    NaN is left out of both and stays NaN.
+    """
 
     def aggregates(self, col: Column) -> dict[str, Column]:
-        x = _number(col)
+        x = number(col)
         return {"mean": F.avg(x), "std": F.stddev_pop(x)}
 
     def expression(self, col: Column, learned: Mapping) -> Column:
         mean, std = learned["mean"], learned["std"]
-        return (_number(col) - F.lit(mean if mean is not None else 0.0)) / F.lit(std or 1.0)
+        return (col.cast("double") - F.lit(mean if mean is not None else 0.0)) / F.lit(std or 1.0)
 
 
 class ImputeMode(Encoder):
-    """The most frequent training value; of equally frequent ones the smallest."""
+    """The most frequent training value; of equally frequent ones the smallest. NaN is a missing value."""
 
     needs_counts = True
 
     def learn_counts(self, counts: DataFrame) -> Mapping:
+        fractional = isinstance(counts.schema["value"].dataType, (DoubleType, FloatType))
+        if fractional:
+            counts = counts.withColumn("value", number(F.col("value")))
         best = counts.filter(F.col("value").isNotNull()).agg(
             F.min(F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("best")
         )
         row = best.first()["best"]
-        return {"mode": None if row is None else row["value"]}
+        return {"mode": None if row is None else row["value"], "fractional": fractional}
 
     def expression(self, col: Column, learned: Mapping) -> Column:
-        return F.coalesce(col, F.lit(learned["mode"]))
+        return F.coalesce(number(col) if learned["fractional"] else col, F.lit(learned["mode"]))
 
 
 class OneHot(Encoder):
@@ -143,7 +150,3 @@ class Apply(Encoder):
 
 def _shown(setting) -> str:
     return getattr(setting, "__name__", None) or str(setting)
-
-
-def _number(col: Column) -> Column:
-    return col.cast("double")

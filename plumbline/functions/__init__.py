@@ -4,6 +4,7 @@ from .expressions import (
     bind,
     hashed_ngrams,
     normalise_array,
+    number,
     parse_int_array,
     positive_flag,
     safe_log,
@@ -16,6 +17,7 @@ __all__ = [
     "bind",
     "hashed_ngrams",
     "normalise_array",
+    "number",
     "parse_int_array",
     "positive_flag",
     "safe_log",

@@ -28,9 +28,14 @@ def safe_log(col: Column) -> Column:
     return F.when(x == 0, F.lit(0.0)).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
 
 
+def number(col: Column) -> Column:
+    """The column as a double, NaN being a missing value like null."""
+    return F.nullif(col.cast("double"), F.lit(float("nan")))
+
+
 def positive_flag(col: Column) -> Column:
-    """``col > 0`` where a null counts as false."""
-    return F.coalesce(col > 0, F.lit(False))
+    """``col > 0`` where a null or NaN counts as false."""
+    return F.coalesce(number(col) > 0, F.lit(False))
 
 
 def binarize(col: Column, classes: Sequence) -> Column:

@@ -42,8 +42,10 @@ class LabelShift(IssueDetector):
 
     def detect(self, pipeline) -> Issue:
         counts = pipeline.label_counts
-        if set(counts["train"]) | set(counts["test"]) <= {0.0, 1.0}:
-            cells = [float(counts[s].get(y, 0)) for s in ("train", "test") for y in (1.0, 0.0)]
+        labels = sorted(set(counts["train"]) | set(counts["test"]))
+        if len(labels) <= 2:
+            pair = [*labels, None, None][:2]
+            cells = [float(counts[s].get(y, 0)) for s in ("train", "test") for y in pair]
             # One degree of freedom: the survival function is erfc(sqrt(x / 2)).
             p_value = math.erfc(math.sqrt(chi_square_2x2(*cells) / 2))
         else:

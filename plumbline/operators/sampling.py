@@ -69,7 +69,8 @@ def find_cut(df: DataFrame, n: int | Callable[[int], int], seed: int) -> Cut:
     # Equal lineages share a hash, so the boundary lies between distinct (hash, lineage) values, or
     # inside one of them when rows of the same lineage repeat.
     within = hashed.filter(F.col(_HASH).startswith(prefix))
-    candidates = within.groupBy(_HASH, _TEXT).count().orderBy(_HASH, _TEXT).limit(_SMALL).collect()
+    # They are few: at most _SMALL rows have the prefix, or it is a whole md5.
+    candidates = within.groupBy(_HASH, _TEXT).count().orderBy(_HASH, _TEXT).collect()
     for last in candidates:
         if wanted <= last["count"]:
             break
@@ -122,8 +123,14 @@ def _split_copies(df: DataFrame, wanted: int) -> tuple[DataFrame, DataFrame]:
 
 
 def sample_rows(frame: Tracked, n: int, seed: int = 42) -> Tracked:
-    """Exactly ``n`` rows without replacement."""
-    return frame.with_rows(split_at_rank(frame.df, n, seed)[0])
+    """Exactly ``n`` rows without replacement; an error if there are fewer."""
+
+    def checked(rows: int) -> int:
+        if n > rows:
+            raise ValueError(f"a sample of {n} rows was asked of {rows}")
+        return n
+
+    return frame.with_rows(split_at_rank(frame.df, checked, seed)[0])
 
 
 def balance_classes(frame: Tracked, is_kept: Column, seed: int = 42) -> Tracked:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions import add_separator_join
 from ..sources.identity import ROW_ID, hashed_ids, key_ids
@@ -83,8 +84,10 @@ class Tracked:
         return self.filter(F.col(column).isin(list(values)))
 
     def filter_between(self, column: str, low=None, high=None) -> Tracked:
-        """Keep ``low <= column <= high``; either end may be open and nulls are dropped."""
+        """Keep ``low <= column <= high``; either end may be open; nulls and NaN are dropped."""
         result = self
+        if self._is_fractional(column) and (low is not None or high is not None):
+            result = result.filter(~F.isnan(column))
         if low is not None:
             result = result.filter(F.col(column) >= F.lit(low))
         if high is not None:
@@ -115,10 +118,17 @@ class Tracked:
         return self.with_rows(self.df.withColumnsRenamed(dict(mapping)))
 
     def fill_null(self, columns: Sequence[str], value) -> Tracked:
+        """Nulls, and NaN in fractional columns, become ``value``."""
         return self.with_rows(
-            self.df.withColumns({c: F.coalesce(F.col(c), F.lit(value)) for c in columns})
+            self.df.withColumns({
+                c: F.coalesce(F.nanvl(c, F.lit(None)) if self._is_fractional(c) else F.col(c), F.lit(value))
+                for c in columns
+            })
         )
 
+    def _is_fractional(self, column: str) -> bool:
+        return isinstance(self.df.schema[column].dataType, (DoubleType, FloatType))
+
     def concat_text(self, name: str, columns: Sequence[str], separator: str = " ") -> Tracked:
         return self.with_column(name, add_separator_join([F.col(c) for c in columns], separator))
 
@@ -184,6 +194,7 @@ class Tracked:
             col("l", LINEAGE), col("r", LINEAGE), self.source_ids, other.source_ids
         )
         joined = left.join(right, condition, "inner").select(*outputs, lineage.alias(LINEAGE))
+        _check_sources(self, other)
         record = JoinRecord(next(_join_numbers), self.source_ids | other.source_ids, joined)
         return Tracked(
             joined,
@@ -194,6 +205,7 @@ class Tracked:
 
     def union(self, other: Tracked) -> Tracked:
         """All rows of both frames, columns matched by name."""
+        _check_sources(self, other)
         return Tracked(
             self.df.unionByName(other.df),
             {**self.sources, **other.sources},
@@ -202,6 +214,13 @@ class Tracked:
         )
 
 
+def _check_sources(one: Tracked, two: Tracked) -> None:
+    """Lineages of two different sources with one id could not be told apart."""
+    for source_id in one.source_ids & two.source_ids:
+        if one.sources[source_id] is not two.sources[source_id]:
+            raise ValueError(f"two different sources have the id {source_id}")
+
+
 def _names(value: str | Sequence[str] | None) -> list[str]:
     if value is None:
         return []

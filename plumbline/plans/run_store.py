@@ -12,8 +12,9 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.lineage import LINEAGE, canonical
+from ..operators.lineage import LINEAGE, LINEAGE_TYPE, canonical
 from ..operators.tracked import JoinRecord
 from .classification import ClassificationPipeline
 from .profile import pipeline_profile
@@ -49,7 +50,8 @@ class RunStore:
     def features(self, run_id: str, split: str) -> DataFrame:
         """Lineage and features of one split of a stored run."""
         return (
-            self.spark.read.parquet(self._path("outputs"))
+            self.spark.read.schema(f"{LINEAGE} {LINEAGE_TYPE}, features array<double>, run_id string, split string")
+            .parquet(self._path("outputs"))
             .filter((F.col("run_id") == run_id) & (F.col("split") == split))
             .select(LINEAGE, "features")
         )
@@ -63,8 +65,10 @@ class RunStore:
         if not described:
             raise ValueError(f"run {run_id!r} holds no pipeline")
         layout = json.loads(described["stored.layout"])
+        # runs differ in their columns, so the stored schema is read, not one that is found in some file
+        schema = StructType.fromJson(layout["schema"]).add("run_id", "string")
         outputs = (
-            self.spark.read.parquet(self._path("outputs"))
+            self.spark.read.schema(schema).parquet(self._path("outputs"))
             .filter(F.col("run_id") == run_id)
             .select(*layout["columns"])
             .withColumn(LINEAGE, canonical(F.col(LINEAGE)))
@@ -147,6 +151,7 @@ class Run:
                 layout.append((split, source_id, places[source_id]))
         description = {
             "columns": pipeline.outputs.columns,
+            "schema": pipeline.outputs.schema.jsonValue(),
             "sources": layout,
             "names": pipeline.source_names,
             "joins": [(j.number, sorted(j.source_ids)) for j in pipeline.joins],

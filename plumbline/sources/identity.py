@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
 
 ROW_ID = "__row_id"
 
-# Above this number of files the offset table is joined by a shuffle instead of a broadcast.
-BROADCAST_FILES = 50_000
+# A row id is the number of the row's file, shifted by so many bits, and the row's index in it.
+INDEX_BITS = 40
 
 
 def key_ids(df: DataFrame, key: str) -> DataFrame:
@@ -22,15 +21,19 @@ def key_ids(df: DataFrame, key: str) -> DataFrame:
 
 
 def hashed_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Hash a composite key to a 64-bit id. For up to about 1e8 rows; use positions beyond that."""
-    return df.withColumn(ROW_ID, F.xxhash64(*columns))
+    """Hash a composite key to a 64-bit id. For up to about 1e8 rows; use positions beyond that.
+
+    Nulls take part, so that keys that differ by a null's place have different ids.
+    """
+    parts = [part for c in columns for part in (F.col(c), F.col(c).isNull())]
+    return df.withColumn(ROW_ID, F.xxhash64(*parts))
 
 
 def file_position_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Read Parquet with dense positions 0..n-1, in file-path order, as row ids.
+    """Read Parquet with the places of the rows, file number and index in the file, as row ids.
 
-    The position of a row is its index within its file plus the rows of all files before it. The file
-    sizes come from a scan that reads no column.
+    Files are numbered by path, which a scan that reads no column lists. What the driver sorts and broadcasts is one
+    short row per file, no more than the listing that it holds of every scan; the rows are not shuffled.
     """
     rows = spark.read.parquet(path)
     columns = rows.columns
@@ -39,20 +42,12 @@ def file_position_ids(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.row_index").alias("__index"),
     )
-    sizes = (
-        spark.read.parquet(path)
-        .select(F.col("_metadata.file_path").alias("__file"))
-        .groupBy("__file")
-        .agg(F.count("*").alias("__rows"))
-    )
-    before = W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset")
-    )
-    if len(rows.inputFiles()) <= BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
-    return located.join(offsets, "__file").select(
-        *[F.col(c) for c in columns], (F.col("__index") + F.col("__offset")).alias(ROW_ID)
+    listed = rows.select(F.col("_metadata.file_path").alias("__file")).distinct().collect()
+    files = [(name, number) for number, name in enumerate(sorted(r["__file"] for r in listed))]
+    numbers = spark.createDataFrame(files, "__file string, __number bigint")
+    return located.join(F.broadcast(numbers), "__file").select(
+        *[F.col(c) for c in columns],
+        (F.shiftleft("__number", INDEX_BITS) + F.col("__index")).alias(ROW_ID),
     )
 
 
