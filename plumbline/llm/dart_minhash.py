@@ -273,7 +273,7 @@ def _link(docs, text, doc_id, signed, nodes, buckets, similarity, size) -> DataF
             ))).alias("leaders"))
         leaders = leaders.filter("low <> high").select("band", "key", "leaders")
         meeting = placed.join(leaders, ["band", "key"]).select(
-            "node", "label", F.explode("leaders").alias("leader")).filter("label <> leader.label")
+            "node", F.explode(F.filter("leaders", lambda x: x["label"] != F.col("label"))).alias("leader"))
         pairs = (
             meeting.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
             .distinct().join(tested, ["a", "b"], "left_anti")
