@@ -124,14 +124,14 @@ def repeated_cells(texts: DataFrame, bits: int, width: int = WIDTH, anchor: int
     return result.reshape(DEPTH, -1)
 
 
-_CANDIDATES = (
-    "doc_id long, n_words long, whole_sha256 string, text string, "
-    "windows array<struct<a: bigint, b: bigint, at: int>>"
-)
+_CANDIDATES = "doc_id long, n_words long, whole_sha256 string, text string"
+_WINDOWS = "rank long, row long, a long, b long, at int"
 
 
 def _candidates(sketch, bits: int, width: int, anchor: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two passes over texts: which documents may repeat a window, and the windows that they may repeat."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         table = sketch.value
         for batch in batches:
             flat, offsets = text_bytes(batch.column("text"))
@@ -143,21 +143,28 @@ def _candidates(sketch, bits: int, width: int, anchor: int):
                 for row in range(DEPTH):
                     cell = cells_of(anchors, row, bits)
                     maybe &= (table[row][cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
-                first, text = first[maybe], text[maybe]
-                found = np.bincount(text, minlength=q - p)
-                lanes = [window_hashes(words.hashes[i], width, i)[first].view(np.int64) for i in (0, 1)]
-                at = (first - words.first[text]).astype(np.int32)
-                windows = pa.StructArray.from_arrays([pa.array(lanes[0]), pa.array(lanes[1]), pa.array(at)], names=["a", "b", "at"])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(found))).astype(np.int32)), windows)
-                part = batch.slice(p, q - p)
-                texts = part.column("text").to_pylist()
-                whole = [None if n else _sha(t.encode().split()) for t, n in zip(texts, found)]
-                kept = [t if n else None for t, n in zip(texts, found)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(whole, pa.string()), pa.array(kept, pa.string()), lists],
-                    names=["doc_id", "n_words", "whole_sha256", "text", "windows"])
-
-    return find
+                yield batch.slice(p, q - p), words, first[maybe], text[maybe]
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words, _, text in search(batches):
+            found = np.bincount(text, minlength=part.num_rows)
+            texts = part.column("text").to_pylist()
+            whole = [None if n else _sha(t.encode().split()) for t, n in zip(texts, found)]
+            kept = [t if n else None for t, n in zip(texts, found)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(whole, pa.string()), pa.array(kept, pa.string())],
+                names=["doc_id", "n_words", "whole_sha256", "text"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words, first, text in search(batches):
+            a, b = (window_hashes(words.hashes[i], width, i)[first].view(np.int64) for i in (0, 1))
+            owner = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rank").take(owner), part.column("row").take(owner), pa.array(a), pa.array(b),
+                 pa.array((first - words.first[text]).astype(np.int32))],
+                names=["rank", "row", "a", "b", "at"])
+
+    return documents, windows
 
 
 def _sha(words: list[bytes]) -> str:
@@ -196,10 +203,12 @@ def remove_repeated(
         size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(max((size // BYTES_PER_CELL).bit_length(), LEAST_BITS), MOST_BITS)
     sketch = spark.sparkContext.broadcast(repeated_cells(given, bits, width, anchor))
-    seen = landed(map_arrow(given, _candidates(sketch, bits, width, anchor), _CANDIDATES).withColumn(
+    which, what = _candidates(sketch, bits, width, anchor)
+    seen = landed(map_arrow(given, which, _CANDIDATES).withColumn(
         "row", F.monotonically_increasing_id()), "window-candidates")
+    # windows are hashed again from the landed texts for each use: they would be larger than the texts on disk
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    windows = seen.filter("text is not null").select(rank.alias("rank"), "row", F.inline("windows"))
+    windows = map_arrow(seen.filter("text is not null").select(rank.alias("rank"), "row", "text"), what, _WINDOWS)
     spread = windows.groupBy("a", "b").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("low < high")
     hits = windows.join(spread.select("a", "b", "low"), ["a", "b"]).filter("rank > low")
     starts = hits.groupBy("row").agg(F.collect_list("at").alias("starts"))
