@@ -3,7 +3,8 @@
 Lines within ``EDITS`` edits of each other are linked; connected lines are a class, and all but the class's first
 occurrence may be removed. A line of threshold t is cut into t + 1 segments; a line within t edits has at least one of
 them unchanged, at a place that the two lengths limit. Segments are indexed by length, number and content; each line
-probes the substrings that could match a line of its own length or up to t shorter. Pairs that meet are verified by
+probes the substrings that could match a line of its own length or up to t shorter. Where very many lines have a key,
+they are cut into more segments, of which all but t must agree. Pairs that meet are verified by
 the bit-parallel edit distance of the diagonal band, 2 t + 1 bits wide, in 64-bit integers, after their common ends are
 cut off. Equal lines are one entry, however often they occur.
 
@@ -24,8 +25,10 @@ from .common import column, landed
 from .components import components
 
 EDITS = 2
-#: Lines of a segment key that a probe meets all of; of more it meets LEADERS.
-FEW, LEADERS = 32, 8
+#: Lines of a key that a probe meets right away; those of larger keys are cut finer first.
+FEW = 32
+#: Finer cuts, one after the other, for lines whose keys are still large. Of the last one's keys all lines meet.
+FINER = (6, 18)
 #: A line allows one edit for each so many characters, up to EDITS.
 CHARS_PER_EDIT = 10
 
@@ -117,22 +120,63 @@ def _add(a: Column, b: Column) -> Column:
     return F.shiftleft(high.bitwiseAND(low32), 32).bitwiseOR(low.bitwiseAND(low32))
 
 
-def _meetings(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """(other, id): the pairs of lines to compare, ``other`` not the shorter.
+def _finer_keys(lines: DataFrame, parts: int, edits: int, probing: bool) -> DataFrame:
+    """(id, gap, key) of lines (id, line, size) cut into ``parts``: all parts but as many as there may be edits.
 
-    A probe meets all lines of a key that has up to FEW of them. Of a key with more, it meets LEADERS lines, drawn by
-    hash; what is linked at all in such a family is linked through them or through the family's smaller keys.
+    Edits touch at most so many parts of the shorter line. What lies before the first of them stands at the same place
+    in both lines, what lies after the last one is moved by the difference of lengths, and what lies between (for two
+    edits) by ``moved``. A line is probed for each place that the edits allow.
     """
-    drawn = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"] for i in range(LEADERS))))
-    sizes = index.groupBy("key").agg(F.count("*").alias("n"), drawn.alias("leaders"))
-    sized = probe.join(sizes, "key")
-    small = sized.filter(F.col("n") <= FEW).select("key", "other", "gap").join(index, "key").select("other", "gap", "id")
-    large = sized.filter(F.col("n") > FEW).select("other", "gap", F.explode("leaders").alias("id"))
-    # lines of equal length meet once
-    first = (F.col("gap") > 0) | (F.col("id") < F.col("other"))
-    both = small.filter(first).unionByName(large.filter(F.col("id") != F.col("other")).select(
-        F.when(first, F.col("other")).otherwise(F.col("id")).alias("other"), "gap", F.when(first, F.col("id")).otherwise(F.col("other")).alias("id")))
-    return both.select("other", "id").distinct()
+    most = 2 if probing else 0
+    gaps = [(t, gap, moved) for t in (1, 2) if t <= edits for gap in range(min(t, most) + 1)
+            for moved in range(-1, 3) if (abs(moved) + abs(gap - moved) <= t and (probing or moved == 0) and (t == 2 or moved == 0))]
+    listed = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(g).alias("gap"), F.lit(m).alias("moved")) for t, g, m in gaps))
+    rows = lines.select("id", "line", "size", F.inline(listed)).withColumn("other", F.col("size") - F.col("gap"))
+    rows = rows.filter(_allowed(F.col("other"), edits) == F.col("t"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts) - F.col("t"))).alias("a"))
+    second = F.when(F.col("t") == 1, F.array("a")).otherwise(F.sequence(F.col("a") + 1, F.lit(parts - 1)))
+    rows = rows.select("*", F.explode(second).alias("b"))
+
+    def start(part: Column) -> Column:
+        return F.floor(part * F.col("other") / parts).cast("int")
+
+    def piece(first: Column, end: Column) -> Column:
+        return F.substring("line", first + 1, F.greatest(end - first, F.lit(0)))
+
+    before = piece(F.lit(0), start(F.col("a")))
+    between = piece(start(F.col("a") + 1) + F.col("moved"), start(F.col("b")) + F.col("moved"))
+    after = piece(start(F.col("b") + 1) + F.col("gap"), F.col("size"))
+    return rows.select("id", "gap", F.xxhash64("t", "other", "a", "b", before, between, after).alias("key"))
+
+
+def _meetings(lines: DataFrame, edits: int) -> DataFrame:
+    """(other, id): the pairs of lines (id, line, size) to compare, ``other`` not the shorter.
+
+    A probe meets all lines of a key that has up to FEW of them. The lines and probes of larger keys are cut into more
+    parts, of which all but ``edits`` have to agree: no pair within the edits is lost, and lines that have no more than
+    a beginning in common do not meet.
+    """
+    index = _keys(lines, _index_specs(edits), edits).select("id", "key")
+    probe = _keys(lines, _probe_specs(edits), edits).withColumnRenamed("id", "other")
+    met = []
+    for parts in (*FINER, None):
+        sizes = index.groupBy("key").agg(F.count("*").alias("n"))
+        large = landed(sizes.filter(F.col("n") > FEW).select("key"), "large-keys")
+        last = parts is None or large.isEmpty()
+        near = index if last else index.join(large, "key", "left_anti")
+        # lines of equal length meet once
+        met.append(probe.join(near, "key").filter((F.col("gap") > 0) | (F.col("id") < F.col("other"))).select("other", "id"))
+        if last:
+            break
+        held = [landed(rows.join(large, "key", "left_semi").select(F.col(name).alias("id")).distinct(), "crowded")
+                for rows, name in ((index, "id"), (probe, "other"))]
+        shown = [landed(lines.join(ids, "id", "left_semi"), "crowded-lines") for ids in held]
+        index = _finer_keys(shown[0], parts, edits, probing=False).select("id", "key")
+        probe = _finer_keys(shown[1], parts, edits, probing=True).withColumnRenamed("id", "other")
+    pairs = met[0]
+    for more in met[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
 
 
 def _let(value: Column, body) -> Column:
@@ -199,9 +243,7 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ed
     distinct = landed(
         lines.filter(worded).select("line").withColumns(mark).groupBy("h1", "h2").agg(F.first("line").alias("line"))
         .withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.char_length("line")), "distinct-lines")
-    index = _keys(distinct, _index_specs(edits), edits).select("id", "key")
-    probe = _keys(distinct, _probe_specs(edits), edits).withColumnRenamed("id", "other")
-    pairs = landed(_meetings(index, probe), "line-pairs")
+    pairs = landed(_meetings(distinct.select("id", "line", "size"), edits), "line-pairs")
     wanted = pairs.select(F.col("id").alias("w")).union(pairs.select("other")).distinct()
     texts = landed(distinct.select("id", "line").join(wanted, F.col("id") == F.col("w"), "left_semi"), "line-texts")
     longer = texts.select(F.col("id").alias("other"), F.col("line").alias("p"))

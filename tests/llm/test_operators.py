@@ -113,6 +113,13 @@ def test_line_join(spark, corpus):
                 at = rng.randrange(len(changed))
                 changed[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "é"])
             rows.append((1000 + 10 * i + k, "".join(changed) + "\n" + passage(rng, 3), "en", "s0"))
+    base = passage(rng, 8)
+    for i in range(90):  # one crowded family, with more edits than count in most of its pairs
+        changed = list(base)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(changed))
+            changed[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "é", "q"])
+        rows.append((2000 + i, "".join(changed), "en", "s0"))
     occurrences, lines = [], []
     for n, (i, t, *_) in enumerate(rows):
         for at, line in enumerate((t or "").split("\n")):
