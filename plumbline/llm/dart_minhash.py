@@ -7,8 +7,8 @@ t of them however large it is, keeps the earliest dart of each of its coordinate
 coordinate got none. Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Documents of equal weighted sets are one node. Nodes that share a band are compared by exact similarity. In a band's
-bucket every node is compared with a leader, not with every other node; the classes so found then meet again in every
-bucket that still holds several of them, with other leaders, until a round has nothing new to compare.
+bucket every node is compared with a leader, not with every other node; the classes so found then meet again in
+buckets of three bands at once, where the nodes of small buckets all meet and those of large ones meet other leaders.
 
 Defined cases: null, empty and word-less texts have no shingle and are classes of their own, one for each row; texts
 of fewer than ``SHINGLE`` words have one shingle, all their words; of rows that repeat a doc_id with equal texts one
@@ -33,9 +33,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 #: Turns of comparing with leaders.
-TURNS = 4
+TURNS = 6
 #: Leaders of a bucket in one turn, and sets of three bands that each band starts in one turn.
 LEADERS, STEPS = 3, 5
+#: Nodes of a bucket of three bands that all meet each other; of larger ones, nodes meet the leaders.
+FEW = 64
 
 _LEAST_RANK = 2.0**-6
 _SLOT = np.uint64((1 << 48) - 1)
@@ -267,17 +269,21 @@ def _link(docs, text, doc_id, signed, nodes, buckets, similarity, size) -> DataF
             placed = _finer(placed.select("node", "label").distinct(), nodes, turn)
         placed = placed.select("band", "key", "node", "label")
         leaders = placed.groupBy("band", "key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"),
             F.array_distinct(F.array(*(
                 F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "label")) for i in range(LEADERS if turn else 1)
             ))).alias("leaders"))
-        leaders = leaders.filter("low <> high").select("band", "key", "leaders")
-        meeting = placed.join(leaders, ["band", "key"]).select(
+        leaders = leaders.filter("low <> high").select("band", "key", "leaders", "n")
+        few = (F.col("n") <= FEW) if turn else F.lit(False)
+        meeting = placed.join(leaders.filter(~few), ["band", "key"]).select(
             "node", F.explode(F.filter("leaders", lambda x: x["label"] != F.col("label"))).alias("leader"))
-        pairs = (
-            meeting.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-            .distinct().join(tested, ["a", "b"], "left_anti")
-        )
+        meeting = meeting.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+        if turn:
+            small = placed.join(leaders.filter(few).select("band", "key"), ["band", "key"])
+            other = small.select("band", "key", F.col("node").alias("b"), F.col("label").alias("other"))
+            met = small.withColumnRenamed("node", "a").join(other, ["band", "key"]).filter("a < b and label <> other")
+            meeting = meeting.unionByName(met.select("a", "b"))
+        pairs = meeting.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = landed(pairs, "pairs")
         if pairs.isEmpty():
             break
