@@ -7,8 +7,9 @@ t of them however large it is, keeps the earliest dart of each of its coordinate
 coordinate got none. Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Documents of equal weighted sets are one node. Nodes that share a band are compared by exact similarity. In a band's
-bucket every node is compared with a leader, not with every other node; the classes so found then meet again in
-buckets of three bands at once, where the nodes of small buckets all meet and those of large ones meet other leaders.
+bucket all nodes meet if they are few. Of a large bucket every node is compared with a leader; the classes so found
+meet again in buckets of three bands at once, where the nodes of small ones all meet and those of large ones meet
+other leaders.
 
 Defined cases: null, empty and word-less texts have no shingle and are classes of their own, one for each row; texts
 of fewer than ``SHINGLE`` words have one shingle, all their words; of rows that repeat a doc_id with equal texts one
@@ -36,8 +37,8 @@ BANDS, ROWS = 26, 5
 TURNS = 6
 #: Leaders of a bucket in one turn, and sets of three bands that each band starts in one turn.
 LEADERS, STEPS = 3, 5
-#: Nodes of a bucket of three bands that all meet each other; of larger ones, nodes meet the leaders.
-FEW = 64
+#: Nodes of a bucket of one band, and of three bands, that all meet each other; those of larger ones meet leaders.
+MET, FEW = 8, 64
 
 _LEAST_RANK = 2.0**-6
 _SLOT = np.uint64((1 << 48) - 1)
@@ -262,31 +263,28 @@ def _link(docs, text, doc_id, signed, nodes, buckets, similarity, size) -> DataF
     tested = spark.createDataFrame([], "a long, b long")
     for turn in range(TURNS):
         placed = buckets.join(labels, "node")
-        mixed = placed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = mixed.filter("low <> high").select("band", "key")
-        placed = placed.join(mixed, ["band", "key"])
-        if turn > 0:
-            placed = _finer(placed.select("node", "label").distinct(), nodes, turn)
-        placed = placed.select("band", "key", "node", "label")
-        leaders = placed.groupBy("band", "key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"),
-            F.array_distinct(F.array(*(
-                F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "label")) for i in range(LEADERS if turn else 1)
-            ))).alias("leaders"))
-        leaders = leaders.filter("low <> high").select("band", "key", "leaders", "n")
-        few = (F.col("n") <= FEW) if turn else F.lit(False)
-        meeting = placed.join(leaders.filter(~few), ["band", "key"]).select(
+        if turn:  # in smaller buckets all nodes have met
+            crowded = landed(_mixed(placed, MET).select("node", "label").distinct(), "crowded-nodes")
+            if crowded.isEmpty():
+                break
+            placed = _finer(crowded, nodes, turn)
+        placed = landed(_mixed(placed, 1).select("band", "key", "node", "label", "n"), "mixed-buckets")
+        few = F.col("n") <= (FEW if turn else MET)
+        small = placed.filter(few).select("band", "key", "node", "label")
+        other = small.select("band", "key", F.col("node").alias("b"), F.col("label").alias("other"))
+        met = small.withColumnRenamed("node", "a").join(other, ["band", "key"]).filter("a < b and label <> other")
+        large = placed.filter(~few)
+        leaders = large.groupBy("band", "key").agg(F.array_distinct(F.array(*(
+            F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "label")) for i in range(LEADERS if turn else 1)
+        ))).alias("leaders"))
+        meeting = large.join(leaders, ["band", "key"]).select(
             "node", F.explode(F.filter("leaders", lambda x: x["label"] != F.col("label"))).alias("leader"))
         meeting = meeting.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-        if turn:
-            small = placed.join(leaders.filter(few).select("band", "key"), ["band", "key"])
-            other = small.select("band", "key", F.col("node").alias("b"), F.col("label").alias("other"))
-            met = small.withColumnRenamed("node", "a").join(other, ["band", "key"]).filter("a < b and label <> other")
-            meeting = meeting.unionByName(met.select("a", "b"))
+        meeting = meeting.unionByName(met.select("a", "b"))
         pairs = meeting.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = landed(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue
         found = landed(similar_pairs(pairs, sets, similarity), "near-links")
         tested = tested.unionByName(pairs)
         if found.isEmpty():
@@ -300,6 +298,14 @@ def _link(docs, text, doc_id, signed, nodes, buckets, similarity, size) -> DataF
     return labels
 
 
+def _mixed(placed: DataFrame, over: int) -> DataFrame:
+    """The rows of buckets that hold more than ``over`` nodes and several labels, with the number ``n`` of nodes."""
+    of = placed.groupBy("band", "key").agg(
+        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    of = of.filter((F.col("n") > over) & (F.col("low") != F.col("high"))).select("band", "key", "n")
+    return placed.join(of, ["band", "key"])
+
+
 def _finer(placed: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     """The nodes (node, label) in buckets of three bands at once, others in each turn.
 
