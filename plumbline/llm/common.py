@@ -57,6 +57,16 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def least_rows(rows: DataFrame, by: Column, count: int, *ties: str) -> DataFrame:
+    """The ``count`` rows of least ``by``; ``ties`` order equal ones.
+
+    The limit is found among the values of ``by`` alone, so that no task holds more rows than are kept of all.
+    """
+    marked = rows.withColumn("__by", by)
+    cut = marked.select("__by").orderBy("__by").limit(count).agg(F.max("__by")).first()[0]
+    return marked.filter(F.col("__by") <= F.lit(cut).cast("long")).orderBy("__by", *ties).limit(count).drop("__by")
+
+
 def n_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in the text; null counts as none."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1)

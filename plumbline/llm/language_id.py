@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, mix, slices, text_bytes
+from .common import column, least_rows, map_arrow, mix, slices, text_bytes
 
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
@@ -152,7 +152,7 @@ def fit_languages(
     rows = rows.filter(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("text").rlike(_LETTER))
     # which texts are learned from must not hang on the order of rows
     by = F.xxhash64(F.lit(11), "doc_id", F.octet_length("text"))
-    chosen = rows.select("text", "lang").orderBy(by, "text").limit(settings.sample).collect()
+    chosen = least_rows(rows, by, settings.sample, "text").select("text", "lang").collect()
     return fit([r["text"] for r in chosen], [r["lang"] for r in chosen], settings)
 
 

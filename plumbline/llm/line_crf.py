@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, column, map_arrow
+from .common import SPACES, column, least_rows, map_arrow
 
 SAMPLE = 400
 CONTENT_SHARE = 0.5
@@ -163,7 +163,8 @@ def fit_field(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 100,
 def fit_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Field:
     """Train on the lines of the ``sample`` documents of least hash."""
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text")).filter("text is not null")
-    chosen = rows.orderBy(F.xxhash64(F.lit(5), "doc_id", F.octet_length("text")), "text").select("text").limit(sample).collect()
+    by = F.xxhash64(F.lit(5), "doc_id", F.octet_length("text"))
+    chosen = least_rows(rows, by, sample, "text").select("text").collect()
     tables = [line_table(r["text"].encode()) for r in chosen]
     return fit_field([(x, y) for x, _, y, _ in tables])
 
