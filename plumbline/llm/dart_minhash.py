@@ -9,7 +9,8 @@ coordinate got none. Two documents agree in a coordinate with the probability of
 Documents of equal weighted sets are one node. Nodes that share a band are compared by exact similarity. In a band's
 bucket all nodes meet if they are few. Of a large bucket every node is compared with a leader; the classes so found
 meet again in buckets of three bands at once, where the nodes of small ones all meet and those of large ones meet
-other leaders.
+other leaders. Of the large buckets that hold several classes even then, all nodes of different classes meet, in cells
+of two blocks each, so that every two similar nodes that share a band are linked.
 
 Defined cases: null, empty and word-less texts have no shingle and are classes of their own, one for each row; texts
 of fewer than ``SHINGLE`` words have one shingle, all their words; of rows that repeat a doc_id with equal texts one
@@ -39,6 +40,10 @@ TURNS = 6
 LEADERS, STEPS = 3, 5
 #: Nodes of a bucket of one band, and of three bands, that all meet each other; those of larger ones meet leaders.
 MET, FEW = 8, 64
+#: Nodes, and strips, of about one block of a large bucket.
+BLOCK, BLOCK_STRIPS = 512, 1 << 18
+#: Different strips that are counted in one step of a cell.
+_COLUMNS = 4096
 
 _LEAST_RANK = 2.0**-6
 _SLOT = np.uint64((1 << 48) - 1)
@@ -287,15 +292,85 @@ def _link(docs, text, doc_id, signed, nodes, buckets, similarity, size) -> DataF
             continue
         found = landed(similar_pairs(pairs, sets, similarity), "near-links")
         tested = tested.unionByName(pairs)
-        if found.isEmpty():
-            continue
-        left = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
-        right = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
-        merged = found.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        merged = components(merged).select(F.col("node").alias("label"), F.col("label").alias("now"))
-        labels = landed(labels.join(merged, "label", "left").select(
-            "node", F.coalesce("now", "label").alias("label")), "labels")
-    return labels
+        labels = _merged(labels, found)
+    crowded = landed(_mixed(buckets.join(labels, "node"), MET).select("band", "key", "node", "label"), "crowded-buckets")
+    if crowded.isEmpty():
+        return labels
+    pairs = close_pairs(crowded, nodes, sets, similarity).distinct().join(tested, ["a", "b"], "left_anti")
+    return _merged(labels, landed(similar_pairs(landed(pairs, "close-pairs"), sets, similarity), "near-links"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, label) after the classes of linked nodes (a, b) became one."""
+    if links.isEmpty():
+        return labels
+    left = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    right = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    merged = links.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = components(merged).select(F.col("node").alias("label"), F.col("label").alias("now"))
+    return landed(labels.join(merged, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
+
+
+def _overlaps(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """How many values each two owners share, or more where an owner holds a value twice."""
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    number = np.cumsum(fresh) - 1
+    common = np.bincount(number) > 1
+    number, owner = (np.cumsum(common) - 1)[number[common[number]]], owner[common[number]]
+    total = np.zeros((rows, rows), np.float32)
+    for low in range(0, int(common.sum()), _COLUMNS):
+        first, last = np.searchsorted(number, (low, low + _COLUMNS))
+        at = owner[first:last] * _COLUMNS + number[first:last] - low
+        held = np.bincount(at, minlength=rows * _COLUMNS).astype(np.float32).reshape(rows, _COLUMNS)
+        total += held @ held.T
+    return total
+
+
+def close_pairs(placed: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different labels in one bucket of ``placed`` (band, key, node, label) that may be similar.
+
+    A bucket is cut into blocks, and each two of them meet in one cell. Overlaps are counted there on 32 bits of the
+    strips, which makes none smaller, so that no similar pair is left out; pairs may be named more than once.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            node, label = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("node", "label"))
+            weight = np.concatenate([p.column("short").value_lengths().to_numpy() for p in parts]).astype(np.int64)
+            values = np.concatenate([p.column("short").flatten().to_numpy() for p in parts])
+            common = _overlaps(values, np.repeat(np.arange(len(node)), weight), len(node))
+            both = weight[:, None] + weight[None, :]
+            good = common >= similarity * (both - common) - 1e-3
+            good &= np.minimum.outer(weight, weight) >= similarity * np.maximum.outer(weight, weight) - 1e-9
+            a, b = np.nonzero(good & (label[:, None] != label[None, :]) & (node[:, None] < node[None, :]))
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        parts, current = [], None
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)])) if len(cells) else [0]
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                if parts and cells[first] != current:
+                    yield close(parts)
+                    parts = []
+                parts.append(batch.slice(first, last - first))
+                current = cells[first]
+        if parts:
+            yield close(parts)
+
+    buckets = placed.join(nodes.select("node", "weight"), "node").groupBy("band", "key").agg(F.ceil(F.greatest(
+        F.count("*") / BLOCK, F.sum("weight") / BLOCK_STRIPS)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
+    dealt = placed.join(buckets, ["band", "key"]).withColumn("own", own).select(
+        "band", "key", "node", "label", "own", F.explode(others).alias("other"))
+    cell = F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other"))
+    short = sets.select("node", F.transform("strips", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
+    cells = dealt.select(cell.alias("cell"), "node", "label").join(short, "node")
+    return map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), meet, "a long, b long")
 
 
 def _mixed(placed: DataFrame, over: int) -> DataFrame:

@@ -291,6 +291,63 @@ def test_near_classes(spark, corpus):
     assert dart_minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_classes_of_a_crowded_family(spark, monkeypatch):
+    # all documents are much alike, so that their buckets are large, but only the two of a pair are similar; the
+    # classes must not hang on how often nodes meet leaders
+    monkeypatch.setattr(dart_minhash, "TURNS", 1)
+    rng = random.Random(11)
+    base, rows = passage(rng, 100).split(" "), []
+    for i in range(100):
+        member = list(base)
+        for at in rng.sample(range(5, 95), 2):
+            member[at] = f"m{i}x{at}"
+        twin = list(member)
+        for at in rng.sample(range(5, 95), 2):
+            twin[at] = f"t{i}x{at}"
+        rows += [(2 * i, " ".join(member)), (2 * i + 1, " ".join(twin))]
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    got = dart_minhash.near_duplicates(docs_of(spark, rows)).collect()
+    largest = {}
+    for i, _ in rows:
+        largest.setdefault(find(i), []).append(i)
+    wanted = {i: sorted(members) for members in largest.values() for i in members}
+    found = {}
+    for r in got:
+        found.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert {i: sorted(members) for members in found.values() for i in members} == wanted
+
+
+def test_close_pairs_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    pool = rng.integers(-(1 << 62), 1 << 62, 60)
+    sets = [sorted({int(v) for v in rng.choice(pool, int(rng.integers(20, 50)), replace=False)}) for _ in range(90)]
+    sets += [s[:-1] for s in sets[:30]]
+    labels = [i % 7 for i in range(len(sets))]
+    placed = spark.createDataFrame(
+        [(1, k, i, labels[i]) for k, members in ((3, range(80)), (4, range(60, 120)), (5, range(10, 120))) for i in members],
+        "band int, key long, node long, label long")
+    nodes = spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "node long, weight long")
+    strips = spark.createDataFrame(list(enumerate(sets)), "node long, strips array<long>")
+    got = {(r["a"], r["b"]) for r in dart_minhash.close_pairs(placed, nodes, strips, 0.8).collect()}
+    wanted = {
+        (a, b) for members in (range(80), range(60, 120), range(10, 120)) for a in members for b in members
+        if a < b and labels[a] != labels[b]
+        and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert got == wanted and len(wanted) > 10
+
+
 def test_dart_ranks_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
