@@ -104,16 +104,8 @@ _REWRITE = re.compile(
     rf"|(?P<sign>[{re.escape(''.join(LOOKALIKES))}！-～])"
     r"|(?P<other>(?![0-9])\d)"
 )
-_SIGNS = re.compile(rf"[{_INVISIBLE}{re.escape(''.join(LOOKALIKES))}！-～]|(?![0-9])\d")
-_WORDS = ("dot", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "@ ", " @", "(.)", "[.]", *SPELLED)
-
-
-def _suspect(text: str) -> bool:
-    """Whether a transducer may have something to rewrite that matters."""
-    if not text.isascii() and _SIGNS.search(text):
-        return True
-    lower = text.lower()
-    return any(w in lower for w in _WORDS)
+#: Other letters that a pattern which ignores case takes for i and s.
+_FOLD = str.maketrans("\u0130\u0131\u017f", "iis")
 
 
 def normalise(text: str) -> tuple[str, list[int], list[tuple[int, int, int]]]:
@@ -137,7 +129,7 @@ def normalise(text: str) -> tuple[str, list[int], list[tuple[int, int, int]]]:
         elif kind == "plus":
             new = "+"
         elif kind == "digit":
-            new = SPELLED[found.lower()]
+            new = SPELLED[found.translate(_FOLD).lower()]
         elif kind == "gone":
             new = ""
         elif kind == "other":
@@ -155,8 +147,6 @@ def normalise(text: str) -> tuple[str, list[int], list[tuple[int, int, int]]]:
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the normalised text shows, in source characters."""
-    if not _suspect(text):
-        return []
     plain, begins, sources = normalise(text)
     if plain == text:
         return []
