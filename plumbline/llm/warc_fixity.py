@@ -4,7 +4,12 @@ Pages become WARC resource records; archives hold ``RECORDS`` pages each, in ord
 record's offset, length and SHA-256. The records of an archive, in order of offset, are the leaves of a tree: ranges
 of ``RANGE`` bytes of offsets hash their records, ``FANOUT`` neighbouring ranges hash to the range above, up to one root
 per archive. An audit compares the roots of two replicas and descends into the children of nodes that differ only, down
-to the records that differ, are missing, or are in excess.
+to the records of differing ranges. There, records of equal hash are the same ones, wherever they lie now; of the others
+those of one id (or url, where that is null) or one offset are changed, and what is left is missing or in excess.
+
+What cannot be read does not end an audit. Where a record's header is broken, the bytes up to the next record are one
+record without id and url; where a file cannot be unpacked to its end, its packed bytes are one such record, of length 0
+behind what could be read.
 
 Defined cases: a null page is an empty payload, a null url an empty one; pages with a null id go to archives of
 negative number by a hash of their url and page; rows that repeat an id follow each other in one archive; an archive
@@ -14,10 +19,11 @@ that one replica lacks differs as a whole; an empty table gives no archives and
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
@@ -27,6 +33,7 @@ RECORDS = 500
 RANGE = 1 << 16
 FANOUT = 8
 _END = "\r\n\r\n"
+_START = "WARC/1.1\r\nWARC-Type: resource\r\n"
 
 
 def archive_number(page_id: Column, url: Column, html: Column, records: int) -> Column:
@@ -38,7 +45,7 @@ def record_text(page_id: Column, url: Column, html: Column) -> Column:
     """A WARC record without the two line ends that close it."""
     body = F.coalesce(html, F.lit(""))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
+        F.lit(_START + "WARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
         F.lit(">\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", " "),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(_END), body)
 
@@ -52,30 +59,65 @@ def write_archives(pages: DataFrame, path: str, records: int = RECORDS, page_id:
     ordered.select("archive", "value").write.partitionBy("archive").option("lineSep", _END).option("compression", "gzip").text(path)
 
 
+def _unpacked(packed: bytes) -> tuple[bytes, bool]:
+    """The content of a file of one or more gzip members as far as it can be unpacked, and whether that is all."""
+    parts, rest = [], packed
+    while rest:
+        unpack = zlib.decompressobj(31)
+        try:
+            parts.append(unpack.decompress(rest) + unpack.flush())
+        except zlib.error:  # again in short steps, to keep what comes before the damage
+            unpack = zlib.decompressobj(31)
+            try:
+                for i in range(len(rest)):
+                    parts.append(unpack.decompress(rest[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), False
+        if not unpack.eof:
+            return b"".join(parts), False
+        rest = unpack.unused_data
+    return b"".join(parts), True
+
+
+def _records(data: bytes) -> Iterator[tuple]:
+    """Offset, length, page_id, url and hash of each record; page_id and url are null where it cannot be read."""
+    at, close = 0, _END.encode()
+    while at < len(data):
+        number = url = None
+        try:
+            body = data.index(close, at) + 4
+            lines = data[at : body - 4].split(b"\r\n")
+            fields = dict(line.split(b": ", 1) for line in lines[1:])
+            size = int(fields[b"Content-Length"])
+            end = body + size + 4
+            if not lines[0].startswith(b"WARC/") or size < 0 or data[end - 4 : end] != close:
+                raise ValueError("not a record")
+            name, url = fields[b"WARC-Record-ID"], fields[b"WARC-Target-URI"].decode()
+            if not (name.startswith(b"<urn:page:") and name.endswith(b">")):
+                raise ValueError("not a record id")
+            number = int(name[10:-1]) if name[10:-1] else None
+            if number is not None and not -(1 << 63) <= number < 1 << 63:
+                raise ValueError("not a page id")
+        except (KeyError, ValueError):
+            number = url = None
+            following = data.find(close + _START.encode(), at)
+            end = following + 4 if following >= 0 else len(data)
+        yield at, end - at, number, url, hashlib.sha256(data[at:end]).hexdigest()
+        at = end
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: archive, offset, length (closing line ends included), page_id, url, sha256."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
             for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content")):
-                # the file may be of several gzip members
-                data, rest = b"", content.as_py()
-                while rest:
-                    unpack = zlib.decompressobj(31)
-                    data += unpack.decompress(rest) + unpack.flush()
-                    rest = unpack.unused_data
-                rows, at = [], 0
-                while at < len(data):
-                    body = data.index(b"\r\n\r\n", at) + 4
-                    fields = dict(line.split(b": ", 1) for line in data[at : body - 4].split(b"\r\n")[1:])
-                    end = body + int(fields[b"Content-Length"]) + 4
-                    number = fields[b"WARC-Record-ID"][10:-1]
-                    rows.append((
-                        archive, at, end - at, int(number) if number else None, fields[b"WARC-Target-URI"].decode(),
-                        hashlib.sha256(data[at:end]).hexdigest()))
-                    at = end
+                packed = content.as_py()
+                data, whole = _unpacked(packed)
+                rows = [(archive, *record) for record in _records(data)]
+                if not whole:
+                    rows.append((archive, len(data), 0, None, None, hashlib.sha256(packed).hexdigest()))
                 columns = list(zip(*rows)) if rows else [()] * 6
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays(
@@ -103,7 +145,10 @@ def tree(records: DataFrame, levels: int, range_bytes: int = RANGE, fanout: int
 
 
 def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE, fanout: int = FANOUT) -> DataFrame:
-    """Records of replicas (archive, offset, sha256) that differ: archive, offset, state (changed, missing, extra)."""
+    """Records of replicas (as ``read_archives`` gives them) that differ: archive, offset, state (changed, missing, extra).
+
+    Offsets are those of ``left``, for extra records those of ``right``.
+    """
     farthest = max((r[0] or 0) for df in (left, right) for r in df.agg(F.max("offset")).collect())
     levels, reach = 0, farthest // range_bytes
     while reach:
@@ -121,12 +166,31 @@ def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE, fanout: i
     suspects = landed(suspects, "suspect-ranges")
 
     def inside(records: DataFrame, name: str) -> DataFrame:
-        rows = records.select("archive", "offset", F.col("sha256").alias(name), F.floor(F.col("offset") / range_bytes).alias("node"))
+        mark = F.coalesce(F.concat(F.lit("id "), F.col("page_id").cast("string")), F.concat(F.lit("url "), F.col("url")))
+        rows = records.select(
+            "archive", F.col("offset").alias(name), "sha256", mark.alias("mark"), F.floor(F.col("offset") / range_bytes).alias("node"))
         return rows.join(suspects, ["archive", "node"], "left_semi").drop("node")
 
-    found = inside(left, "x").join(inside(right, "y"), ["archive", "offset"], "full_outer").filter(~F.col("x").eqNullSafe(F.col("y")))
+    def paired(ours: DataFrame, theirs: DataFrame, key: Column) -> DataFrame:
+        """Both sides in rows (archive, x, mark_x, y, mark_y); records of one key meet in their order."""
+        sides = []
+        for rows, name in ((ours, "x"), (theirs, "y")):
+            once = Window.partitionBy("archive", "key").orderBy(name)
+            keyed = rows.withColumn("key", key).withColumn("nth", F.when(F.col("key").isNotNull(), F.row_number().over(once)))
+            sides.append(keyed.select("archive", "key", "nth", name, F.col("mark").alias(f"mark_{name}")))
+        return sides[0].join(sides[1], ["archive", "key", "nth"], "full_outer").drop("key", "nth")
+
+    def unpaired(rows: DataFrame, name: str) -> DataFrame:
+        other = "y" if name == "x" else "x"
+        return rows.filter(F.col(other).isNull()).select("archive", name, F.col(f"mark_{name}").alias("mark"))
+
+    equal = landed(paired(inside(left, "x"), inside(right, "y"), F.col("sha256")), "equal-records")
+    named = landed(paired(unpaired(equal, "x"), unpaired(equal, "y"), F.col("mark")), "named-records")
+    a, b = unpaired(named, "x").withColumn("at", F.col("x")), unpaired(named, "y").withColumn("at", F.col("y"))
+    placed = a.drop("mark").join(b.drop("mark"), ["archive", "at"], "full_outer").select("archive", "x", "y")
+    found = named.filter("x is not null and y is not null").select("archive", "x", "y").unionByName(placed)
     state = F.when(F.col("x").isNull(), "extra").when(F.col("y").isNull(), "missing").otherwise("changed")
-    return found.select("archive", "offset", state.alias("state"))
+    return found.select("archive", F.coalesce("x", "y").alias("offset"), state.alias("state"))
 
 
 def audited(spark: SparkSession, first: str, second: str) -> DataFrame:

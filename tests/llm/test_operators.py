@@ -92,6 +92,43 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert warc_fixity.audit(a, a).count() == 0
 
 
+@pytest.mark.parametrize("damage", ["drop", "shorten", "length", "id", "flip", "trailer", "cut"])
+def test_audit_of_damaged_files(spark, tmp_path, damage):
+    rng = random.Random(2)
+    rows = [(i, f"http://x/{i}", passage(rng, 40)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    paths = f"{tmp_path}/a", f"{tmp_path}/b"
+    for path in paths:
+        warc_fixity.write_archives(pages, path, 30)
+    file = next((tmp_path / "b" / "archive=0").glob("*.gz"))
+    (tmp_path / "b" / "archive=0" / f".{file.name}.crc").unlink(missing_ok=True)
+    packed = bytearray(file.read_bytes())
+    records = [r + b"\r\n\r\n" for r in re.split(rb"\r\n\r\n(?=WARC/1.1|$)", zlib.decompress(packed, 31))][:30]
+    if damage in ("flip", "trailer", "cut"):
+        if damage == "cut":
+            del packed[len(packed) // 2 :]
+        else:
+            packed[len(packed) // 2 if damage == "flip" else -6] ^= 255
+    else:
+        records[7] = {
+            "drop": b"", "shorten": records[7].replace(b"http://x/7", b"http:/7"),
+            "length": records[7].replace(b"Content-Length: ", b"Content-Length: x"),
+            "id": records[7].replace(b"<urn:page:7", b"<urn:page:q"),
+        }[damage]
+        packer = zlib.compressobj(wbits=31)
+        packed = packer.compress(b"".join(records)) + packer.flush()
+    file.write_bytes(packed)
+    both = [warc_fixity.read_archives(spark, path) for path in paths]
+    offsets = {r["offset"]: r["page_id"] for r in both[0].collect()}
+    found = [(offsets.get(r["offset"]), r["state"]) for r in warc_fixity.audit(*both, range_bytes=4096).collect()]
+    if damage == "trailer":
+        assert found == [(None, "extra")]
+    elif damage in ("flip", "cut"):
+        assert found and all(i is None or i > 5 for i, _ in found)
+    else:
+        assert found == [(7, {"drop": "missing"}.get(damage, "changed"))]
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
