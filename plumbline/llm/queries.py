@@ -1,11 +1,14 @@
-"""The ten operators over their whole tables, with the SQL of those that SQL can express."""
+"""The operators over their whole tables, with the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, exact_dedup, language_id, line_crf, line_join, mixing, packing, pii, warc_fixity, window_dedup
+from . import (
+    dart_minhash, exact_dedup, language_id, lexical, line_crf, line_join, mixing, packing, pii, rules, warc_fixity, whitening,
+    window_dedup,
+)
 from .common import documents
 from .registry import query
 
@@ -96,3 +99,46 @@ def warc_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_line_join")
 def line_join_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return line_join.duplicate_lines(documents(spark, folder))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+        FROM documents
+    ), i AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), totals AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+    tf AS (SELECT r, doc_id, len(t) AS size, term, count(*) AS tf FROM (SELECT r, doc_id, t, unnest(t) AS term FROM d) GROUP BY ALL),
+    w AS (
+        SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+        FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+    ), scores AS (
+        SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * size * n) // l))))::BIGINT AS score
+        FROM i JOIN w USING (term) JOIN tf USING (term), totals GROUP BY item_id, r, doc_id
+    ), ranked AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scores WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("op13_rule_quality")
+def rule_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return rules.score(docs, rules.fit_rules(docs, spark.read.parquet(f"{folder}/labels.parquet")))
