@@ -9,7 +9,8 @@ from .encoders import (
     SafeLog,
     StandardScale,
 )
-from .plan import FeatureBlock, FeaturePlan, FittedFeatures
+from .plan import FeatureBlock, FeaturePlan, FittedFeatures, Part
+from .vectors import dense, is_sparse, stored_entries, vector, width
 
 __all__ = [
     "Apply",
@@ -22,6 +23,12 @@ __all__ = [
     "ImputeMean",
     "ImputeMode",
     "OneHot",
+    "Part",
     "SafeLog",
     "StandardScale",
+    "dense",
+    "is_sparse",
+    "stored_entries",
+    "vector",
+    "width",
 ]

@@ -1,8 +1,8 @@
 """Feature encoders: what each must learn from the training rows, and the expression it turns into.
 
-An encoder that learns from plain aggregates lists them in ``aggregates``; one that learns from the
-values of a column and their counts sets ``needs_counts``. The feature plan runs one job for all
-encoders that stand at the same place of their chains.
+An encoder that learns from plain aggregates lists them in ``aggregates``; one that needs the most frequent value sets
+``needs_mode``; one whose positions are the distinct values of a column sets ``is_category``. The feature plan runs one
+job for all encoders that stand at the same place of their chains.
 """
 
 from __future__ import annotations
@@ -10,18 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields, is_dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
 
-from ..functions import bind, hashed_ngrams, normalise_array, number, safe_log
-
-MAX_CATEGORIES = 100_000
+from ..functions import hashed_ngrams, normalise_array, number, safe_log
 
 
 class Encoder:
-    needs_counts = False
+    #: ``learned`` gets the most frequent value as ``mode``, and ``fractional`` if that is of a fractional column.
+    needs_mode = False
     is_array = False
+    #: The expression gives ``array<struct<pos,value>>`` within ``entry_width`` positions.
+    is_entries = False
+    #: The positions are the distinct training values of the column; such an encoder is the last of its chain.
+    is_category = False
 
     def arguments(self) -> dict[str, str]:
         """The settings given by the user, for the run's parameters."""
@@ -30,10 +32,6 @@ class Encoder:
     def aggregates(self, col: Column) -> dict[str, Column]:
         return {}
 
-    def learn_counts(self, counts: DataFrame):
-        """Learn from a frame ``(value, n)``, one row per distinct value."""
-        raise NotImplementedError
-
     def expression(self, col: Column, learned: Mapping) -> Column:
         raise NotImplementedError
 
@@ -69,50 +67,23 @@ class StandardScale(Encoder):
 class ImputeMode(Encoder):
     """The most frequent training value; of equally frequent ones the smallest. NaN is a missing value."""
 
-    needs_counts = True
-
-    def learn_counts(self, counts: DataFrame) -> Mapping:
-        fractional = isinstance(counts.schema["value"].dataType, (DoubleType, FloatType))
-        if fractional:
-            counts = counts.withColumn("value", number(F.col("value")))
-        best = counts.filter(F.col("value").isNotNull()).agg(
-            F.min(F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("best")
-        )
-        row = best.first()["best"]
-        return {"mode": None if row is None else row["value"], "fractional": fractional}
+    needs_mode = True
 
     def expression(self, col: Column, learned: Mapping) -> Column:
         return F.coalesce(number(col) if learned["fractional"] else col, F.lit(learned["mode"]))
 
 
 class OneHot(Encoder):
-    """One 0/1 position per training value in sorted order, null last; unseen values give all zeros."""
+    """A 1 at the position of the value among the training values in sorted order, null last; unseen values give none.
 
-    needs_counts = True
-    is_array = True
+    The positions are a table of their own that is joined to the rows, so there may be as many values as there are
+    training rows.
+    """
 
-    def learn_counts(self, counts: DataFrame) -> Mapping:
-        values = [r["value"] for r in counts.select("value").limit(MAX_CATEGORIES + 1).collect()]
-        if len(values) > MAX_CATEGORIES:
-            raise ValueError(
-                f"more than {MAX_CATEGORIES} categories: too wide for a dense one-hot block"
-            )
-        known = sorted(v for v in values if v is not None)
-        return {"categories": known + [None] * (len(known) < len(values))}
+    is_category = True
 
     def expression(self, col: Column, learned: Mapping) -> Column:
-        categories = learned["categories"]
-        if not categories:
-            return F.array().cast("array<double>")
-        known = [c for c in categories if c is not None]
-        position = F.array_position(F.array(*[F.lit(c) for c in known]), col) if known else F.lit(0)
-        if None in categories:
-            position = F.when(col.isNull(), F.lit(len(categories))).otherwise(position)
-        places = F.sequence(F.lit(1), F.lit(len(categories)))
-        return bind(
-            F.coalesce(position, F.lit(0)).cast("int"),
-            lambda at: F.transform(places, lambda i: (i == at).cast("double")),
-        )
+        return col
 
 
 @dataclass
@@ -120,7 +91,11 @@ class HashNgrams(Encoder):
     buckets: int = 100
     low: int = 1
     high: int = 3
-    is_array = True
+    is_entries = True
+
+    @property
+    def entry_width(self) -> int:
+        return self.buckets
 
     def expression(self, col: Column, learned: Mapping) -> Column:
         return hashed_ngrams(col, self.buckets, self.low, self.high)

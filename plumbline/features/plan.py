@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, IntegerType, StructField, StructType
 
+from ..functions import bind, number
+from ..operators.ranking import global_ranks
+from ..session import fresh_path
 from .encoders import Encoder
-
-
-COLLECTED_COUNTS = 200_000
+from .vectors import ENTRY, sparse
 
 
 @dataclass(frozen=True)
@@ -24,31 +24,108 @@ class FeatureBlock:
     chain: Sequence[Encoder]
 
 
+@dataclass(frozen=True)
+class Part:
+    """The features of one column: their expression, and of what kind it is.
+
+    ``number`` is one position, ``array`` as many as the array is long, ``entries`` and ``category`` are ``width`` wide.
+    A category's expression is the value to look up in ``positions(value, position)``.
+    """
+
+    column: str
+    value: Column
+    kind: str
+    width: int = 1
+    positions: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class FittedFeatures:
-    """One expression per column, and the encoders' learned values by (column, place in chain)."""
+    """The parts in order, and the encoders' learned values by (column, place in chain)."""
 
-    parts: Sequence[tuple[str, Column, bool]]
+    parts: Sequence[Part]
     learned: dict
 
-    def expression(self) -> Column:
-        """The whole feature vector as ``array<double>``; a missing number becomes NaN."""
-        scalars: list[Column] = []
+    @property
+    def is_sparse(self) -> bool:
+        return any(p.kind in ("entries", "category") for p in self.parts)
+
+    def transform(self, rows: DataFrame, name: str = "features") -> DataFrame:
+        """The rows with all their columns and the features; see ``vectors`` for their two forms."""
+        joined, found = rows, {}
+        for i, part in enumerate(self.parts):
+            if part.kind == "category":
+                value, known, found[i] = f"__value{i}", f"__known{i}", f"__position{i}"
+                table = part.positions.select(F.col("value").alias(known), F.col("position").alias(found[i]))
+                joined = joined.withColumn(value, part.value)
+                # whether the table is sent to all tasks is left to the optimiser, which knows the size of its files
+                joined = joined.join(table, F.col(value).eqNullSafe(F.col(known)), "left")
+        features = self._entries(found) if self.is_sparse else self._dense()
+        return joined.select(*[F.col(f"`{c}`") for c in rows.columns], features.alias(name))
+
+    def _dense(self) -> Column:
         arrays: list[Column] = []
+        for numbers, other in _runs(self.parts):
+            arrays.append(F.array(*map(_filled, numbers)) if other is None else other.value)
+        return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
 
-        def flush() -> None:
-            if scalars:
-                arrays.append(F.array(*scalars))
-                scalars.clear()
-
-        for _, col, is_array in self.parts:
-            if is_array:
-                flush()
-                arrays.append(col)
+    def _entries(self, found: Mapping[int, str]) -> Column:
+        """Every part's entries moved to its place; the places of arrays follow their lengths."""
+        at, moved, lists = F.lit(0), 0, []
+        place = 0
+        for numbers, other in _runs(self.parts):
+            start = at + F.lit(moved)
+            if other is None:
+                lists.append(F.array(*[_entry(start + F.lit(k), _filled(p)) for k, p in enumerate(numbers)]))
+                moved += len(numbers)
+                place += len(numbers)
+                continue
+            if other.kind == "array":
+                lists.append(_listed(other.value, start))
+                at = at + F.size(other.value)
+            elif other.kind == "entries":
+                lists.append(_moved(other.value, start))
+                moved += other.width
             else:
-                scalars.append(F.coalesce(col.cast("double"), F.lit(float("nan"))))
-        flush()
-        return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+                position = F.col(found[place])
+                one = F.array(_entry(start + position, F.lit(1.0)))
+                lists.append(F.when(position.isNotNull(), one).otherwise(F.array().cast(f"array<{ENTRY}>")))
+                moved += other.width
+            place += 1
+        entries = F.filter(F.concat(*[x.cast(f"array<{ENTRY}>") for x in lists]), lambda e: e["value"] != 0)
+        return bind(entries, lambda e: sparse(at + F.lit(moved), e))
+
+
+def _entry(pos: Column, value: Column) -> Column:
+    return F.struct(pos.alias("pos"), value.alias("value"))
+
+
+def _listed(array: Column, start: Column) -> Column:
+    return F.transform(array, lambda v, i: _entry(start + i, v))
+
+
+def _moved(entries: Column, start: Column) -> Column:
+    return F.transform(entries, lambda e: _entry(start + e["pos"], e["value"]))
+
+
+def _filled(part: Part) -> Column:
+    """A missing number becomes NaN."""
+    return F.coalesce(part.value.cast("double"), F.lit(float("nan")))
+
+
+def _runs(parts: Sequence[Part]):
+    """Runs of neighbouring numbers, and the other parts one by one: ``(numbers, None)`` or ``([], part)``."""
+    numbers: list[Part] = []
+    for part in parts:
+        if part.kind == "number":
+            numbers.append(part)
+            continue
+        if numbers:
+            yield numbers, None
+            numbers = []
+        yield [], part
+    if numbers:
+        yield numbers, None
 
 
 @dataclass(frozen=True)
@@ -57,6 +134,11 @@ class FeaturePlan:
 
     blocks: Sequence[FeatureBlock]
 
+    def __post_init__(self):
+        for block in self.blocks:
+            if any(e.is_category or e.is_entries for e in list(block.chain)[:-1]):
+                raise ValueError("one-hot and hashed encoders stand at the end of their chains")
+
     @property
     def columns(self) -> list[str]:
         return list(dict.fromkeys(c for b in self.blocks for c in b.columns))
@@ -70,13 +152,11 @@ class FeaturePlan:
         ]
 
     def fit(self, train: DataFrame) -> FittedFeatures:
-        """Learn from the training rows: at each place in the chains one job for all aggregates, and
-        one for all counts by value. Counts of a column that were small enough to collect also serve
-        the next encoder of its chain."""
+        """Learn from the training rows: at each place in the chains one job for all aggregates and one for all most
+        frequent values, which bring one row each to the driver, and in the end one table of all categories."""
         chains = [(c, list(b.chain)) for b in self.blocks for c in b.columns]
         current: list[Column] = [F.col(f"`{c}`") for c, _ in chains]
         learned: dict = {}
-        counts: dict[int, DataFrame] = {}
         for place in range(max((len(chain) for _, chain in chains), default=0)):
             active = [i for i, (_, chain) in enumerate(chains) if place < len(chain)]
             wanted = {
@@ -87,57 +167,89 @@ class FeaturePlan:
             row = (
                 train.agg(*[agg.alias(key) for key, agg in wanted.items()]).first() if wanted else {}
             )
-            counting = [i for i in active if chains[i][1][place].needs_counts]
-            missing = [i for i in counting if i not in counts]
-            counts |= value_counts(train, {i: current[i] for i in missing})
+            modes = most_frequent(train, {i: current[i] for i in active if chains[i][1][place].needs_mode})
             for i in active:
                 column, chain = chains[i]
                 encoder = chain[place]
-                values = {
+                values = modes.get(i) or {
                     key.split(".", 1)[1]: row[key] for key in wanted if key.startswith(f"{i}.")
                 }
-                if encoder.needs_counts:
-                    values = encoder.learn_counts(counts[i])
                 learned[(column, place)] = values
                 current[i] = encoder.expression(current[i], values)
-                known = counts.pop(i, None)
-                if known is not None and not encoder.is_array:
-                    value = encoder.expression(F.col("value"), values)
-                    counts[i] = known.groupBy(value.alias("value")).agg(F.sum("n").alias("n"))
-        parts = [
-            (column, current[i], chain[-1].is_array if chain else False)
-            for i, (column, chain) in enumerate(chains)
-        ]
+        categories = {i: current[i] for i, (_, chain) in enumerate(chains) if chain and chain[-1].is_category}
+        tables = category_positions(train, categories)
+        parts = []
+        for i, (column, chain) in enumerate(chains):
+            last = chain[-1] if chain else Encoder()
+            if last.is_category:
+                parts.append(Part(column, current[i], "category", *tables[i]))
+            elif last.is_entries:
+                parts.append(Part(column, current[i], "entries", last.entry_width))
+            else:
+                parts.append(Part(column, current[i], "array" if last.is_array else "number"))
         return FittedFeatures(parts, learned)
 
 
-def value_counts(rows: DataFrame, columns: Mapping[int, Column]) -> dict[int, DataFrame]:
-    """``(value, n)`` for each column, all counted in one pass by grouping sets.
+def _by_column(rows: DataFrame, columns: Mapping[int, Column]) -> tuple[DataFrame, dict[int, str], dict[int, int]]:
+    """``(set, names, n)``, the distinct values of each column with their counts, all counted in one pass by grouping
+    sets. The set number tells the columns apart, also where their values are null."""
+    names = {i: f"c{i}" for i in columns}
+    keys = list(names.values())
+    chosen = rows.select(*[col.alias(names[i]) for i, col in columns.items()])
+    counted = chosen.groupingSets([[k] for k in keys], *keys).agg(F.count("*").alias("n"), F.grouping_id().alias("set"))
+    set_of = {
+        i: sum(1 << (len(keys) - 1 - at) for at in range(len(keys)) if at != place) for place, i in enumerate(names)
+    }
+    return counted, names, set_of
+
 
-    Up to ``COLLECTED_COUNTS`` values in all are held as local rows; more stay distributed.
+def most_frequent(rows: DataFrame, columns: Mapping[int, Column]) -> dict[int, dict]:
+    """The most frequent value of each column, the smallest of equally frequent ones, null without any."""
+    if not columns:
+        return {}
+    kinds = rows.select(*[col.alias(f"c{i}") for i, col in columns.items()]).schema
+    fractional = {i: isinstance(kinds[f"c{i}"].dataType, (DoubleType, FloatType)) for i in columns}
+    counted, names, set_of = _by_column(rows, {i: number(c) if fractional[i] else c for i, c in columns.items()})
+    best = counted.agg(
+        *[
+            F.min(
+                F.when(
+                    (F.col("set") == set_of[i]) & F.col(name).isNotNull(),
+                    F.struct((-F.col("n")).alias("n"), F.col(name).alias("value")),
+                )
+            ).alias(name)
+            for i, name in names.items()
+        ]
+    ).first()
+    return {
+        i: {"mode": None if best[name] is None else best[name]["value"], "fractional": fractional[i]}
+        for i, name in names.items()
+    }
+
+
+def category_positions(rows: DataFrame, columns: Mapping[int, Column]) -> dict[int, tuple[int, DataFrame]]:
+    """For each column the number of its distinct values and a table ``(value, position)`` in sorted order, null last.
+
+    The values are ranked by ranges, in no single task, and written once to the shared folder, where their tables have
+    a known size; nothing but the numbers of values comes to the driver.
     """
     if not columns:
         return {}
-    names = {i: f"c{i}" for i in columns}
-    chosen = rows.select(*[col.alias(names[i]) for i, col in columns.items()])
-    keys = list(names.values())
-    # The set number tells the columns apart, also where their values are null.
-    sets = (
-        chosen.groupingSets([[k] for k in keys], *keys)
-        .agg(F.count("*").alias("n"), F.grouping_id().alias("set"))
-    )
-    set_of = {i: sum(1 << (len(keys) - 1 - at) for at in range(len(keys)) if at != place)
-              for place, i in enumerate(names)}
-    collected = sets.limit(COLLECTED_COUNTS + 1).collect()
-    result = {}
+    counted, names, set_of = _by_column(rows, columns)
+    missing = F.coalesce(*[F.when(F.col("set") == set_of[i], F.col(name).isNull()) for i, name in names.items()])
+    values = counted.select("set", missing.alias("missing"), *names.values())
+    ranked = global_ranks(values, ["set"], ["missing", *names.values()])
+    path = fresh_path(rows.sparkSession, "categories")
+    ranked.select("set", *names.values(), (F.col("rank") - 1).cast("int").alias("position")).write.partitionBy(
+        "set"
+    ).parquet(path)
+    read = rows.sparkSession.read
+    schema = StructType([StructField("set", IntegerType()), StructField("position", IntegerType())])
+    widths = {r["set"]: r["count"] for r in read.schema(schema).parquet(path).groupBy("set").count().collect()}
+    tables = {}
     for i, name in names.items():
-        if len(collected) > COLLECTED_COUNTS:
-            part = sets.filter(F.col("set") == set_of[i]).select(F.col(name).alias("value"), "n")
-        else:
-            mine = [r for r in collected if r["set"] == set_of[i]]
-            kind = chosen.schema[name].dataType
-            schema = StructType([StructField("value", kind), StructField("n", LongType())])
-            local = pa.table({"value": [r[name] for r in mine], "n": [r["n"] for r in mine]})
-            part = rows.sparkSession.createDataFrame(local, schema)
-        result[i] = part
-    return result
+        kind = StructType([StructField(name, counted.schema[name].dataType), StructField("position", IntegerType())])
+        size = widths.get(set_of[i], 0)
+        table = read.schema(kind).parquet(f"{path}/set={set_of[i]}") if size else rows.sparkSession.createDataFrame([], kind)
+        tables[i] = (size, table.withColumnRenamed(name, "value"))
+    return tables

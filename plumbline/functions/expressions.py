@@ -88,30 +88,48 @@ def hash_code(gram: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(gram), 1, 9), 16, 10).cast("bigint") % (2 * buckets)).cast("int")
 
 
+#: n-grams that one counting step takes at once; a longer text is a step of its own.
+STEP = 1 << 20
+
+
 def hashed_ngrams(
     text: Column, buckets: int = 100, low: int = 1, high: int = 3, normalise: bool = True
 ) -> Column:
-    """Signed n-gram counts per hash bucket as ``array<double>``, L2-normalised on request.
+    """Signed n-gram counts by hash bucket as ``array<struct<pos,value>>``, without zeros, in order of the buckets;
+    L2-normalised on request.
 
-    Tokens, n-grams and hashes are built-in expressions; only the counting of the small integer codes
-    leaves the JVM, as one ``bincount`` per Arrow batch.
+    Tokens, n-grams and hashes are built-in expressions; only the counting of the small integer codes leaves the JVM.
+    It costs as much as there are n-grams, however many buckets there are.
     """
     codes = F.transform(word_ngrams(text, low, high), lambda g: hash_code(g, buckets))
     return _bucket_counter(buckets, normalise)(codes)
 
 
 def _bucket_counter(buckets: int, normalise: bool):
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("array<struct<pos:int,value:double>>")
     def count_buckets(codes: pa.Array) -> pa.Array:
-        rows = len(codes)
         lengths = codes.value_lengths().to_numpy(zero_copy_only=False)
-        cells = np.repeat(np.arange(rows) * 2 * buckets, lengths) + codes.flatten().to_numpy()
-        counts = np.bincount(cells, minlength=rows * 2 * buckets).reshape(rows, 2, buckets)
-        values = (counts[:, 0, :] - counts[:, 1, :]).astype("float64")
-        if normalise:
-            norms = np.sqrt((values**2).sum(axis=1, keepdims=True))
-            values /= np.where(norms > 0, norms, 1.0)
-        offsets = np.arange(rows + 1, dtype="int32") * buckets
-        return pa.ListArray.from_arrays(offsets, values.reshape(-1))
+        ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        flat = codes.flatten().to_numpy()
+        sizes, places, values = [np.zeros(1, np.int64)], [], []
+        first = 0
+        while first < len(lengths):
+            last = max(int(np.searchsorted(ends, ends[first] + STEP, side="right")) - 1, first + 1)
+            part = flat[ends[first] : ends[last]].astype(np.int64)
+            rows = np.repeat(np.arange(last - first), lengths[first:last])
+            cells, number = np.unique(rows * buckets + part % buckets, return_inverse=True)
+            sums = np.bincount(number, np.where(part < buckets, 1.0, -1.0), len(cells))
+            cells, sums = cells[sums != 0], sums[sums != 0]
+            rows = cells // buckets
+            if normalise:
+                sums = sums / np.sqrt(np.bincount(rows, sums**2, last - first))[rows]
+            sizes.append(np.bincount(rows, minlength=last - first))
+            places.append(cells % buckets)
+            values.append(sums)
+            first = last
+        offsets = np.cumsum(np.concatenate(sizes))  # no more entries than codes, whose offsets are 32 bits wide too
+        held = [np.concatenate(x) if x else np.zeros(0) for x in (places, values)]
+        entries = pa.StructArray.from_arrays([pa.array(held[0], pa.int32()), pa.array(held[1])], names=["pos", "value"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
 
     return count_buckets

@@ -13,6 +13,7 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..features.vectors import vector
 from ..operators.lineage import LINEAGE
 from ..operators.ranking import roc_auc_value
 from ..operators.sampling import split_at_rank
@@ -35,25 +36,28 @@ def chi_square_2x2(a: float, b: float, c: float, d: float) -> float:
 
 
 class LabelShift(IssueDetector):
-    """Independence of split and label. Two classes: with Yates' correction; more: without."""
+    """Independence of split and label. Two classes: with Yates' correction; more: without. Rows without a label are
+    left out and counted in the details."""
 
     def __init__(self, threshold: float = LABEL_SHIFT_P):
         self.threshold = threshold
 
     def detect(self, pipeline) -> Issue:
         counts = pipeline.label_counts
-        labels = sorted(set(counts["train"]) | set(counts["test"]))
+        unknown = {s: counts[s].get(None, 0) for s in ("train", "test")}
+        labels = sorted(y for y in set(counts["train"]) | set(counts["test"]) if y is not None)
         if len(labels) <= 2:
             pair = [*labels, None, None][:2]
             cells = [float(counts[s].get(y, 0)) for s in ("train", "test") for y in pair]
             # One degree of freedom: the survival function is erfc(sqrt(x / 2)).
             p_value = math.erfc(math.sqrt(chi_square_2x2(*cells) / 2))
         else:
-            p_value = self._more_classes(pipeline.outputs)
+            p_value = self._more_classes(pipeline.rows.filter(F.col("label").isNotNull()))
         return Issue(
             "label_shift",
             p_value < self.threshold,
-            {"threshold": self.threshold, "p_value": p_value},
+            {"threshold": self.threshold, "p_value": p_value}
+            | ({"rows_without_label": unknown} if any(unknown.values()) else {}),
         )
 
     @staticmethod
@@ -104,7 +108,7 @@ def domain_classifier_auc(
 
 def _with_domain(df: DataFrame, domain: float) -> DataFrame:
     return df.select(
-        LINEAGE, array_to_vector("features").alias("vector"), F.lit(domain).alias("domain")
+        LINEAGE, vector(df).alias("vector"), F.lit(domain).alias("domain")
     )
 
 

@@ -1,13 +1,14 @@
 """The classification template: tracked train and test rows, their features, labels and predictions.
 
 Features, label, prediction and lineage of a row stay together in one frame
-``(split, lineage, features, label, prediction)``, so nothing is ever aligned by position.
+``(split, lineage, features, label, prediction)``, so nothing is ever aligned by position. What needs no features reads
+the same rows without them, and then nothing is fitted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -15,7 +16,8 @@ from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..features import FeaturePlan
+from ..features import FeaturePlan, is_sparse
+from ..features.vectors import stored, stored_entries, width
 from ..operators.lineage import LINEAGE
 from ..operators.tracked import JoinRecord, Tracked
 from .fact_table import fact_table_id
@@ -47,37 +49,80 @@ class Source:
         return self.rows.drop(LINEAGE)
 
 
-@dataclass
 class ClassificationPipeline:
-    """What detectors and refinements work on. ``source_rows`` is ``{split: {source_id: rows}}``."""
+    """What detectors and refinements work on. ``source_rows`` is ``{split: {source_id: rows}}``.
 
-    outputs: DataFrame
-    source_rows: dict[str, dict[int, DataFrame]]
-    source_names: dict[int, str]
-    joins: frozenset[JoinRecord] = frozenset()
-    model: Model | None = None
-    cached: list[DataFrame] = field(default_factory=list)
-    known_facts: dict[str, int] = field(default_factory=dict)
-    preprocessing: list[tuple[str, dict[str, str]]] = field(default_factory=list)
+    ``outputs`` may be a function; it is called, and the features are fitted, when they are first asked for. ``rows`` are
+    the outputs without features, and without predictions where a model makes them.
+    """
 
-    def split(self, split: str) -> DataFrame:
+    def __init__(
+        self,
+        outputs: DataFrame | Callable[[ClassificationPipeline], DataFrame],
+        source_rows: dict[str, dict[int, DataFrame]],
+        source_names: dict[int, str],
+        joins: frozenset[JoinRecord] = frozenset(),
+        rows: DataFrame | None = None,
+        cached: Sequence[DataFrame] = (),
+        known_facts: Mapping[str, int] | None = None,
+        preprocessing: Sequence[tuple[str, dict[str, str]]] = (),
+    ):
+        self._outputs = outputs
+        self.source_rows = source_rows
+        self.source_names = source_names
+        self.joins = joins
+        self._rows = rows
+        self.cached = list(cached)
+        self.known_facts = dict(known_facts or {})
+        self.preprocessing = list(preprocessing)
+        self._model: Model | None = None
+
+    @cached_property
+    def outputs(self) -> DataFrame:
+        return self._outputs(self) if callable(self._outputs) else self._outputs
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.outputs if self._rows is None else self._rows
+
+    @property
+    def predicted(self) -> DataFrame:
+        """Rows with their predictions: those without features unless a model has to make them."""
+        return self.rows if "prediction" in self.rows.columns else self.outputs
+
+    @property
+    def model(self) -> Model | None:
+        """The fitted model, if the predictions come from one."""
+        _ = self.outputs
+        return self._model
+
+    @staticmethod
+    def _of_split(df: DataFrame, split: str) -> DataFrame:
         if split not in SPLITS:
             raise ValueError(f"no split {split!r}")
-        return self.outputs.filter(F.col("split") == split).drop("split")
+        return df.filter(F.col("split") == split).drop("split")
+
+    def split(self, split: str) -> DataFrame:
+        return self._of_split(self.outputs, split)
+
+    def split_rows(self, split: str) -> DataFrame:
+        """The rows of a split without features."""
+        return self._of_split(self.rows, split)
 
     def output(self, name: str) -> DataFrame:
         """One of X_train, y_train, X_test, y_test, y_pred with its lineage."""
         if name not in OUTPUTS:
             raise ValueError(f"no output {name!r}")
         split, column = OUTPUTS[name]
-        if column not in self.outputs.columns:
+        df = self.rows if column in self.rows.columns else self.outputs
+        if column not in df.columns:
             raise ValueError(f"the pipeline has no output {name!r}")
-        return self.split(split).select(LINEAGE, column)
+        return self._of_split(df, split).select(LINEAGE, column)
 
     def fact_id(self, split: str) -> int:
         if split not in self.known_facts:
             self.known_facts[split] = fact_table_id(
-                self.split(split), self.source_rows[split], self.joins
+                self.split_rows(split), self.source_rows[split], self.joins
             )
         return self.known_facts[split]
 
@@ -100,7 +145,7 @@ class ClassificationPipeline:
     @cached_property
     def label_counts(self) -> dict[str, dict[float, int]]:
         counts: dict[str, dict[float, int]] = {s: {} for s in SPLITS}
-        for row in self.outputs.groupBy("split", "label").count().collect():
+        for row in self.rows.groupBy("split", "label").count().collect():
             counts[row["split"]][row["label"]] = row["count"]
         return counts
 
@@ -111,24 +156,53 @@ class ClassificationPipeline:
 
 
 def feature_statistics(df: DataFrame) -> DataFrame:
-    """One row per feature position. Partial sums per task keep the shuffle at d rows per task.
+    """One row per feature position: pos, n, n_zero, n_one, low, high, mean, variance.
 
-    The outer form of ``posexplode`` spares the filter on the array's size that the optimiser would
-    add: pushed down, it computes the features a second time.
+    Partial sums per task keep the shuffle at d rows per task. Of sparse features only what is stored is gone through,
+    and one more entry per row, which counts the rows; the zeros follow from that.
     """
-    return (
-        df.select(F.posexplode_outer("features").alias("pos", "x"))
-        .filter(F.col("pos").isNotNull())
-        .groupBy("pos")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(F.col("x") == 0).alias("n_zero"),
-            F.count_if(F.col("x") == 1).alias("n_one"),
-            F.min("x").alias("low"),
-            F.max("x").alias("high"),
-            F.avg("x").alias("mean"),
-            F.var_pop("x").alias("variance"),
-        )
+    if is_sparse(df):
+        return _sparse_statistics(df)
+    entries = stored_entries(df).select("pos", F.col("value").alias("x"))
+    return entries.groupBy("pos").agg(F.count("*").alias("n"), F.count_if(F.col("x") == 0).alias("n_zero"), *_moments())
+
+
+def _moments() -> list[Column]:
+    return [
+        F.count_if(F.col("x") == 1).alias("n_one"),
+        F.min("x").alias("low"),
+        F.max("x").alias("high"),
+        F.avg("x").alias("mean"),
+        F.var_pop("x").alias("variance"),
+    ]
+
+
+def sparse_entries(df: DataFrame) -> DataFrame:
+    """``(pos, x)`` of what sparse features store, and for every row one entry at -1 that holds the features' width."""
+    row = F.struct(F.lit(-1).alias("pos"), width(df).cast("double").alias("value"))
+    return df.select(F.inline_outer(F.concat(F.array(row), stored(df)))).select("pos", F.col("value").alias("x"))
+
+
+def _sparse_statistics(df: DataFrame) -> DataFrame:
+    sums = sparse_entries(df).groupBy("pos").agg(F.count("*").alias("stored"), *_moments())
+    every = sums.filter("pos = -1 AND high > 0").select(
+        F.explode(F.sequence(F.lit(0), F.col("high").cast("int") - 1)).alias("pos"), F.col("stored").alias("n")
+    )
+    both = every.join(sums.filter("pos >= 0"), "pos", "left")
+    n, stored = F.col("n"), F.coalesce("stored", F.lit(0))
+    zeros = n - stored
+    zero = F.when(zeros > 0, F.lit(0.0))
+    mean, variance = F.coalesce("mean", F.lit(0.0)), F.coalesce("variance", F.lit(0.0))
+    return both.select(
+        "pos",
+        "n",
+        zeros.alias("n_zero"),
+        F.coalesce("n_one", F.lit(0)).alias("n_one"),
+        F.coalesce(F.least("low", zero), "low", zero).alias("low"),
+        F.coalesce(F.greatest("high", zero), "high", zero).alias("high"),
+        (mean * stored / n).alias("mean"),
+        # the zeros lie at a distance of the stored ones' mean
+        ((variance + mean * mean * zeros / n) * stored / n).alias("variance"),
     )
 
 
@@ -142,7 +216,7 @@ def build_classification(
     carry: Sequence[str] = (),
     cache: bool = True,
 ) -> ClassificationPipeline:
-    """Fit the features on train, encode both splits, and add predictions.
+    """Features fitted on train and applied to both splits, labels and predictions; fitted when they are asked for.
 
     ``label`` is one expression, or one per split. Predictions come from ``fit``, which gets the
     encoded training rows and returns a pyspark.ml model, or from the plain expression ``prediction``.
@@ -160,25 +234,22 @@ def build_classification(
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(rows)
 
-    encoded = features.fit(rows.filter(F.col("split") == "train")).expression()
-    outputs = rows.select(
-        "split",
-        LINEAGE,
-        encoded.alias("features"),
-        "label",
-        *([] if prediction is None else ["prediction"]),
-        *carry,
-    )
-    model = None
-    if fit is not None:
-        model = fit(outputs.filter(F.col("split") == "train"))
-        outputs = predict(model, outputs)
+    def encoded(pipeline: ClassificationPipeline) -> DataFrame:
+        fitted = features.fit(rows.filter(F.col("split") == "train"))
+        predicted = [] if prediction is None else ["prediction"]
+        outputs = fitted.transform(rows).select("split", LINEAGE, "features", "label", *predicted, *carry)
+        if fit is None:
+            return outputs
+        pipeline._model = fit(outputs.filter(F.col("split") == "train"))
+        return predict(pipeline._model, outputs)
+
+    kept = ["split", LINEAGE, "label", *([] if prediction is None else ["prediction"]), *carry]
     return ClassificationPipeline(
-        outputs,
+        encoded,
         {"train": dict(train.sources), "test": dict(test.sources)},
         {**train.names, **test.names},
         train.joins | test.joins,
-        model,
+        rows.select(*dict.fromkeys(kept)),
         cached,
         preprocessing=features.described(),
     )

@@ -1,18 +1,19 @@
-"""Classifiers of pyspark.ml over ``features array<double>`` and ``label double``."""
+"""Classifiers of pyspark.ml over ``features``, dense or sparse, and ``label double``."""
 
 from __future__ import annotations
 
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..features.vectors import vector, width
+
 _VECTOR = "__vector"
 
 
 def with_vector(df: DataFrame) -> DataFrame:
-    return df.withColumn(_VECTOR, array_to_vector(F.col("features")))
+    return df.withColumn(_VECTOR, vector(df))
 
 
 def fit_linear(
@@ -41,11 +42,11 @@ def fit_network(
     train: DataFrame, hidden: tuple[int, ...] = (256, 64), max_iter: int = 30, seed: int = 42
 ) -> Model:
     """A dense network with two outputs."""
-    width = train.select(F.size("features").alias("d")).first()["d"]
+    inputs = train.agg(F.max(width(train)).alias("d")).first()["d"]
     learner = MultilayerPerceptronClassifier(
         featuresCol=_VECTOR,
         labelCol="label",
-        layers=[width, *hidden, 2],
+        layers=[inputs, *hidden, 2],
         maxIter=max_iter,
         seed=seed,
     )

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..features.vectors import width
 from .classification import SPLITS, ClassificationPipeline
 
 
@@ -30,7 +31,7 @@ def pipeline_profile(pipeline: ClassificationPipeline) -> list[tuple[str, str]]:
     shapes = {
         r["split"]: r
         for r in pipeline.outputs.groupBy("split")
-        .agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d"))
+        .agg(F.count("*").alias("n"), F.max(width(pipeline.outputs)).alias("d"))
         .collect()
     }
     for split in SPLITS:

@@ -49,29 +49,24 @@ class RunStore:
 
     def features(self, run_id: str, split: str) -> DataFrame:
         """Lineage and features of one split of a stored run."""
-        return (
-            self.spark.read.schema(f"{LINEAGE} {LINEAGE_TYPE}, features array<double>, run_id string, split string")
-            .parquet(self._path("outputs"))
-            .filter((F.col("run_id") == run_id) & (F.col("split") == split))
-            .select(LINEAGE, "features")
-        )
+        return self._outputs(run_id, self._layout(run_id)).filter(F.col("split") == split).select(LINEAGE, "features")
 
-    def load(self, run_id: str) -> ClassificationPipeline:
-        """Rebuild the stored pipeline. Sources without files are left out."""
-        described = {
-            r["key"]: r["value"]
-            for r in self.table("params", run_id).filter(F.col("key").startswith("stored.")).collect()
-        }
-        if not described:
+    def _layout(self, run_id: str) -> dict:
+        described = self.table("params", run_id).filter(F.col("key") == "stored.layout").first()
+        if described is None:
             raise ValueError(f"run {run_id!r} holds no pipeline")
-        layout = json.loads(described["stored.layout"])
+        return json.loads(described["value"])
+
+    def _outputs(self, run_id: str, layout: dict) -> DataFrame:
         # runs differ in their columns, so the stored schema is read, not one that is found in some file
         schema = StructType.fromJson(layout["schema"]).add("run_id", "string")
+        return self.spark.read.schema(schema).parquet(self._path("outputs")).filter(F.col("run_id") == run_id)
+
+    def load(self, run_id: str) -> ClassificationPipeline:
+        """Rebuild the stored pipeline. Sources without files are left out."""
+        layout = self._layout(run_id)
         outputs = (
-            self.spark.read.schema(schema).parquet(self._path("outputs"))
-            .filter(F.col("run_id") == run_id)
-            .select(*layout["columns"])
-            .withColumn(LINEAGE, canonical(F.col(LINEAGE)))
+            self._outputs(run_id, layout).select(*layout["columns"]).withColumn(LINEAGE, canonical(F.col(LINEAGE)))
         )
         rows: dict[str, dict[int, DataFrame]] = {"train": {}, "test": {}}
         for split, source_id, place in layout["sources"]:

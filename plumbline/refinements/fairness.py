@@ -99,7 +99,7 @@ class FairnessMetrics(Refinement):
         membership = group_membership(
             source.rows, source.source_id, self.sensitive_attribute, self.non_protected_class
         )
-        predicted = pipeline.split("test").select(LINEAGE, "label", "prediction")
+        predicted = pipeline.predicted.filter(F.col("split") == "test").select(LINEAGE, "label", "prediction")
         return confusion_by_group(predicted, membership, source.source_id)
 
     def compute(self, pipeline, run=None):

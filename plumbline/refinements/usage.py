@@ -29,7 +29,7 @@ class InputUsage(Refinement):
     """Every training source with a flag for the rows used."""
 
     def compute(self, pipeline, run=None):
-        features = pipeline.split("train").select(LINEAGE)
+        features = pipeline.split_rows("train").select(LINEAGE)
         refined = []
         for index, source in enumerate(pipeline.sources("train")):
             flagged = replace(source, rows=with_usage(source.rows, source.source_id, features))

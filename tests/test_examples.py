@@ -55,7 +55,7 @@ def test_clean_reviews(spark, review_files):
     assert pipeline.fact_source("train").name == "reviews"
     assert [s.name for s in pipeline.sources("test")] == ["reviews", "products", "categories", "ratings"]
     # one number, two values of vine, one of each filtered category, 100 hash buckets
-    assert len(pipeline.output("X_train").first()["features"]) == 1 + 2 + 1 + 1 + 100
+    assert pipeline.output("X_train").first()["features"]["size"] == 1 + 2 + 1 + 1 + 100
     report = screen(pipeline, ["label_shift", "traintest_overlap", CovariateShift(trees=20, depth=5)])
     assert report.passes
     used = {s.name: s.data.filter("is_used").count() for s in InputUsage().compute(pipeline)}

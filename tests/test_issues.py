@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.features.vectors import sparse
 from plumbline.issues import (
     ConstantFeatures,
     CovariateShift,
@@ -15,7 +17,8 @@ from plumbline.issues import (
 )
 from plumbline.issues.shift import chi_square_2x2
 from plumbline.operators import roc_auc_value
-from tests.helpers import frame, lineages, pipeline_of, simple_pipeline
+from plumbline.plans.classification import feature_statistics, sparse_entries
+from tests.helpers import FRAME, frame, lineages, pipeline_of, simple_pipeline
 
 
 def test_constant_and_unnormalised_features(spark):
@@ -47,6 +50,33 @@ def test_clean_features_raise_nothing(spark):
     assert not UnnormalisedFeatures().detect(pipeline).is_present
 
 
+def test_sparse_statistics_equal_those_of_all_numbers(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        x = [rng.choice([0.0, 0.0, 0.0, 1.0]), float(i % 50 == 0) * rng.random(), 1e6 + rng.random(), 0.0, 1.0, -3.0 if i else 0.0]
+        x.append(float("nan") if i % 2 else 0.0)
+        rows.append((x,))
+    dense = spark.createDataFrame(rows, "features array<double>").repartition(5)
+    some = F.filter(F.transform("features", lambda v, i: F.struct(i.alias("pos"), v.alias("value"))), lambda e: e["value"] != 0)
+    compact = dense.select(sparse(F.size("features"), some).alias("features"))
+    assert sparse_entries(compact).count() == 300 + sum(v != 0 for (x,) in rows for v in x)  # not 300 times the width
+    one, two = ([tuple(r) for r in feature_statistics(d).orderBy("pos").select(
+        "pos", "n", "n_zero", "n_one", "low", "high", "mean", "variance").collect()] for d in (dense, compact))
+    assert len(one) == len(two) == 7
+    for a, b in zip(one, two):
+        assert a[:4] == b[:4]
+        assert a[4:] == pytest.approx(b[4:], rel=1e-9, abs=1e-12, nan_ok=True)
+    assert feature_statistics(compact.filter("false")).count() == 0
+
+
+def test_constant_features_that_no_row_stores(spark):
+    rows = [("train", [(0, i)], (5, [1], [float(i % 2 + 1)]), 0.0, 0.0) for i in range(9)]
+    outputs = spark.createDataFrame(rows, FRAME.replace("features array<double>", "features struct<size:int,indices:array<int>,values:array<double>>"))
+    issue = ConstantFeatures().detect(pipeline_of(outputs))
+    assert issue.details == {"constant_feature_indices": [0, 2, 3, 4], "nonconstant_feature_indices": [1]}
+
+
 def label_pipeline(spark, train_pos, train_neg, test_pos, test_neg):
     def rows(pos, neg):
         return [([0.0], 1.0)] * pos + [([0.0], 0.0)] * neg
@@ -74,6 +104,18 @@ def test_label_shift_with_an_empty_class_or_more_classes(spark):
     assert LabelShift().detect(other).is_present
 
 
+def test_rows_without_a_label_are_left_out(spark):
+    train = [([0.0], 1.0)] * 100 + [([0.0], 0.0)] * 300 + [([0.0], None)] * 7
+    issue = LabelShift().detect(simple_pipeline(spark, train, [([0.0], 1.0)] * 50 + [([0.0], 0.0)] * 50))
+    plain = LabelShift().detect(label_pipeline(spark, 100, 300, 50, 50))
+    assert issue.is_present and issue.details["p_value"] == plain.details["p_value"]
+    assert issue.details["rows_without_label"] == {"train": 7, "test": 0}
+    three = LabelShift().detect(simple_pipeline(spark, train + [([0.0], 2.0)] * 90, [([0.0], None)] * 5 + [([0.0], 2.0)] * 80))
+    assert three.is_present and three.details["rows_without_label"] == {"train": 7, "test": 5}
+    odd = simple_pipeline(spark, [([0.0], -4.5)] * 100 + [([0.0], 7.0)] * 300, [([0.0], -4.5)] * 50 + [([0.0], 7.0)] * 50)
+    assert LabelShift().detect(odd).details["p_value"] == plain.details["p_value"]
+
+
 def shifted(spark, factor, test_rows=300):
     values = [((i * 37) % 101 - 50.0, (i * 53) % 89 - 44.0) for i in range(1500 + test_rows)]
     train = [([a, b], 0.0) for a, b in values[:1500]]

@@ -80,13 +80,27 @@ def test_outputs_and_sources(reviews):
     ]
     x = pipeline.output("X_train")
     assert x.columns == ["lineage", "features"]
-    assert all(len(r["features"]) == 3 for r in x.collect())
+    assert all(r["features"]["size"] == 3 for r in x.collect())
     assert pipeline.output("y_pred").count() == pipeline.output("y_test").count() == pipeline.output("X_test").count()
     with pytest.raises(ValueError):
         pipeline.output("z")
     pipeline.release()
 
 
+def test_nothing_is_fitted_before_features_are_asked_for(spark, reviews, monkeypatch):
+    fitted = []
+    fit = FeaturePlan.fit
+    monkeypatch.setattr(FeaturePlan, "fit", lambda plan, rows: fitted.append(plan) or fit(plan, rows))
+    pipeline = build(reviews, overlap=True)
+    screen(pipeline, ["label_shift", "traintest_overlap"], [InputUsage(), FairnessMetrics("kind", "a")])
+    assert pipeline.fact_id("train") == 0 and pipeline.output("y_train").count() > 0
+    assert fitted == []
+    assert pipeline.output("X_test").count() == pipeline.output("y_test").count()
+    pipeline.output("X_train").count()
+    assert len(fitted) == 1
+    pipeline.release()
+
+
 def test_missing_predictions_are_an_error(reviews):
     train, test = temporal_split(reviews, "day", "2020-09-01")
     plan = FeaturePlan([FeatureBlock(["stars"], [StandardScale()])])

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,9 +36,18 @@ def loop_shapley(train, sample, k):
     return values
 
 
-def shapley(spark, train, sample, k, parts=3):
-    df = spark.createDataFrame(train, "key long, features array<double>, label double")
-    got = knn_shapley(df.repartition(parts), sample, k).collect()
+SPARSE = "struct<size:int,indices:array<int>,values:array<double>>"
+
+
+def compact(x):
+    return (len(x), [i for i, v in enumerate(x) if v], [v for v in x if v])
+
+
+def shapley(spark, train, sample, k, parts=3, sparse=False, **sizes):
+    kind, form = (SPARSE, compact) if sparse else ("array<double>", list)
+    df = spark.createDataFrame([(key, form(x), y) for key, x, y in train], f"key long, features {kind}, label double")
+    tests = spark.createDataFrame([(i, form(x), y) for i, (x, y) in enumerate(sample)], f"test int, features {kind}, label double")
+    got = knn_shapley(df.repartition(parts), tests, k, **sizes).collect()
     return {r["key"]: r["shapley_value"] for r in got}
 
 
@@ -53,6 +66,45 @@ def test_shapley_against_a_plain_loop(spark, k, parts):
     assert all(got[key] == pytest.approx(expected[key], abs=1e-12) for key in expected)
 
 
+@pytest.mark.parametrize("sparse", [False, True])
+@pytest.mark.parametrize("slot,block", [(4096, 256), (7, 2), (1, 1)])
+def test_shapley_with_one_and_many_blocks(spark, sparse, slot, block):
+    train = [(key, [*x, 0.0, float(key % 2)], y) for key, x, y in TRAIN[50:80]] + [(500, [0.0] * 4, 1.0)]
+    sample = [([*x, 0.0, 1.0], y) for x, y in SAMPLE] + [([0.0] * 4, 0.0)]
+    got = shapley(spark, train, sample, 3, sparse=sparse, slot=slot, block=block)
+    assert got == pytest.approx(loop_shapley(train, sample, 3), abs=1e-12)
+
+
+def test_distances_of_sparse_rows_keep_ties_in_any_parts(monkeypatch):
+    from plumbline.refinements import valuation
+
+    rng = random.Random(6)
+    rows = [[rng.choice([0.0, 0.0, 0.1, 0.7, 1e-9]) for _ in range(40)] for _ in range(30)]
+    rows += [rows[3][:], rows[3][:], [0.0] * 40]
+    held = valuation.SparseRows(pa.chunked_array([pa.array(
+        [dict(zip(("size", "indices", "values"), compact(x))) for x in rows],
+        pa.struct([("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))]))
+    whole = held.distances(held)
+    for cells in (1, 200, 3000):
+        monkeypatch.setattr(valuation, "CELLS", cells)
+        assert (held.distances(held) == whole).all()
+    assert whole == pytest.approx(np.sqrt(((np.array(rows)[:, None] - np.array(rows)[None]) ** 2).sum(axis=2)))
+    assert (whole[3] == whole[30]).all() and whole[3, 31] == 0
+
+
+def test_shapley_of_one_frequent_distance_in_many_ranges(spark):
+    """Two thirds of all rows lie at one distance: their ranges go on by key."""
+    train = [(i, [1.0] if i % 3 else [float(i)], float(i % 2)) for i in range(600)]
+    sample = [([0.0], 1.0)]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = shapley(spark, train, sample, 2, slot=100)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert got == pytest.approx(loop_shapley(train, sample, 2), abs=1e-12)
+
+
 def test_shapley_values_add_up_to_the_classifier_gain(spark):
     k = 5
     got = shapley(spark, TRAIN, SAMPLE, k)

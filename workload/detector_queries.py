@@ -88,7 +88,7 @@ def spoilt_pipeline(spark, folder):
     """,
 )
 def fact_one_to_one(spark, folder):
-    return one_to_one_sources(orders_pipeline(spark, folder, cache=False).split("train"))
+    return one_to_one_sources(orders_pipeline(spark, folder, cache=False).split_rows("train"))
 
 
 @query(
@@ -276,7 +276,7 @@ def roc_auc_exact(spark, folder):
     """,
 )
 def train_test_overlap(spark, folder):
-    shared = shared_lineages(leaky_pipeline(spark, folder).outputs)
+    shared = shared_lineages(leaky_pipeline(spark, folder).rows)
     found = F.count("*")
     return shared.agg(found.alias("num_overlapping_records"), (found > 0).alias("is_present"))
 
@@ -290,7 +290,7 @@ def train_test_overlap(spark, folder):
     """,
 )
 def overlap_rows(spark, folder):
-    rows = overlapping_rows(leaky_pipeline(spark, folder).outputs)
+    rows = overlapping_rows(leaky_pipeline(spark, folder).rows)
     return rows.select(lineage_text(F.col(LINEAGE)).alias("lineage"), "split")
 
 

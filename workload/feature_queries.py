@@ -15,7 +15,9 @@ from plumbline.features import (
     OneHot,
     SafeLog,
     StandardScale,
+    dense,
 )
+from plumbline.features.vectors import stored
 from plumbline.functions import binarize, hashed_ngrams
 from plumbline.operators import LINEAGE, row_id_of, temporal_split
 from plumbline.plans import fit_linear, fit_network
@@ -56,12 +58,16 @@ def encoded(spark, folder, *blocks: FeatureBlock):
     """Fit on the training orders, apply to all: ``(o_orderkey, features)``."""
     frame = with_gaps(spark, folder)
     train, _ = temporal_split(frame, "o_orderdate", moment(SPLIT_DATE))
-    features = FeaturePlan(blocks).fit(train.df).expression()
-    return frame.df.select("o_orderkey", features.alias("features"))
+    return FeaturePlan(blocks).fit(train.df).transform(frame.df).select("o_orderkey", "features")
 
 
 def first_value(df, name: str, digits: int = 6):
-    return df.select("o_orderkey", F.round(F.get("features", F.lit(0)), digits).alias(name))
+    return df.select("o_orderkey", F.round(F.get(dense(df), F.lit(0)), digits).alias(name))
+
+
+def all_values(df):
+    """Every position of every order, zeros included."""
+    return df.select("o_orderkey", F.posexplode(dense(df)).alias("pos", "value"))
 
 
 @query(
@@ -122,8 +128,27 @@ def standard_scale_nan(spark, folder):
     """,
 )
 def one_hot(spark, folder):
-    features = encoded(spark, folder, FeatureBlock(["segment"], [OneHot()]))
-    return features.select("o_orderkey", F.posexplode("features").alias("pos", "value"))
+    return all_values(encoded(spark, folder, FeatureBlock(["segment"], [OneHot()])))
+
+
+@query(
+    "one_hot_wide",
+    f"""
+    WITH {STAR_SQL},
+    placed AS (
+      SELECT c_name, (row_number() OVER (ORDER BY c_name) - 1)::INTEGER AS pos
+      FROM (SELECT DISTINCT c_name FROM star WHERE split = 'train')
+    ),
+    width AS (SELECT count(*)::INTEGER AS width FROM placed)
+    SELECT o_orderkey, width, pos, CASE WHEN pos IS NULL THEN NULL ELSE 1.0 END::DOUBLE AS value
+    FROM star LEFT JOIN placed USING (c_name), width
+    """,
+)
+def one_hot_wide(spark, folder):
+    """As many categories as there are customers in the training rows: what each order holds of them."""
+    features = encoded(spark, folder, FeatureBlock(["c_name"], [OneHot()]))
+    entry = F.inline_outer(stored(features))
+    return features.select("o_orderkey", F.col("features.size").alias("width"), entry)
 
 
 NGRAMS_SQL = """
@@ -150,11 +175,20 @@ WITH words AS (
 def hash_ngrams(spark, folder):
     """Signed 1- to 3-gram counts of whole texts in 100 hash buckets."""
     counts = hashed_ngrams(F.col("text"), normalise=False)
-    return (
-        spread(table(spark, folder, "documents"), "doc_id")
-        .select("doc_id", F.posexplode(counts).alias("bucket", "value"))
-        .filter(F.col("value") != 0)
-    )
+    documents = spread(table(spark, folder, "documents"), "doc_id")
+    return documents.select("doc_id", F.inline(counts).alias("bucket", "value"))
+
+
+@query(
+    "hash_ngrams_wide",
+    NGRAMS_SQL.replace("% 200", "% 524288").replace("% 100", "% 262144").replace("< 100", "< 262144")
+    + " SELECT doc_id, bucket, value FROM counts WHERE value <> 0",
+)
+def hash_ngrams_wide(spark, folder):
+    """The same in 262,144 buckets: a text costs as many entries as it has n-grams."""
+    counts = hashed_ngrams(F.col("text"), buckets=1 << 18, normalise=False)
+    documents = spread(table(spark, folder, "documents"), "doc_id")
+    return documents.select("doc_id", F.inline(counts).alias("bucket", "value"))
 
 
 @query(
@@ -168,8 +202,7 @@ def hash_ngrams(spark, folder):
 def hash_ngrams_normalised(spark, folder):
     return (
         spread(table(spark, folder, "documents"), "doc_id")
-        .select("doc_id", F.posexplode(hashed_ngrams(F.col("text"))).alias("bucket", "value"))
-        .filter(F.col("value") != 0)
+        .select("doc_id", F.inline(hashed_ngrams(F.col("text"))).alias("bucket", "value"))
         .withColumn("value", F.round("value", 6))
     )
 
@@ -189,7 +222,7 @@ def impute_mode(spark, folder):
     frame = with_gaps(spark, folder)
     train, _ = temporal_split(frame, "o_orderdate", moment(SPLIT_DATE))
     plan = FeaturePlan([FeatureBlock(["segment"], [ImputeMode()])])
-    _, filled, _ = plan.fit(train.df).parts[0]
+    filled = plan.fit(train.df).parts[0].value
     return frame.df.select("o_orderkey", filled.alias("segment"))
 
 
@@ -230,8 +263,8 @@ def safe_log(spark, folder):
 def normalise_array(spark, folder):
     plan = FeaturePlan([FeatureBlock(["embedding"], [ArrayFeature(divisor=255.0)])])
     frame = tracked(spark, folder, "embeddings")
-    features = plan.fit(frame.df).expression()
-    return frame.df.select("vec_id", F.posexplode(features).alias("pos", "value")).withColumn(
+    features = plan.fit(frame.df).transform(frame.df)
+    return features.select("vec_id", F.posexplode("features").alias("pos", "value")).withColumn(
         "value", F.round("value", 8)
     )
 
@@ -278,9 +311,7 @@ def assemble_features(spark, folder):
         FeatureBlock(["price", "o_custkey"], [ImputeMean(), SafeLog(), StandardScale()]),
         FeatureBlock(["segment"], [ImputeMode(), OneHot()]),
     )
-    return features.select("o_orderkey", F.posexplode("features").alias("pos", "value")).withColumn(
-        "value", F.round("value", 6)
-    )
+    return all_values(features).withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -329,7 +360,7 @@ def apply_column_udf(spark, folder):
 )
 def feature_row_counts(spark, folder):
     pipeline = orders_pipeline(spark, folder, cache=False)
-    return pipeline.outputs.groupBy("split").agg(
+    return pipeline.predicted.groupBy("split").agg(
         F.count("*").alias("n_rows"),
         F.sum("label").alias("positives"),
         F.sum("prediction").alias("predicted"),
@@ -346,7 +377,7 @@ def feature_row_counts(spark, folder):
 )
 def accuracy_score(spark, folder):
     pipeline = orders_pipeline(spark, folder, cache=False)
-    return accuracy(pipeline.outputs).select(F.round("accuracy", 6).alias("accuracy"))
+    return accuracy(pipeline.predicted).select(F.round("accuracy", 6).alias("accuracy"))
 
 
 def _predictions(pipeline, source_id: int):
