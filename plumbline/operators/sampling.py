@@ -1,7 +1,8 @@
 """Samples and splits by a hash of each row's lineage: the same rows whatever the partitioning.
 
-Exact sizes need the n-th smallest hash. It is found by narrowing hash prefixes with small counts, so
-that the sample itself is a plain filter: no sort, and no set of rows gathered in one task.
+Exact sizes need the n-th smallest hash. Two passes over the rows find it, whatever their number: one counts hash
+prefixes, the other writes the hashes with the right prefix, a 4,096th of all, and these are narrowed down on their own.
+The sample itself is a plain filter: no sort, and no set of rows gathered in one task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
 from .lineage import LINEAGE, lineage_text
 from .tracked import Tracked
 
@@ -20,7 +22,7 @@ _HASH = "__hash"
 _TEXT = "__text"
 _DIGITS = 3  # hex digits per level: 4,096 counts
 _FULL_DIGITS = 32
-_SMALL = 10_000  # candidates that are ordered directly
+_FAN = 4096  # different hashes that the driver orders in the end
 
 
 def row_hash(seed: int) -> Column:
@@ -37,46 +39,53 @@ class Cut:
     copies: int = 0
 
 
+def _sizes(hashes: DataFrame, digits: int) -> list[tuple[str, int]]:
+    """Rows by prefix in order, at most 4,096 prefixes where the digits before are the same."""
+    prefix = F.substring(_HASH, 1, min(digits, _FULL_DIGITS)).alias("prefix")
+    counted = hashes.groupBy(prefix).agg(F.sum("count").alias("size")).collect()
+    return sorted((r["prefix"], r["size"]) for r in counted)
+
+
+def _holding(sizes: list[tuple[str, int]], wanted: int) -> tuple[str, int]:
+    """The prefix that holds the ``wanted``-th row, and that row's place among those of the prefix."""
+    for prefix, size in sizes:
+        if wanted <= size:
+            break
+        wanted -= size
+    return prefix, wanted
+
+
 def find_cut(df: DataFrame, n: int | Callable[[int], int], seed: int) -> Cut:
     """Where the first ``n`` rows in hash order end.
 
     ``n`` may be a function of the number of rows, which the first counts give for free.
     """
     hashed = df.select(row_hash(seed).alias(_HASH), lineage_text(F.col(LINEAGE)).alias(_TEXT))
-    prefix, wanted, digits = "", None, 0
-    while True:
-        digits += _DIGITS
-        bucket = F.substring(_HASH, 1, min(digits, _FULL_DIGITS))
-        within = hashed.filter(F.col(_HASH).startswith(prefix)) if prefix else hashed
-        sizes = sorted(
-            (r["bucket"], r["count"])
-            for r in within.groupBy(bucket.alias("bucket")).count().collect()
-        )
-        if wanted is None:
-            rows = sum(size for _, size in sizes)
-            wanted = n(rows) if callable(n) else n
-            if wanted <= 0:
-                return Cut(F.lit(False))
-            if wanted >= rows:
-                return Cut(F.lit(True))
-        for prefix, size in sizes:
-            if wanted <= size:
-                break
-            wanted -= size
-        if size <= _SMALL or digits >= _FULL_DIGITS:
-            break
+    digits = _DIGITS
+    sizes = _sizes(hashed.withColumn("count", F.lit(1)), digits)
+    rows = sum(size for _, size in sizes)
+    wanted = n(rows) if callable(n) else n
+    if wanted <= 0:
+        return Cut(F.lit(False))
+    if wanted >= rows:
+        return Cut(F.lit(True))
+    prefix, wanted = _holding(sizes, wanted)
 
     # Equal lineages share a hash, so the boundary lies between distinct (hash, lineage) values, or
     # inside one of them when rows of the same lineage repeat.
-    within = hashed.filter(F.col(_HASH).startswith(prefix))
-    # They are few: at most _SMALL rows have the prefix, or it is a whole md5.
-    candidates = within.groupBy(_HASH, _TEXT).count().orderBy(_HASH, _TEXT).collect()
-    for last in candidates:
+    path = fresh_path(df.sparkSession, "hashes")
+    hashed.filter(F.col(_HASH).startswith(prefix)).groupBy(_HASH, _TEXT).count().write.parquet(path)
+    within = df.sparkSession.read.schema(f"{_HASH} string, {_TEXT} string, count bigint").parquet(path)
+    while len(found := within.limit(_FAN + 1).collect()) > _FAN and digits < _FULL_DIGITS:
+        digits += _DIGITS
+        prefix, wanted = _holding(_sizes(within, digits), wanted)
+        within = within.filter(F.col(_HASH).startswith(prefix))
+    if len(found) > _FAN:
+        raise RuntimeError("too many different lineages share one md5")
+    for last in sorted(found, key=lambda r: (r[_HASH], r[_TEXT])):
         if wanted <= last["count"]:
             break
         wanted -= last["count"]
-    else:
-        raise RuntimeError("too many different lineages share one md5")
 
     hash_now, text_now = row_hash(seed), lineage_text(F.col(LINEAGE))
     here = hash_now == F.lit(last[_HASH])

@@ -1,6 +1,6 @@
 from .base import Refinement
 from .fairness import FairnessMetrics, confusion_by_group, fairness_metric_rows
-from .usage import InputUsage, with_usage
+from .usage import InputUsage, UsedRows
 from .valuation import DataValuation, knn_shapley, value_source_rows
 
 __all__ = [
@@ -8,9 +8,9 @@ __all__ = [
     "FairnessMetrics",
     "InputUsage",
     "Refinement",
+    "UsedRows",
     "confusion_by_group",
     "fairness_metric_rows",
     "knn_shapley",
     "value_source_rows",
-    "with_usage",
 ]

@@ -16,6 +16,7 @@ from plumbline.refinements import (
     fairness_metric_rows,
     knn_shapley,
 )
+from plumbline.refinements.usage import UsedRows
 from tests.helpers import frame, pipeline_of
 
 
@@ -151,6 +152,42 @@ def test_usage_of_every_source(star):
     ]
 
 
+@pytest.mark.parametrize("kind", ["close", "scattered", "negative", "none"])
+def test_usage_by_bitmaps_and_by_ids(spark, kind):
+    ids = {
+        "close": [*range(0, 70_000, 3), 32768, 32769, 65536, 1 << 40],
+        "scattered": [(i * 0x9E3779B97F4A7C15) % (1 << 63) - (1 << 62) for i in range(500)],
+        "negative": [*range(-40_000, 2_000)],
+        "none": [],
+    }[kind]
+    half = set(ids[::2])
+    lineage = F.array(F.struct(F.lit(4).alias("operator_id"), F.col("i").alias("row_id")))
+    every = spark.createDataFrame([(i,) for i in ids], "i long").select("i", lineage.alias("lineage"))
+    repeated = every.filter(F.col("i").isin(list(half)) if len(half) < 600 else F.expr("true")).unionByName(every.limit(0))
+    wanted = spark.createDataFrame([(i,) for i in half], "j long")
+    rows = repeated.join(wanted, F.col("i") == F.col("j")).select("lineage")
+    used = UsedRows(rows.unionByName(rows), [4])
+    assert (4 in used.dense) == (kind in ("close", "negative"))
+    got = used.marked(every, 4).collect()
+    assert len(got) == len(ids) and {r["i"] for r in got if r["is_used"]} == half
+    assert every.columns + ["is_used"] == used.marked(every, 4).columns
+
+
+def test_usage_scans_the_joined_rows_once(spark, star):
+    star_rows = star.rows
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        passes.add(1)
+        yield from batches
+
+    star._rows = star_rows.coalesce(1).mapInArrow(counted, star_rows.schema)
+    star.known_facts["train"] = 0
+    sources = InputUsage().compute(star)
+    assert [s.rows.filter("is_used").count() for s in sources] == [6, 3]
+    assert passes.value == 1
+
+
 def test_valuation_uses_test_labels_and_gives_unused_rows_zero(star):
     values = {r["id"]: r["shapley_value"] for r in DataValuation(1, 2).compute(star).data.collect()}
     train = [(i, [float(i)], float(i % 2)) for i in range(6)]

@@ -145,10 +145,30 @@ def test_narrowing_over_several_levels(numbers, monkeypatch):
 
     expected = lineages(sample_rows(numbers, 333).df)
     monkeypatch.setattr(sampling, "_DIGITS", 1)
-    monkeypatch.setattr(sampling, "_SMALL", 2)
+    monkeypatch.setattr(sampling, "_FAN", 2)
     assert lineages(sample_rows(numbers, 333).df) == expected
 
 
+@pytest.mark.parametrize("digits,fan", [(3, 4096), (1, 1)])
+def test_a_cut_takes_two_passes_over_the_rows(spark, numbers, monkeypatch, digits, fan):
+    from plumbline.operators import sampling
+
+    monkeypatch.setattr(sampling, "_DIGITS", digits)
+    monkeypatch.setattr(sampling, "_FAN", fan)
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        passes.add(1)
+        yield from batches
+
+    rows = numbers.df.coalesce(1).mapInArrow(counted, numbers.df.schema)
+    for wanted in (1, 500, 999):
+        before = passes.value
+        cut = sampling.find_cut(rows, wanted, 9)
+        assert passes.value - before == 2
+        assert numbers.df.filter(cut.head).count() == wanted
+
+
 def test_split_is_exact_and_complete(numbers):
     train, test = random_split(numbers, 0.2, seed=3)
     assert (train.df.count(), test.df.count()) == (800, 200)

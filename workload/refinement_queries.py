@@ -10,23 +10,31 @@ from plumbline.operators import LINEAGE, row_id_of
 from plumbline.refinements import DataValuation, FairnessMetrics, InputUsage, fairness_metric_rows
 from plumbline.refinements.fairness import group_membership
 
-from .bindings import CUSTOMER, EMBEDDINGS, ORDERS, STAR_SQL, orders_pipeline, tracked, vector_pipeline
+from .bindings import EMBEDDINGS, ORDERS, STAR_SQL, orders_pipeline, tracked, vector_pipeline
 from .registry import query
 
 
 @query(
     "input_usage",
     """
+    WITH train_customers AS (
+      SELECT c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate <= TIMESTAMP '1999-12-31'
+    )
     SELECT o_orderkey AS row_id, o_orderdate <= TIMESTAMP '1999-12-31' AND c_custkey IS NOT NULL AS is_used,
            0::INTEGER AS source_id
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey
     UNION ALL
     SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate <= TIMESTAMP '1999-12-31'), 1
     FROM customer
+    UNION ALL
+    SELECT n_nationkey, n_nationkey IN (SELECT c_nationkey FROM train_customers), 2 FROM nation
+    UNION ALL
+    SELECT r_regionkey, r_regionkey IN (SELECT n_regionkey FROM nation JOIN train_customers ON n_nationkey = c_nationkey), 3
+    FROM region
     """,
 )
 def input_usage(spark, folder):
-    """Orders and customers with the flag that says whether X_train used them."""
+    """All rows of the four sources with the flag that says whether X_train used them; one scan of the star."""
     refined = InputUsage().compute(orders_pipeline(spark, folder, cache=False))
     parts = [
         s.rows.select(
@@ -35,7 +43,6 @@ def input_usage(spark, folder):
             F.lit(s.source_id).alias("source_id"),
         )
         for s in refined
-        if s.source_id in (ORDERS, CUSTOMER)
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
