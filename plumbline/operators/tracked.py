@@ -20,11 +20,13 @@ _join_numbers = itertools.count()
 
 @dataclass(frozen=True)
 class JoinRecord:
-    """One join: its number, the sources below it, and its (lazy) output."""
+    """One join: its number, the sources below it, and its (lazy) output, or instead of it the sources of which the
+    output really holds rows."""
 
     number: int
     source_ids: frozenset[int]
-    output: DataFrame = field(compare=False, repr=False)
+    output: DataFrame | None = field(compare=False, repr=False)
+    seen: frozenset[int] | None = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)

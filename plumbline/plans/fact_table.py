@@ -28,6 +28,14 @@ def one_to_one_sources(rows: DataFrame) -> DataFrame:
     )
 
 
+def joined_sources(join: JoinRecord) -> Iterable[int]:
+    """The sources of which the join's output really holds rows: as stored, or by one small aggregate."""
+    if join.seen is not None:
+        return join.seen
+    seen = lineage_entries(join.output).select("operator_id").distinct()
+    return [r["operator_id"] for r in seen.collect()]
+
+
 def join_usage(joins: Iterable[JoinRecord], exact: bool = False) -> dict[int, int]:
     """Number of joins each source takes part in.
 
@@ -36,11 +44,7 @@ def join_usage(joins: Iterable[JoinRecord], exact: bool = False) -> dict[int, in
     """
     usage: Counter[int] = Counter()
     for join in joins:
-        ids: Iterable[int] = join.source_ids
-        if exact:
-            seen = lineage_entries(join.output).select("operator_id").distinct()
-            ids = [r["operator_id"] for r in seen.collect()]
-        usage.update(ids)
+        usage.update(joined_sources(join) if exact else join.source_ids)
     return dict(usage)
 
 

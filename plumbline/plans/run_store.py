@@ -1,6 +1,9 @@
 """Runs kept as Parquet tables: parameters, tags, metrics, refined inputs, outputs with lineage.
 
-The tables are partitioned by ``run_id``; reading one run touches that run's files only.
+The small tables are partitioned by ``run_id``; reading one run touches that run's files only. A saved pipeline lies in
+folders of its own, named by a *manifest* that is written last: with all schemas, the places of its tables, and what its
+joins really joined. Without a manifest there is no pipeline, so one that was half written is never seen, and saving it
+again starts in new folders.
 """
 
 from __future__ import annotations
@@ -8,22 +11,27 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.lineage import LINEAGE, LINEAGE_TYPE, canonical
+from ..operators.lineage import LINEAGE, canonical
 from ..operators.tracked import JoinRecord
 from .classification import ClassificationPipeline
+from .fact_table import joined_sources
 from .profile import pipeline_profile
 
 _SCHEMAS = {
     "params": "key string, value string",
     "tags": "key string, value string",
     "metrics": "key string, value double",
+    "manifests": "version int, saved_at timestamp, manifest string",
 }
+#: Of the manifest's form; a store refuses those it does not know.
+VERSION = 2
 
 
 class RunStore:
@@ -43,48 +51,68 @@ class RunStore:
         return Run(self, run_id)
 
     def table(self, name: str, run_id: str | None = None) -> DataFrame:
-        """``params``, ``tags`` or ``metrics``, of all runs or of one."""
-        df = self.spark.read.schema(f"{_SCHEMAS[name]}, run_id string").parquet(self._path(name))
+        """``params``, ``tags``, ``metrics`` or ``manifests``, of all runs or of one."""
+        schema = f"{_SCHEMAS[name]}, run_id string"
+        try:
+            df = self.spark.read.schema(schema).parquet(self._path(name))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            df = self.spark.createDataFrame([], schema)  # nothing was written yet
         return df if run_id is None else df.filter(F.col("run_id") == run_id)
 
+    def saved_runs(self, series: str | None = None) -> DataFrame:
+        """``(run_id, series, saved_at)`` of the runs whose pipeline is complete."""
+        named = self.table("tags").filter(F.col("key") == "series").select("run_id", F.col("value").alias("series"))
+        saved = self.table("manifests").groupBy("run_id").agg(F.max("saved_at").alias("saved_at"))
+        found = saved.join(named, "run_id")
+        return found if series is None else found.filter(F.col("series") == series)
+
     def features(self, run_id: str, split: str) -> DataFrame:
         """Lineage and features of one split of a stored run."""
-        return self._outputs(run_id, self._layout(run_id)).filter(F.col("split") == split).select(LINEAGE, "features")
-
-    def _layout(self, run_id: str) -> dict:
-        described = self.table("params", run_id).filter(F.col("key") == "stored.layout").first()
-        if described is None:
-            raise ValueError(f"run {run_id!r} holds no pipeline")
-        return json.loads(described["value"])
-
-    def _outputs(self, run_id: str, layout: dict) -> DataFrame:
-        # runs differ in their columns, so the stored schema is read, not one that is found in some file
-        schema = StructType.fromJson(layout["schema"]).add("run_id", "string")
-        return self.spark.read.schema(schema).parquet(self._path("outputs")).filter(F.col("run_id") == run_id)
+        outputs = self._read(self._manifest(run_id)["outputs"])
+        return outputs.filter(F.col("split") == split).select(LINEAGE, "features")
 
     def load(self, run_id: str) -> ClassificationPipeline:
-        """Rebuild the stored pipeline. Sources without files are left out."""
-        layout = self._layout(run_id)
-        outputs = (
-            self._outputs(run_id, layout).select(*layout["columns"]).withColumn(LINEAGE, canonical(F.col(LINEAGE)))
-        )
+        """Rebuild the stored pipeline. Sources whose files are gone are left out."""
+        manifest = self._manifest(run_id)
+        outputs = self._read(manifest["outputs"]).withColumn(LINEAGE, canonical(F.col(LINEAGE)))
         rows: dict[str, dict[int, DataFrame]] = {"train": {}, "test": {}}
-        for split, source_id, place in layout["sources"]:
-            stored = self._read_if_there(f"{self.root}/{place}")
+        for split, source_id, table in manifest["sources"]:
+            stored = self._read_if_there(table)
             if stored is not None:
                 rows[split][source_id] = stored.withColumn(LINEAGE, canonical(F.col(LINEAGE)))
         joins = frozenset(
-            JoinRecord(number, frozenset(ids), outputs) for number, ids in layout["joins"]
+            JoinRecord(j["number"], frozenset(j["sources"]), None, frozenset(j["seen"])) for j in manifest["joins"]
+        )
+        return ClassificationPipeline(
+            outputs,
+            rows,
+            {int(k): v for k, v in manifest["names"].items()},
+            joins,
+            known_facts=manifest["facts"],
+            preprocessing=[(kind, arguments) for kind, arguments in manifest["preprocessing"]],
         )
-        names = {int(k): v for k, v in layout["names"].items()}
-        return ClassificationPipeline(outputs, rows, names, joins, known_facts=dict(layout["facts"]))
+
+    def _manifest(self, run_id: str) -> dict:
+        """The last manifest of the run."""
+        last = self.table("manifests", run_id).orderBy(F.col("saved_at").desc()).first()
+        if last is None:
+            raise ValueError(f"run {run_id!r} holds no pipeline")
+        if last["version"] != VERSION:
+            raise ValueError(f"run {run_id!r} has a manifest of version {last['version']}, not {VERSION}")
+        return json.loads(last["manifest"])
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _read_if_there(self, path: str) -> DataFrame | None:
+    def _read(self, table: dict) -> DataFrame:
+        schema = StructType.fromJson(table["schema"])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table['place']}")
+
+    def _read_if_there(self, table: dict) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(path)
+            return self._read(table)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
@@ -127,29 +155,33 @@ class Run:
         return self.store.spark.read.parquet(self.table_path(name))
 
     def save(self, pipeline: ClassificationPipeline) -> None:
-        """Write the pipeline's outputs and sources, each row with its lineage, and its profile."""
-        self.log_params(dict(pipeline_profile(pipeline)))
-        (
-            pipeline.outputs.withColumn("run_id", F.lit(self.run_id))
-            .write.mode("append")
-            .partitionBy("run_id", "split")
-            .parquet(self.store._path("outputs"))
-        )
-        places: dict[int, str] = {}
-        layout = []
-        for split, sources in pipeline.source_rows.items():
-            for source_id, rows in sources.items():
+        """Write the pipeline's outputs and sources, each row with its lineage, its profile, and last the manifest."""
+        attempt = f"artifacts/{self.run_id}/pipeline-{uuid.uuid4().hex}"
+
+        def stored(df: DataFrame, name: str, *by: str) -> dict:
+            df.write.partitionBy(*by).parquet(f"{self.store.root}/{attempt}/{name}")
+            return {"place": f"{attempt}/{name}", "schema": df.schema.jsonValue()}
+
+        outputs = stored(pipeline.outputs, "outputs", "split")
+        tables: dict[int, dict] = {}
+        sources = []
+        for split, by_id in pipeline.source_rows.items():
+            for source_id, rows in by_id.items():
                 shared = pipeline.source_rows["train"].get(source_id) is rows
                 if split == "train" or not shared:
-                    places[source_id] = f"artifacts/{self.run_id}/source-{split}-{source_id}"
-                    self.write_table(rows, f"source-{split}-{source_id}")
-                layout.append((split, source_id, places[source_id]))
-        description = {
-            "columns": pipeline.outputs.columns,
-            "schema": pipeline.outputs.schema.jsonValue(),
-            "sources": layout,
+                    tables[source_id] = stored(rows, f"source-{split}-{source_id}")
+                sources.append((split, source_id, tables[source_id]))
+        manifest = {
+            "outputs": outputs,
+            "sources": sources,
             "names": pipeline.source_names,
-            "joins": [(j.number, sorted(j.source_ids)) for j in pipeline.joins],
+            "joins": [
+                {"number": j.number, "sources": sorted(j.source_ids), "seen": sorted(joined_sources(j))}
+                for j in sorted(pipeline.joins, key=lambda j: j.number)
+            ],
             "facts": {s: pipeline.fact_id(s) for s in pipeline.source_rows},
+            "preprocessing": pipeline.preprocessing,
         }
-        self.log_params({"stored.layout": json.dumps(description)})
+        self.log_params(dict(pipeline_profile(pipeline)))
+        rows = [(VERSION, datetime.now(timezone.utc), json.dumps(manifest))]
+        self._append("manifests", rows)

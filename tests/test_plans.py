@@ -168,6 +168,45 @@ def test_run_tables_and_reloaded_pipeline(spark, reviews, tmp_path):
     pipeline.release()
 
 
+def test_reloaded_joins_and_half_written_runs(spark, reviews, tmp_path, monkeypatch):
+    fact, one, two = source(spark, 1, 4), source(spark, 0, 9), source(spark, 2, 9)
+    joined = fact.join(one.filter(F.lit(False)), left_on="id1", right_on="id0").union(fact.join(one, left_on="id1", right_on="id0"))
+    joined = joined.join(two, left_on="id1", right_on="id2").with_column("day", F.col("id1"))
+    train, test = temporal_split(joined, "day", 2)
+    plan = FeaturePlan([FeatureBlock(["id1"], [StandardScale()])])
+    pipeline = build_classification(train, test, plan, F.col("id1") > 1, prediction=F.col("id1") > 0, cache=False)
+    store = RunStore(spark, str(tmp_path / "runs"))
+    run = store.start("joins")
+    assert store.saved_runs().count() == 0
+
+    def stop(*_):
+        raise RuntimeError("executor lost")
+
+    from plumbline.plans import run_store
+
+    profile = run_store.pipeline_profile
+    monkeypatch.setattr(run_store, "pipeline_profile", stop)
+    with pytest.raises(RuntimeError):
+        run.save(pipeline)  # all tables are there, but not the manifest
+    assert store.saved_runs().count() == 0
+    for read in (lambda: store.load(run.run_id), lambda: store.features(run.run_id, "train")):
+        with pytest.raises(ValueError, match="no pipeline"):
+            read()
+    monkeypatch.setattr(run_store, "pipeline_profile", profile)
+    run.save(pipeline)
+    loaded = store.load(run.run_id)
+    assert loaded.outputs.count() == pipeline.outputs.count() == 4  # not twice
+    usage = join_usage(pipeline.joins, exact=True)
+    assert usage == join_usage(loaded.joins, exact=True) != join_usage(loaded.joins)
+    assert join_usage(pipeline.joins) == join_usage(loaded.joins)
+    assert loaded.preprocessing == pipeline.preprocessing
+    assert [r["series"] for r in store.saved_runs("joins").collect()] == ["joins"]
+    assert store.saved_runs("other").count() == 0
+    monkeypatch.setattr(run_store, "VERSION", 3)
+    with pytest.raises(ValueError, match="version 2"):
+        store.load(run.run_id)
+
+
 def test_splits_of_one_frame_are_read_in_one_pass(reviews):
     def unions(pipeline):
         return pipeline.outputs._jdf.queryExecution().analyzed().toString().count("Union")

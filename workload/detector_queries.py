@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from plumbline.features import Apply, FeatureBlock, FeaturePlan, OneHot, StandardScale
+from plumbline.features import Apply, FeatureBlock, FeaturePlan, OneHot, StandardScale, width
 from plumbline.issues import (
     AUC_THRESHOLD,
     ConstantFeatures,
@@ -41,6 +42,7 @@ from .bindings import (
     orders_features,
     orders_pipeline,
     orders_star,
+    vector_pipeline,
 )
 from .registry import query
 
@@ -294,6 +296,51 @@ def overlap_rows(spark, folder):
     return rows.select(lineage_text(F.col(LINEAGE)).alias("lineage"), "split")
 
 
+@query(
+    "runs_of_different_shape",
+    f"""
+    WITH {STAR_SQL},
+    vectors AS (
+      SELECT CASE WHEN row_number() OVER (ORDER BY md5('1337:6:' || vec_id), vec_id) <= ceil(0.2 * count(*) OVER ())
+                  THEN 'test' ELSE 'train' END AS split,
+             CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS label
+      FROM embeddings
+    ),
+    width AS (
+      SELECT 1 + count(DISTINCT c_mktsegment) + count(DISTINCT o_orderpriority) AS d FROM star WHERE split = 'train'
+    )
+    SELECT 'orders' AS series, split, count(*) AS n_rows, max(d)::INTEGER AS width, sum(label)::DOUBLE AS positives,
+           '0:3,1:3,2:2,3:1' AS joins, 4 AS n_sources
+    FROM star, width GROUP BY split
+    UNION ALL
+    SELECT 'vectors', split, count(*), 64, sum(label)::DOUBLE, '', 1 FROM vectors GROUP BY split
+    """,
+)
+def runs_of_different_shape(spark, folder):
+    """Two runs of one store, with sparse and dense features, read back; a third one that was not finished is not seen."""
+    store = RunStore(spark, fresh_path(spark, "runs"))
+    for series, make in (("orders", orders_pipeline), ("vectors", vector_pipeline)):
+        pipeline = make(spark, folder)
+        store.start(series).save(pipeline)
+        pipeline.release()
+    store.start("vectors").log_params({"stored.layout": "{}"})
+    parts = []
+    for saved in store.saved_runs().orderBy("series").collect():
+        loaded = store.load(saved["run_id"])
+        usage = ",".join(f"{i}:{n}" for i, n in sorted(join_usage(loaded.joins, exact=True).items()))
+        parts.append(
+            loaded.outputs.groupBy("split").agg(
+                F.lit(saved["series"]).alias("series"),
+                F.count("*").alias("n_rows"),
+                F.max(width(loaded.outputs)).alias("width"),
+                F.sum("label").alias("positives"),
+                F.lit(usage).alias("joins"),
+                F.lit(len(loaded.source_rows["train"])).alias("n_sources"),
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("covariate_shift_runs")
 def covariate_shift_runs(spark, folder):
     """Training features of stored runs of one pipeline with three start dates, compared in pairs."""
