@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import ChiSquareTest
@@ -81,35 +82,42 @@ def domain_classifier_auc(
     """AUC with which a random forest tells held-out rows of ``two`` from those of ``one``.
 
     Both frames hold ``lineage`` and ``features``. The held-out fifth is chosen by hash, exactly.
+    Trees are at most ``depth`` deep, which bounds what a forest holds; the default of 10 is ours.
     The forest regresses the 0/1 domain: its splits are those of the Gini impurity and its score is
     the mean share of domain 1 in the leaves. The classifier would merge sibling leaves with the same
     majority and so lose the scores when one side is much larger.
     """
     both = _with_domain(one, 0.0).unionByName(_with_domain(two, 1.0))
     both = both.persist(StorageLevel.MEMORY_AND_DISK)
-    shared_folder(both.sparkSession)  # the forest checkpoints its node ids there
     try:
-        held_out, fitted_on = split_at_rank(both, lambda n: math.ceil(HELD_OUT * n), seed)
-        forest = RandomForestRegressor(
-            featuresCol="vector",
-            labelCol="domain",
-            predictionCol="score",
-            numTrees=trees,
-            maxDepth=depth,
-            featureSubsetStrategy="sqrt",
-            seed=seed,
-            maxMemoryInMB=1024,
-            cacheNodeIds=True,
-        ).fit(fitted_on)
-        return roc_auc_value(forest.transform(held_out), "score", "domain")
+        held_out, fitted_on = split_at_rank(both, _held_out, seed)
+        return _forest_auc(fitted_on, held_out, seed, trees, depth)
     finally:
         both.unpersist()
 
 
+def _held_out(rows: int) -> int:
+    return math.ceil(HELD_OUT * rows)
+
+
+def _forest_auc(fitted_on: DataFrame, held_out: DataFrame, seed: int, trees: int, depth: int) -> float | None:
+    shared_folder(fitted_on.sparkSession)  # the forest checkpoints its node ids there
+    forest = RandomForestRegressor(
+        featuresCol="vector",
+        labelCol="domain",
+        predictionCol="score",
+        numTrees=trees,
+        maxDepth=depth,
+        featureSubsetStrategy="sqrt",
+        seed=seed,
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
+    ).fit(fitted_on)
+    return roc_auc_value(forest.transform(held_out), "score", "domain")
+
+
 def _with_domain(df: DataFrame, domain: float) -> DataFrame:
-    return df.select(
-        LINEAGE, vector(df).alias("vector"), F.lit(domain).alias("domain")
-    )
+    return df.select(LINEAGE, vector(df).alias("vector"), F.lit(domain).alias("domain"))
 
 
 class CovariateShift(IssueDetector):
@@ -138,12 +146,63 @@ class CovariateShift(IssueDetector):
         )
 
 
+class RunRows:
+    """The training rows of stored runs as vectors, each run split into rows to fit on and a held-out fifth.
+
+    Every run is read, split and turned into vectors once, and kept in that form for all pairs it takes part in, until
+    ``release``.
+    """
+
+    def __init__(self, store, run_ids: Sequence[str], seed: int = 42):
+        self.rows: dict[str, DataFrame] = {}
+        for run_id in run_ids:
+            features = store.features(run_id, "train")
+            held_out, fitted_on = split_at_rank(features, _held_out, seed)
+            rows = fitted_on.withColumn("held_out", F.lit(False)).unionByName(held_out.withColumn("held_out", F.lit(True)))
+            kept = rows.select(vector(rows).alias("vector"), "held_out")
+            self.rows[run_id] = kept.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def pair(self, a: str, b: str) -> DataFrame:
+        """``(vector, held_out, domain)``; domain 1 is run b."""
+        one, two = (self.rows[r].withColumn("domain", F.lit(d)) for r, d in ((a, 0.0), (b, 1.0)))
+        return one.unionByName(two)
+
+    def sizes(self) -> dict[str, tuple[int, int]]:
+        """Rows and held-out rows of every run."""
+        found = {}
+        for run_id, rows in self.rows.items():
+            row = rows.agg(F.count("*").alias("n"), F.count_if("held_out").alias("held_out")).first()
+            found[run_id] = (row["n"], row["held_out"])
+        return found
+
+    def release(self) -> None:
+        for rows in self.rows.values():
+            rows.unpersist()
+
+
 def covariate_shift_between_runs(
-    store, run_ids: Sequence[str], threshold: float = AUC_THRESHOLD, **options
-) -> list[tuple[str, str, float, bool]]:
-    """(run a, run b, AUC, shifted) for each pair of stored runs, from their training features."""
-    found = []
-    for a, b in combinations(run_ids, 2):
-        auc = domain_classifier_auc(store.features(a, "train"), store.features(b, "train"), **options)
-        found.append((a, b, auc, auc is not None and auc > threshold))
-    return found
+    store,
+    run_ids: Sequence[str],
+    threshold: float = AUC_THRESHOLD,
+    seed: int = 42,
+    trees: int = 100,
+    depth: int = 10,
+    at_once: int = 4,
+) -> list[tuple[str, str, float | None, bool]]:
+    """(run a, run b, AUC, shifted) for each pair of stored runs, from their training features.
+
+    ``at_once`` pairs are worked on side by side, so that the small jobs of one forest fill the gaps of another.
+    """
+    runs = RunRows(store, run_ids, seed)
+
+    def auc_of(pair: tuple[str, str]) -> float | None:
+        rows = runs.pair(*pair)
+        return _forest_auc(rows.filter("NOT held_out"), rows.filter("held_out"), seed, trees, depth)
+
+    pairs = list(combinations(run_ids, 2))
+    try:
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
+            found = list(pool.map(inheritable_thread_target(store.spark)(auc_of), pairs))
+    finally:
+        runs.release()
+    return [(a, b, auc, auc is not None and auc > threshold) for (a, b), auc in zip(pairs, found)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions import add_separator_join
-from ..sources.identity import ROW_ID, hashed_ids, key_ids
+from ..sources.identity import ROW_ID, check_ids, hashed_ids, key_ids
 from .lineage import LINEAGE, merge_lineage, origin
 
 _SALT = "__salt"
@@ -234,10 +234,12 @@ def track(
     source_id: int,
     name: str | None = None,
     key: str | Sequence[str] | None = None,
+    check: bool = False,
 ) -> Tracked:
     """Register a source. ``key`` is a unique integral column, or several columns to be hashed.
 
-    Without a key the frame must come from ``file_position_ids``.
+    Without a key the frame must come from ``file_position_ids``. ``check`` runs one job and raises if a key is null or
+    repeated: rows of one id could not be told apart later on.
     """
     if isinstance(key, str):
         df = key_ids(df, key)
@@ -245,5 +247,7 @@ def track(
         df = hashed_ids(df, key)
     elif ROW_ID not in df.columns:
         raise ValueError("give key=, or read the source with file_position_ids")
+    if check:
+        check_ids(df)
     rows = df.withColumn(LINEAGE, origin(source_id, F.col(ROW_ID))).drop(ROW_ID)
     return Tracked(rows, {source_id: rows}, {source_id: name or f"source-{source_id}"})

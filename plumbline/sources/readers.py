@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from .identity import ROW_ID
 
@@ -65,3 +68,39 @@ def read_delimited(
     return _csv(
         spark, schema, sep=separator, nullValue=null_token, header=skip_first_line, enforceSchema=True
     ).csv(path)
+
+
+@dataclass(frozen=True)
+class CheckedScan:
+    """The rows that fit the schema, and the lines that do not: ``(file, line, copies, fields_read)``."""
+
+    rows: DataFrame
+    rejected: DataFrame
+
+
+_REJECTED = "__rejected"
+
+
+def read_checked_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, **options) -> CheckedScan:
+    """CSV, plain or gzip-compressed, whose lines are checked against the schema; ``options`` are those of Spark's reader.
+
+    A line is rejected if a field cannot be read as its type or if there are too few or too many fields. All fields are
+    parsed for that whichever are used later, so that what is rejected does not depend on the query.
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    read = StructType([*wanted.fields]).add(_REJECTED, StringType())
+    lines = (
+        spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=_REJECTED, columnPruning=False, **options)
+        .schema(read)
+        .csv(path if isinstance(path, str) else list(path))
+    )
+    columns = [F.col(f"`{f.name}`") for f in wanted.fields]
+    known = sum((c.isNotNull().cast("int") for c in columns), F.lit(0))
+    rejected = (
+        lines.filter(F.col(_REJECTED).isNotNull())
+        .groupBy(F.col("_metadata.file_path").alias("file"), F.col(_REJECTED).alias("line"))
+        .agg(F.count("*").alias("copies"), F.max(known).alias("fields_read"))
+    )
+    # fields that nothing refers to are not converted, and what is wrong with them goes unseen
+    every = F.hash(*columns) >= F.lit(-(1 << 31))
+    return CheckedScan(lines.filter(F.col(_REJECTED).isNull() & every).select(*columns), rejected)

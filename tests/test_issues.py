@@ -13,9 +13,10 @@ from plumbline.issues import (
     LabelShift,
     TrainTestOverlap,
     UnnormalisedFeatures,
+    covariate_shift_between_runs,
     overlapping_rows,
 )
-from plumbline.issues.shift import chi_square_2x2
+from plumbline.issues.shift import RunRows, chi_square_2x2
 from plumbline.operators import roc_auc_value
 from plumbline.plans.classification import feature_statistics, sparse_entries
 from tests.helpers import FRAME, frame, lineages, pipeline_of, simple_pipeline
@@ -134,6 +135,29 @@ def test_covariate_shift_is_seen_in_a_small_test_set(spark):
     assert CovariateShift(trees=20, depth=6).detect(shifted(spark, 10.0, test_rows=60)).is_present
 
 
+def test_runs_are_compared_in_pairs_and_read_once(spark, monkeypatch):
+    class Store:
+        def __init__(self):
+            self.spark, self.reads = spark, []
+
+        def features(self, run_id, split):
+            self.reads.append((run_id, split))
+            factor = 10.0 if run_id == "c" else 1.0
+            rows = [([(0, i)], [factor * ((i * 37) % 101 - 50.0), (i * 53) % 89 - 44.0]) for i in range(700)]
+            return spark.createDataFrame(rows, FRAME.split(", label")[0].split("split string, ")[1])
+
+    store = Store()
+    found = covariate_shift_between_runs(store, ["a", "b", "c"], trees=10, depth=5)
+    assert [(a, b, shifted) for a, b, _, shifted in found] == [("a", "b", False), ("a", "c", True), ("b", "c", True)]
+    assert store.reads == [("a", "train"), ("b", "train"), ("c", "train")]
+    again = covariate_shift_between_runs(store, ["a", "b", "c"], trees=10, depth=5, at_once=1)
+    assert [f[:2] + f[3:] for f in again] == [f[:2] + f[3:] for f in found]
+    assert [f[2] for f in again] == pytest.approx([f[2] for f in found], abs=1e-9)
+    runs = RunRows(store, ["a", "c"])
+    assert runs.sizes() == {"a": (700, 140), "c": (700, 140)}
+    runs.release()
+
+
 def brute_auc(pairs):
     pos = [s for s, y in pairs if y == 1]
     neg = [s for s, y in pairs if y == 0]

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import parse_int_array
 from plumbline.operators import track
 from plumbline.sources import (
+    FileRegister,
     file_position_ids,
     landed_ids,
+    read_checked_csv,
     read_delimited,
     read_indexed_csv,
     read_plain_csv,
@@ -70,3 +72,51 @@ def test_composite_key_and_missing_key(spark):
     assert len(set(lineages(track(df, 0, key=["a", "b"]).df))) == 2
     with pytest.raises(ValueError):
         track(df, 0)
+
+
+def test_missing_and_repeated_keys_raise_on_request(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d")], "k long, v string")
+    with pytest.raises(ValueError, match="2 rows have no row id"):
+        track(rows, 0, key="k", check=True)
+    known = rows.filter("k is not null")
+    assert track(known, 0, key="k", check=True).df.count() == 2
+    with pytest.raises(ValueError, match="1 row ids belong to several rows, 2"):
+        track(known.unionByName(known.filter("k = 2")), 0, key="k", check=True)
+    with pytest.raises(ValueError, match="several rows"):
+        track(known.unionByName(known), 0, key=["k", "v"], check=True)
+    assert track(rows.limit(0), 0, key="k", check=True).df.count() == 0
+    assert track(rows, 0, key="k").df.count() == 4
+
+
+def test_registered_files_keep_their_numbers(spark, tmp_path):
+    path, register = str(tmp_path / "t x+%20"), FileRegister(spark, str(tmp_path / "register"))
+    spark.range(100, 200, 1, 2).write.parquet(f"{path}/b")
+    ids = {r["id"]: r[ROW_ID] for r in file_position_ids(spark, f"{path}/*", register).collect()}
+    plain = {r["id"]: r[ROW_ID] for r in file_position_ids(spark, f"{path}/*").collect()}
+    assert len(ids) == 100 and ids == plain
+    spark.range(0, 100, 1, 3).write.parquet(f"{path}/a")
+    after = {r["id"]: r[ROW_ID] for r in file_position_ids(spark, f"{path}/*", register).collect()}
+    assert len(set(after.values())) == 200 and ids.items() <= after.items()
+    assert len(register.known()) == 5
+    shifted = {r["id"]: r[ROW_ID] for r in file_position_ids(spark, f"{path}/*").collect()}
+    assert any(shifted[i] != ids[i] for i in ids)  # which is what the register is for
+    again = file_position_ids(spark, f"{path}/*", FileRegister(spark, register.path))
+    assert {r["id"]: r[ROW_ID] for r in again.collect()} == after
+
+
+def test_lines_that_do_not_fit_are_split_off(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('1,x,2.5\n2,y\n3,z,oops\n4,"q, r",1\n2,y\n5,s,1,extra\n\n6,,\n')
+    with gzip.open(tmp_path / "b.csv.gz", "wt") as out:
+        out.write("7,t,3\nno number,u,4\n")
+    schema = "id int, name string, amount double"
+    scan = read_checked_csv(spark, str(tmp_path / "*.csv*"), schema)
+    assert sorted(map(tuple, scan.rows.collect())) == [(1, "x", 2.5), (4, "q, r", 1.0), (6, None, None), (7, "t", 3.0)]
+    found = {(r["file"].rsplit("/", 1)[1], r["line"]): (r["copies"], r["fields_read"]) for r in scan.rejected.collect()}
+    assert found == {
+        ("a.csv", "2,y"): (2, 2), ("a.csv", "3,z,oops"): (1, 2), ("a.csv", "5,s,1,extra"): (1, 3), ("b.csv.gz", "no number,u,4"): (1, 2)
+    }
+    # whichever columns are read
+    assert scan.rows.select("id").count() == 4 and scan.rows.agg(F.sum("id")).first()[0] == 18
+    (tmp_path / "h.csv").write_text("id;name;amount\n1;x;?\n")
+    headed = read_checked_csv(spark, [str(tmp_path / "h.csv")], schema, header=True, sep=";", nullValue="?")
+    assert [tuple(r) for r in headed.rows.collect()] == [(1, "x", None)] and headed.rejected.count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from plumbline.issues import (
     shared_lineages,
 )
 from plumbline.issues.features import MEAN_TOLERANCE, VARIANCE_TOLERANCE
-from plumbline.issues.shift import chi_square_2x2
+from plumbline.issues.shift import RunRows, chi_square_2x2
 from plumbline.operators import LINEAGE, balance_classes, lineage_text, roc_auc, temporal_split
 from plumbline.plans import (
     RunStore,
@@ -341,17 +342,26 @@ def runs_of_different_shape(spark, folder):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("covariate_shift_runs")
-def covariate_shift_runs(spark, folder):
-    """Training features of stored runs of one pipeline with three start dates, compared in pairs."""
+RUN_STARTS = ("2024-01-01", "2024-01-08", "2024-01-15")
+
+
+def _event_runs(spark, folder):
+    """Stored runs of one pipeline with three start dates."""
     store = RunStore(spark, fresh_path(spark, "runs"))
     starts = {}
-    for start in ("2024-01-01", "2024-01-08", "2024-01-15"):
+    for start in RUN_STARTS:
         run = store.start("events", {"start": start})
         pipeline = events_pipeline(spark, folder, start)
         run.save(pipeline)
         pipeline.release()
         starts[run.run_id] = start
+    return store, starts
+
+
+@query("covariate_shift_runs")
+def covariate_shift_runs(spark, folder):
+    """Training features of the stored runs, compared in pairs."""
+    store, starts = _event_runs(spark, folder)
     found = covariate_shift_between_runs(store, list(starts))
     rows = [(starts[a], starts[b], auc, AUC_THRESHOLD, shifted) for a, b, auc, shifted in found]
     return spark.createDataFrame(
@@ -359,6 +369,37 @@ def covariate_shift_runs(spark, folder):
     )
 
 
+@query(
+    "covariate_shift_run_rows",
+    """
+    WITH starts AS (SELECT unnest(['2024-01-01', '2024-01-08', '2024-01-15']) AS start),
+    kept AS (
+      SELECT start, count(*) AS n FROM events, starts
+      WHERE ts >= start::TIMESTAMP AND md5('3:7:' || event_id) >= '33333333' GROUP BY start
+    ),
+    sizes AS (SELECT start, n, ceil(0.2 * n)::BIGINT AS held_out FROM kept)
+    SELECT a.start AS run_a, b.start AS run_b, (a.n - a.held_out + b.n - b.held_out)::BIGINT AS n_fitted_on,
+           (a.held_out + b.held_out)::BIGINT AS n_held_out, b.held_out AS n_held_out_b
+    FROM sizes a JOIN sizes b ON a.start < b.start
+    """,
+)
+def covariate_shift_run_rows(spark, folder):
+    """What the forests of each pair of runs are fitted on and judged by."""
+    store, starts = _event_runs(spark, folder)
+    runs = RunRows(store, list(starts))
+    parts = [
+        runs.pair(a, b).agg(
+            F.lit(starts[a]).alias("run_a"),
+            F.lit(starts[b]).alias("run_b"),
+            F.count_if(~F.col("held_out")).alias("n_fitted_on"),
+            F.count_if("held_out").alias("n_held_out"),
+            F.count_if(F.col("held_out") & (F.col("domain") == 1)).alias("n_held_out_b"),
+        )
+        for a, b in combinations(starts, 2)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query(
     "run_profile",
     f"""

@@ -19,7 +19,8 @@ from plumbline.operators import (
 )
 from plumbline.plans import RunStore
 from plumbline.session import fresh_path
-from plumbline.sources import file_position_ids
+from plumbline.sources import FileRegister, file_position_ids
+from plumbline.sources.identity import INDEX_BITS, ROW_ID
 
 from .bindings import (
     LEAK_DATE,
@@ -51,24 +52,46 @@ def source_lineage(spark, folder):
 @query(
     "source_positions",
     """
-    SELECT count(*) AS n, 0::BIGINT AS low, count(*) - 1 AS high, count(*) AS different,
-           (sum(l_quantity))::BIGINT AS quantity
-    FROM lineitem
+    SELECT count(*) AS n, count(*) AS different, 5::BIGINT AS n_files, (sum(l_quantity))::BIGINT AS quantity FROM lineitem
     """,
 )
 def source_positions(spark, folder):
-    """Row ids by file position: dense, without gaps, over a table that has no short key."""
-    rows = track(file_position_ids(spark, f"{folder}/lineitem.parquet"), 8, "lineitem")
+    """Row ids by file position over a table that has no short key, in five files."""
+    path = fresh_path(spark, "lineitem")
+    table(spark, folder, "lineitem").repartition(5).write.parquet(path)
+    rows = track(file_position_ids(spark, path), 8, "lineitem")
     row_id = row_id_of(F.col(LINEAGE), 8)
     return rows.df.agg(
         F.count("*").alias("n"),
-        F.min(row_id).alias("low"),
-        F.max(row_id).alias("high"),
         F.count_distinct(row_id).alias("different"),
+        F.count_distinct(F.shiftright(row_id, INDEX_BITS)).alias("n_files"),
         F.sum("l_quantity").cast("bigint").alias("quantity"),
     )
 
 
+@query(
+    "source_positions_kept",
+    """
+    SELECT c_nationkey::INTEGER AS c_nationkey, count(*) AS n, count(*) AS unchanged FROM customer
+    WHERE c_nationkey >= 8 GROUP BY 1
+    """,
+)
+def source_positions_kept(spark, folder):
+    """Customers whose row ids are the same before and after files that sort first were added."""
+    path, customers = fresh_path(spark, "customers"), table(spark, folder, "customer")
+    register = FileRegister(spark, fresh_path(spark, "register"))
+    customers.filter("c_nationkey >= 8").repartition(3).write.parquet(f"{path}/later")
+    before = file_position_ids(spark, f"{path}/later", register).select("c_custkey", F.col(ROW_ID).alias("before"))
+    landed = fresh_path(spark, "before")
+    before.write.parquet(landed)
+    customers.filter("c_nationkey < 8").repartition(4).write.parquet(f"{path}/earlier")
+    after = file_position_ids(spark, f"{path}/*", register)
+    both = after.join(spark.read.parquet(landed), "c_custkey")
+    unique = after.groupBy(ROW_ID).count().filter("count > 1")
+    same = F.count_if(F.col(ROW_ID) == F.col("before")).alias("unchanged")
+    return both.join(unique, ROW_ID, "left_anti").groupBy("c_nationkey").agg(F.count("*").alias("n"), same)
+
+
 @query(
     "parse_array_column",
     """
@@ -380,7 +403,7 @@ def pairs(spark, folder):
     SELECT CASE WHEN row_number() OVER (ORDER BY md5('1337:6:' || vec_id), vec_id)
                      <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split,
            '6:' || vec_id AS lineage, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS label,
-           round(embedding[64]::DOUBLE, 6) AS last_feature
+           (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos, round(unnest(embedding)::DOUBLE, 6) AS value
     FROM embeddings
     """,
 )
@@ -396,8 +419,8 @@ def lineage_roundtrip(spark, folder):
         "split",
         lineage_text(F.col(LINEAGE)).alias("lineage"),
         "label",
-        F.round(F.get("features", F.lit(63)), 6).alias("last_feature"),
-    )
+        F.posexplode("features").alias("pos", "value"),
+    ).withColumn("value", F.round("value", 6))
 
 
 @query(
