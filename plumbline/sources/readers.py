@@ -95,12 +95,12 @@ def read_checked_csv(spark: SparkSession, path: str | Sequence[str], schema: Str
         .csv(path if isinstance(path, str) else list(path))
     )
     columns = [F.col(f"`{f.name}`") for f in wanted.fields]
+    # fields that nothing refers to are not converted, and what is wrong with them goes unseen
+    every = F.hash(*columns) >= F.lit(-(1 << 31))
     known = sum((c.isNotNull().cast("int") for c in columns), F.lit(0))
     rejected = (
-        lines.filter(F.col(_REJECTED).isNotNull())
+        lines.filter(F.col(_REJECTED).isNotNull() & every)
         .groupBy(F.col("_metadata.file_path").alias("file"), F.col(_REJECTED).alias("line"))
         .agg(F.count("*").alias("copies"), F.max(known).alias("fields_read"))
     )
-    # fields that nothing refers to are not converted, and what is wrong with them goes unseen
-    every = F.hash(*columns) >= F.lit(-(1 << 31))
     return CheckedScan(lines.filter(F.col(_REJECTED).isNull() & every).select(*columns), rejected)
