@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import column, least_rows, map_arrow, mix, slices, text_bytes
 
 UNKNOWN = "und"
+#: Bytes of text whose n-grams a prediction holds at once.
+PIECE = 1 << 18
 _LETTER = r"\p{L}"
 
 
@@ -55,8 +57,11 @@ class Model(NamedTuple):
     settings: Settings
 
 
-def gram_ids(flat: np.ndarray, offsets: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of ASCII-lower-cased bytes, those across texts left out, and each text's number."""
+def gram_ids(
+    flat: np.ndarray, offsets: np.ndarray, settings: Settings, starts: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every n-gram of ASCII-lower-cased bytes, those across texts left out, and each text's number; of the
+    n-grams that start within the first ``starts`` bytes, if given."""
     flat = flat[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     lower = np.arange(256, dtype=np.uint32)
@@ -69,10 +74,11 @@ def gram_ids(flat: np.ndarray, offsets: np.ndarray, settings: Settings) -> tuple
     code = np.zeros(len(flat), np.uint32)
     for n in range(1, max(settings.grams) + 1):
         shifted = np.zeros(len(flat), np.uint32)
-        shifted[: len(flat) - n + 1] = letters[n - 1 :]
+        shifted[: max(len(flat) - n + 1, 0)] = letters[n - 1 :]
         code = (code << np.uint32(8)) | shifted if n <= 4 else (code * np.uint32(16777619)) ^ shifted
         if n in settings.grams:
             whole = left >= n
+            whole[len(flat) if starts is None else starts :] = False
             hashed = (code[whole] + np.uint32(n)) * np.uint32(0x9E3779B1)
             hashed ^= hashed >> np.uint32(15)
             hashed *= np.uint32(0x85EBCA77)
@@ -82,11 +88,23 @@ def gram_ids(flat: np.ndarray, offsets: np.ndarray, settings: Settings) -> tuple
 
 
 def logits_of(flat: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
-    ids, owners = gram_ids(flat, offsets, model.settings)
+    """Mean table rows of each text's n-grams plus the bias, gone through in pieces of ``PIECE`` bytes, which may end
+    within a text: a piece is followed by the bytes that its last n-grams still need."""
     rows, kinds = len(offsets) - 1, len(model.languages)
-    counts = np.maximum(np.bincount(owners, minlength=rows), 1)
-    sums = [np.bincount(owners, weights=model.table[ids, k], minlength=rows) for k in range(kinds)]
-    return np.stack(sums, axis=1) / counts[:, None] + model.bias
+    counts, sums = np.zeros(rows), np.zeros((rows, kinds))
+    ahead = max(model.settings.grams) - 1
+    for low in range(int(offsets[0]), int(offsets[-1]), PIECE):
+        high = min(low + PIECE, int(offsets[-1]))
+        first = int(np.searchsorted(offsets, low, side="right")) - 1
+        last = int(np.searchsorted(offsets, high, side="left"))
+        end = min(high + ahead, int(offsets[last]))
+        ends = np.minimum(offsets[first : last + 1], end)
+        ids, owners = gram_ids(flat, np.concatenate(([low], ends[1:])), model.settings, high - low)
+        size = last - first
+        counts[first:last] += np.bincount(owners, minlength=size)
+        for k in range(kinds):
+            sums[first:last, k] += np.bincount(owners, weights=model.table[ids, k], minlength=size)
+    return sums / np.maximum(counts, 1)[:, None] + model.bias
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -192,16 +210,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that are not rejected; columns as given."""
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    from .common import ship
-
-    ship(docs.sparkSession)
     predict = predictor(model)
 
-    @pandas_udf("boolean")
-    def keep(texts):
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-        return (~next(predict(iter([batch]))).column("rejected").to_pandas()).astype(bool)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(text))], names=["text"])
+            yield batch.filter(pc.invert(next(predict(iter([texts]))).column("rejected")))
 
-    return docs.filter(keep(column(text)))
+    return map_arrow(docs, keep, docs.schema)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -508,3 +509,18 @@ def test_window_dedup(spark, corpus, bits):
     assert Counter(map(tuple, got)) == expected
     assert sum(r["n_removed"] for r in got) > 0
     assert window_dedup.remove_repeated(empty(spark)).count() == 0
+
+
+def test_languages_are_the_same_whatever_the_pieces(monkeypatch):
+    texts = ["the house and the street", "", "das Haus und die Straße " * 40, "x", "la maison et la rue"]
+    model = language_id.fit(texts * 4, ["en", "en", "de", "en", "fr"] * 4, language_id.Settings(steps=20, epochs=1))
+    flat, offsets = language_id.text_bytes(pa.array(texts))
+    whole = language_id.logits_of(flat, offsets, model)
+    ids, owners = language_id.gram_ids(flat, offsets, model.settings)
+    for i in range(len(texts)):
+        mine = model.table[ids[owners == i]]
+        assert whole[i] == pytest.approx((mine.mean(axis=0) if len(mine) else 0) + model.bias)
+    for piece in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert language_id.logits_of(flat, offsets, model) == pytest.approx(whole)
+        assert language_id.logits_of(flat, offsets[2:], model) == pytest.approx(whole[2:])
