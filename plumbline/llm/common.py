@@ -19,7 +19,7 @@ from ..session import fresh_path
 #: Bytes between words: space and the controls from tab to carriage return.
 SPACES = b" \t\n\r\x0b\x0c"
 #: Bytes of text that one vectorised step takes at once; a longer text is one step of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def column(name: str) -> Column:
