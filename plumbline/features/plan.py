@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, StructField, StructType
 
 from ..functions import bind, number
-from ..operators.ranking import global_ranks
-from ..session import fresh_path
+from ..session import fresh_path, shuffle_partitions
 from .encoders import Encoder
 from .vectors import ENTRY, sparse
 
@@ -235,21 +235,37 @@ def category_positions(rows: DataFrame, columns: Mapping[int, Column]) -> dict[i
     """
     if not columns:
         return {}
+    spark = rows.sparkSession
     counted, names, set_of = _by_column(rows, columns)
+    keys = list(names.values())
     missing = F.coalesce(*[F.when(F.col("set") == set_of[i], F.col(name).isNull()) for i, name in names.items()])
-    values = counted.select("set", missing.alias("missing"), *names.values())
-    ranked = global_ranks(values, ["set"], ["missing", *names.values()])
-    path = fresh_path(rows.sparkSession, "categories")
-    ranked.select("set", *names.values(), (F.col("rank") - 1).cast("int").alias("position")).write.partitionBy(
-        "set"
-    ).parquet(path)
-    read = rows.sparkSession.read
-    schema = StructType([StructField("set", IntegerType()), StructField("position", IntegerType())])
-    widths = {r["set"]: r["count"] for r in read.schema(schema).parquet(path).groupBy("set").count().collect()}
+    values = counted.select("set", missing.alias("missing"), *keys)
+    ranges = values.repartitionByRange(shuffle_partitions(spark), "set", "missing", *keys)
+    ranges = ranges.withColumn("part", F.spark_partition_id())
+    path = fresh_path(spark, "category-values")
+    ranges.write.parquet(path)  # the numbers of the ranges belong to one execution
+    ranges = spark.read.schema(ranges.schema).parquet(path)
+    # one row for each column and shuffle partition at most
+    before: dict[int, int] = {}
+    starts = []
+    for r in sorted(ranges.groupBy("set", "part").count().collect(), key=lambda r: (r["set"], r["part"])):
+        starts.append((r["set"], r["part"], before.get(r["set"], 0)))
+        before[r["set"]] = before.get(r["set"], 0) + r["count"]
+    columns_of = list(zip(*starts)) or [(), (), ()]
+    kinds = (pa.int64(), pa.int32(), pa.int64())
+    firsts = spark.createDataFrame(
+        pa.table({n: pa.array(c, k) for n, c, k in zip(("set", "part", "first"), columns_of, kinds)})
+    )
+    here = Window.partitionBy("set", "part").orderBy("missing", *keys)
+    placed = ranges.join(firsts, ["set", "part"]).select(
+        "set", *keys, (F.col("first") + F.row_number().over(here) - 1).cast("int").alias("position")
+    )
+    path = fresh_path(spark, "categories")
+    placed.write.partitionBy("set").parquet(path)
     tables = {}
     for i, name in names.items():
         kind = StructType([StructField(name, counted.schema[name].dataType), StructField("position", IntegerType())])
-        size = widths.get(set_of[i], 0)
-        table = read.schema(kind).parquet(f"{path}/set={set_of[i]}") if size else rows.sparkSession.createDataFrame([], kind)
+        size = before.get(set_of[i], 0)
+        table = spark.read.schema(kind).parquet(f"{path}/set={set_of[i]}") if size else spark.createDataFrame([], kind)
         tables[i] = (size, table.withColumnRenamed(name, "value"))
     return tables

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..session import materialise, shuffle_partitions
+from ..session import shuffle_partitions
 
 BUCKET = "__bucket"
 
@@ -55,36 +55,3 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def roc_auc_value(df: DataFrame, score: str, label: str) -> float | None:
     return roc_auc(df, score, label).first()["auc"]
-
-
-def from_end_window(group: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    """Within a bucket of ``global_ranks``, from the last row to the first."""
-    return W.partitionBy(*group, BUCKET).orderBy(*[F.col(c).desc() for c in order])
-
-
-def global_ranks(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``rank`` (1 for the first row of its group), ``total`` (rows of the group) and a bucket.
-
-    No group is put into one task. The rows are range-partitioned and written once, so that bucket
-    numbers hold; a row's rank is its place in its bucket plus the sizes of the buckets before. Those
-    sizes are at most one row per shuffle partition plus one per group. The result is partitioned and
-    sorted as ``from_end_window`` wants it.
-    """
-    rows = materialise(range_buckets(df, [*group, *order]))
-    ranges = (
-        rows.groupBy(*group, BUCKET)
-        .agg(F.count("*").alias("size"))
-        .withColumns(
-            {
-                "before": F.coalesce(F.sum("size").over(before_in(F.col(BUCKET), group)), F.lit(0)),
-                "total": F.sum("size").over(W.partitionBy(*group)),
-            }
-        )
-    )
-    from_end = F.row_number().over(from_end_window(group, order))
-    return (
-        rows.withColumn("from_end", from_end)
-        .join(F.broadcast(ranges), [*group, BUCKET])
-        .withColumn("rank", F.col("before") + F.col("size") - F.col("from_end") + 1)
-        .drop("from_end", "before", "size")
-    )
