@@ -5,7 +5,8 @@ have equal anchors, and neighbouring windows mostly share theirs, so that anchor
 partition sketches the anchors of its documents (once for each document) as cells of ``DEPTH`` rows, partition
 sketches are added block by block, and a window whose anchor stays below two in a row cannot occur in two documents.
 Collisions only overestimate: no repeated window is lost. The second pass groups the windows left by 128 bits of
-hash and removes every word that a window covers which also begins in a document of a smaller doc_id.
+hash, first within each task and then in one shuffle, and removes every word that a window covers which also begins in a
+document of a smaller doc_id.
 
 The sketch's width follows the bytes of text up to ``MOST_BITS``, so that what is broadcast (one bit per cell) has a
 fixed bound; beyond it more windows go to the second pass and the result stays the same.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, landed, map_arrow, mix, slices, text_bytes, window_hashes, window_starts, words_of
@@ -34,6 +35,8 @@ LEAST_BITS, MOST_BITS = 20, 29
 BLOCK_BITS = 16
 #: Anchors that a partition gathers before it gives out a part of its sketch.
 GATHERED = 1 << 21
+#: Windows that a task compares with each other before they are shuffled.
+COMPARED = 1 << 20
 
 
 def window_anchors(hashes: np.ndarray, first: np.ndarray, width: int, anchor: int) -> np.ndarray:
@@ -124,17 +127,38 @@ def repeated_cells(texts: DataFrame, bits: int, width: int = WIDTH, anchor: int
     return result.reshape(DEPTH, -1)
 
 
-_CANDIDATES = "doc_id long, n_words long, whole_sha256 string, text string"
-_WINDOWS = "rank long, row long, a long, b long, at int"
+_QUESTIONS = "a long, b long, rank long, print long, spots binary"
 
 
-def _candidates(sketch, bits: int, width: int, anchor: int):
-    """Two passes over texts: which documents may repeat a window, and the windows that they may repeat."""
+def _packed(at: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Runs of ``at`` that begin at ``begins``, each as little-endian 32-bit integers."""
+    offsets = np.append(begins, len(at)).astype(np.int32) * np.int32(4)
+    return pa.Array.from_buffers(
+        pa.binary(), len(begins), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(at.astype("<i4").tobytes())])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before; the first does."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = False
+    for key in keys:
+        fresh[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _questions(sketch, bits: int, width: int, anchor: int):
+    """rank, print, text -> the windows that may repeat, as one row for each window and document, with all its places.
+
+    Windows are compared within a task first: of those it holds together, only the ones of least rank are asked about
+    (so a window in very many documents leaves a task once). The others are surely repeated; they come out as one row
+    per document, with a null ``b``.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         table = sketch.value
         for batch in batches:
             flat, offsets = text_bytes(batch.column("text"))
+            ranks, prints = (batch.column(n).to_numpy() for n in ("rank", "print"))
             for p, q in slices(offsets):
                 words = words_of(flat, offsets[p : q + 1], lanes=2)
                 first, text = window_starts(words, width)
@@ -143,52 +167,80 @@ def _candidates(sketch, bits: int, width: int, anchor: int):
                 for row in range(DEPTH):
                     cell = cells_of(anchors, row, bits)
                     maybe &= (table[row][cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
-                yield batch.slice(p, q - p), words, first[maybe], text[maybe]
-
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words, _, text in search(batches):
-            found = np.bincount(text, minlength=part.num_rows)
-            texts = part.column("text").to_pylist()
-            whole = [None if n else _sha(t.encode().split()) for t, n in zip(texts, found)]
-            kept = [t if n else None for t, n in zip(texts, found)]
+                first, text = first[maybe], text[maybe]
+                a, b = (window_hashes(words.hashes[i], width, i)[first].view(np.int64) for i in (0, 1))
+                yield a, b, ranks[p:q][text], prints[p:q][text], (first - words.first[text]).astype(np.int32)
+
+    def settled(gathered: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        a, b, rank, print_, at = (np.concatenate(parts) for parts in zip(*gathered))
+        order = np.lexsort((print_, rank, b, a))  # stable: places stay in order
+        a, b, rank, print_, at = (x[order] for x in (a, b, rank, print_, at))
+        begins = _changes(a, b)
+        sure = rank > np.repeat(rank[begins], np.diff(np.append(begins, len(a))))
+        repeated = np.flatnonzero(sure)
+        repeated = repeated[np.lexsort((at[repeated], print_[repeated], rank[repeated]))]
+        a, b, asked, asked_print, asked_at = (x[~sure] for x in (a, b, rank, print_, at))
+        rank, print_, at = rank[repeated], print_[repeated], at[repeated]
+        names = ["a", "b", "rank", "print", "spots"]
+        if len(a):
+            begins = _changes(a, b, asked, asked_print)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(whole, pa.string()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "whole_sha256", "text"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words, first, text in search(batches):
-            a, b = (window_hashes(words.hashes[i], width, i)[first].view(np.int64) for i in (0, 1))
-            owner = pa.array(text)
+                [*(pa.array(x[begins]) for x in (a, b, asked, asked_print)), _packed(asked_at, begins)], names=names)
+        if len(rank):
+            begins = _changes(rank, print_)
+            apart = mix(print_[begins].view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("rank").take(owner), part.column("row").take(owner), pa.array(a), pa.array(b),
-                 pa.array((first - words.first[text]).astype(np.int32))],
-                names=["rank", "row", "a", "b", "at"])
+                [pa.array(apart), pa.nulls(len(begins), pa.int64()), pa.array(rank[begins]), pa.array(print_[begins]),
+                 _packed(at, begins)], names=names)
 
-    return documents, windows
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, count = [], 0
+        for found in search(batches):
+            if len(found[0]):
+                gathered.append(found)
+                count += len(found[0])
+            if count >= COMPARED:
+                for rows in settled(gathered):
+                    yield from _sliced(rows)
+                gathered, count = [], 0
+        if count:
+            for rows in settled(gathered):
+                yield from _sliced(rows)
+
+    return questions
 
 
-def _sha(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _sliced(rows: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for first in range(0, rows.num_rows, most):
+        yield rows.slice(first, most)
 
 
 def _remove(width: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, shas, texts = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-                words = text.encode().split()
+            for first, last in slices(text_bytes(batch.column("text"))[1]):
+                yield mended(batch.slice(first, last - first))
+
+    def mended(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, removed, shas, texts = [], [], [], []
+        for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist()):
+            words = left = text.encode().split()
+            if spots:
                 covered = np.zeros(len(words) + 1, np.int32)
-                at = np.array(starts or [], np.int64)
+                at = np.frombuffer(b"".join(spots), "<i4")
                 np.add.at(covered, at, 1)
                 np.add.at(covered, at + width, -1)
                 keep = np.cumsum(covered[:-1]) == 0
                 left = [w for w, k in zip(words, keep.tolist()) if k]
-                removed.append(len(words) - len(left))
-                shas.append(_sha(left))
-                texts.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            joined = b" ".join(left)
+            counts.append(len(words))
+            removed.append(len(words) - len(left))
+            shas.append(hashlib.sha256(joined).hexdigest())
+            texts.append(joined.decode() if spots else None)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()),
+             pa.array(texts, pa.string())],
+            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return remove
 
@@ -196,27 +248,19 @@ def _remove(width: int):
 def remove_repeated(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, anchor: int = ANCHOR, bits: int | None = None
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, and kept_text where the document may repeat one."""
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, and kept_text where words were removed."""
     spark = docs.sparkSession
     given = docs.select(column(doc_id).cast("long").alias("doc_id"), F.coalesce(column(text), F.lit("")).alias("text"))
     if bits is None:
         size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(max((size // BYTES_PER_CELL).bit_length(), LEAST_BITS), MOST_BITS)
     sketch = spark.sparkContext.broadcast(repeated_cells(given, bits, width, anchor))
-    which, what = _candidates(sketch, bits, width, anchor)
-    seen = landed(map_arrow(given, which, _CANDIDATES).withColumn(
-        "row", F.monotonically_increasing_id()), "window-candidates")
-    # windows are hashed again from the landed texts for each use: they would be larger than the texts on disk
-    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    windows = map_arrow(seen.filter("text is not null").select(rank.alias("rank"), "row", "text"), what, _WINDOWS)
-    spread = windows.groupBy("a", "b").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("low < high")
-    hits = windows.join(spread.select("a", "b", "low"), ["a", "b"]).filter("rank > low")
-    starts = hits.groupBy("row").agg(F.collect_list("at").alias("starts"))
-    texts = seen.filter("text is not null").select("row", "doc_id", "n_words", "text").join(starts, "row", "left")
-    mended = map_arrow(
-        texts.select("doc_id", "n_words", "text", "starts"), _remove(width),
-        "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    clean = seen.filter("text is null").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"),
-        F.lit(None).cast("string").alias("kept_text"))
-    return clean.unionByName(mended)
+    # documents are known by rank and print; rows alike in both have the same words removed
+    known = given.withColumns({"rank": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "print": F.xxhash64("text")})
+    asked = map_arrow(known.select("rank", "print", "text"), _questions(sketch, bits, width, anchor), _QUESTIONS)
+    low = F.min("rank").over(Window.partitionBy("a", "b"))
+    hits = asked.withColumn("low", low).filter("b is null or rank > low")
+    spots = landed(hits.groupBy("rank", "print").agg(F.collect_list("spots").alias("spots")), "window-spots")
+    mended = known.join(spots, ["rank", "print"], "left").select("doc_id", "text", "spots")
+    return map_arrow(
+        mended, _remove(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

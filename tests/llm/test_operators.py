@@ -487,17 +487,17 @@ def test_language_id(spark, small):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
-@pytest.mark.parametrize("bits", [None, 6])  # few cells: every window is estimated repeated
-def test_window_dedup(spark, corpus, bits):
+def without_repeated(rows):
+    """doc_id, n_words, n_removed, kept_sha256 of every row, by brute force."""
     rank = lambda i: (1 << 63) - 1 if i is None else i
     first = {}
-    for i, t, *_ in corpus:
+    for i, t, *_ in rows:
         w = (t or "").encode().split()
         for k in range(len(w) - 12):
             key = tuple(w[k : k + 13])
             first[key] = min(first.get(key, 1 << 63), rank(i))
     expected = Counter()
-    for i, t, *_ in corpus:
+    for i, t, *_ in rows:
         w = (t or "").encode().split()
         keep = [True] * len(w)
         for k in range(len(w) - 12):
@@ -505,12 +505,52 @@ def test_window_dedup(spark, corpus, bits):
                 keep[k : k + 13] = [False] * 13
         left = [x for x, y in zip(w, keep) if y]
         expected[i, len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()] += 1
+    return expected
+
+
+@pytest.mark.parametrize("bits", [None, 6])  # few cells: every window is estimated repeated
+def test_window_dedup(spark, corpus, bits):
     got = window_dedup.remove_repeated(docs_of(spark, corpus), bits=bits).drop("kept_text").collect()
-    assert Counter(map(tuple, got)) == expected
+    assert Counter(map(tuple, got)) == without_repeated(corpus)
     assert sum(r["n_removed"] for r in got) > 0
     assert window_dedup.remove_repeated(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("compared", [1, 50, 1 << 20])
+def test_windows_compared_within_tasks(monkeypatch, compared):
+    """A passage of very many documents, also many times in one document and in rows of one id, leaves a task about
+    once for each part that it compares."""
+    rng = random.Random(9)
+    shared = passage(rng, 13)
+    rows = [(i, f"{passage(rng, 5)} {shared} {passage(rng, 5)}") for i in range(300, 0, -1)]
+    rows += [(301, " ".join([shared] * 30)), (302, "la " * 200), (303, "la lu " * 100), (7, shared), (None, shared), (None, shared + " x")]
+    monkeypatch.setattr(window_dedup, "COMPARED", compared)
+
+    class Sketch:
+        value = np.full((window_dedup.DEPTH, 8), 255, np.uint8)
+
+    monkeypatch.setattr("plumbline.llm.common.CHUNK_BYTES", 2000)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([(1 << 63) - 1 if i is None else i for i, _ in rows]), pa.array(range(len(rows)), pa.int64()), pa.array([t for _, t in rows])],
+        names=["rank", "print", "text"])
+    asked = [r for part in window_dedup._questions(Sketch, 6, 13, 5)(iter([batch])) for r in part.to_pylist()]
+    low = {}
+    for r in asked:
+        low[r["a"], r["b"]] = min(r["rank"], low.get((r["a"], r["b"]), 1 << 63))
+    spots = {}
+    for r in asked:
+        if r["b"] is None or r["rank"] > low[r["a"], r["b"]]:
+            spots.setdefault(r["print"], []).append(r["spots"])
+    rest = pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows]), pa.array([spots.get(k) for k in range(len(rows))], pa.list_(pa.binary()))],
+        names=["doc_id", "text", "spots"])
+    got = [tuple(r.values())[:4] for part in window_dedup._remove(13)(iter([rest])) for r in part.to_pylist()]
+    assert Counter(got) == without_repeated(rows)
+    if compared == 1 << 20:
+        key = max(low, key=lambda k: sum(r["b"] is not None and (r["a"], r["b"]) == k for r in asked))
+        assert sum((r["a"], r["b"]) == key for r in asked) <= 2  # of the rows of least rank only
+
+
 def test_languages_are_the_same_whatever_the_pieces(monkeypatch):
     texts = ["the house and the street", "", "das Haus und die Straße " * 40, "x", "la maison et la rue"]
     model = language_id.fit(texts * 4, ["en", "en", "de", "en", "fr"] * 4, language_id.Settings(steps=20, epochs=1))
