@@ -62,16 +62,16 @@ def language_ids(spark: SparkSession, folder: str) -> DataFrame:
     r"""
     WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
     windows AS (
-        SELECT doc_id, at, array_to_string(w[at : at + 12], ' ') AS key
-        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS at FROM d)
+        SELECT doc_id, spot, array_to_string(w[spot : spot + 12], ' ') AS key
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS spot FROM d)
     ), firsts AS (SELECT key, min(doc_id) AS low FROM windows GROUP BY key),
     covered AS (
-        SELECT DISTINCT doc_id, at + step AS at
-        FROM (SELECT DISTINCT doc_id, at FROM windows JOIN firsts USING (key) WHERE doc_id > low), range(13) AS s(step)
-    ), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d),
+        SELECT DISTINCT doc_id, spot + step AS spot
+        FROM (SELECT DISTINCT doc_id, spot FROM windows JOIN firsts USING (key) WHERE doc_id > low), range(13) AS s(step)
+    ), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS spot FROM d),
     kept AS (
-        SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS text, count(*) AS n
-        FROM words ANTI JOIN covered USING (doc_id, at) GROUP BY doc_id
+        SELECT doc_id, string_agg(word, ' ' ORDER BY spot) AS text, count(*) AS n
+        FROM words ANTI JOIN covered USING (doc_id, spot) GROUP BY doc_id
     )
     SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
     FROM d LEFT JOIN kept USING (doc_id)
