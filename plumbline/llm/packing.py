@@ -26,6 +26,8 @@ from .common import column, landed, map_arrow
 
 LENGTH = 1024
 END = 2
+#: The vocabulary's only special token, which stands for one id wherever a text holds it.
+SPECIAL = "<|endoftext|>"
 GROUP = 2000
 #: Rounds in which a group with a gap gives away all its open sequences; later it gives the emptiest only.
 OPEN_ROUNDS = 2
@@ -47,6 +49,7 @@ class _Ids(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.encode = coding.encode_ordinary
+        self.special = np.array([len(ranks)], "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.encode(piece), "<u4").tobytes()
@@ -55,7 +58,12 @@ class _Ids(dict):
 
 
 def token_bytes(text: str, ids: _Ids) -> bytes:
-    """The ids of the text. It is split before single spaces: there the vocabulary's pattern always begins a new match,
+    """The ids of the text; ``SPECIAL`` has the id after the last one of the vocabulary, and ends what is before it."""
+    return ids.special.join(_plain_bytes(part, ids) for part in text.split(SPECIAL))
+
+
+def _plain_bytes(text: str, ids: _Ids) -> bytes:
+    """The ids of a text without ``SPECIAL``. It is split before single spaces: there the vocabulary's pattern always begins a new match,
     unless white space meets white space, in which case the parts stay together."""
     parts = text.split(" ")
     pieces = [parts[0], *(" " + p for p in parts[1:])] if len(parts) > 1 else parts
