@@ -6,11 +6,10 @@ process that depends on the shingle only. A document of total weight W looks at
 t of them however large it is, keeps the earliest dart of each of its coordinates, and doubles the rank if a
 coordinate got none. Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Documents of equal weighted sets are one node. Nodes that share a band are compared by exact similarity. In a band's
-bucket all nodes meet if they are few. Of a large bucket every node is compared with a leader; the classes so found
-meet again in buckets of three bands at once, where the nodes of small ones all meet and those of large ones meet
-other leaders. Of the large buckets that hold several classes even then, all nodes of different classes meet, in cells
-of two blocks each, so that every two similar nodes that share a band are linked.
+Documents of equal weighted sets are one node. Nodes that share a band are compared by exact similarity: first every
+node of a band's bucket with the bucket's leader, which is one row a node however large the bucket is. Of the buckets
+that hold several classes after that, all nodes of different classes meet, in cells of two blocks each, so that every
+two similar nodes that share a band are in one class.
 
 Defined cases: null, empty and word-less texts have no shingle and are classes of their own, one for each row; texts
 of fewer than ``SHINGLE`` words have one shingle, all their words; of rows that repeat a doc_id with equal texts one
@@ -34,12 +33,6 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
-#: Turns of comparing with leaders.
-TURNS = 6
-#: Leaders of a bucket in one turn, and sets of three bands that each band starts in one turn.
-LEADERS, STEPS = 3, 5
-#: Nodes of a bucket of one band, and of three bands, that all meet each other; those of larger ones meet leaders.
-MET, FEW = 8, 64
 #: Nodes, and strips, of about one block of a large bucket.
 BLOCK, BLOCK_STRIPS = 512, 1 << 18
 #: Different strips that are counted in one step of a cell.
@@ -265,39 +258,16 @@ def _link(docs, text, doc_id, signed, nodes, buckets, similarity, size) -> DataF
     texts = named.join(chosen, F.col("__doc") == F.col("__key")).select("node", "text", "print_a", "print_b")
     sets = landed(strip_sets(texts, size).dropDuplicates(["node"]), "strips")
     labels = landed(wanted.withColumn("label", F.col("node")), "labels")
-    tested = spark.createDataFrame([], "a long, b long")
-    for turn in range(TURNS):
-        placed = buckets.join(labels, "node")
-        if turn:  # in smaller buckets all nodes have met
-            crowded = landed(_mixed(placed, MET).select("node", "label").distinct(), "crowded-nodes")
-            if crowded.isEmpty():
-                break
-            placed = _finer(crowded, nodes, turn)
-        placed = landed(_mixed(placed, 1).select("band", "key", "node", "label", "n"), "mixed-buckets")
-        few = F.col("n") <= (FEW if turn else MET)
-        small = placed.filter(few).select("band", "key", "node", "label")
-        other = small.select("band", "key", F.col("node").alias("b"), F.col("label").alias("other"))
-        met = small.withColumnRenamed("node", "a").join(other, ["band", "key"]).filter("a < b and label <> other")
-        large = placed.filter(~few)
-        leaders = large.groupBy("band", "key").agg(F.array_distinct(F.array(*(
-            F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "label")) for i in range(LEADERS if turn else 1)
-        ))).alias("leaders"))
-        meeting = large.join(leaders, ["band", "key"]).select(
-            "node", F.explode(F.filter("leaders", lambda x: x["label"] != F.col("label"))).alias("leader"))
-        meeting = meeting.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-        meeting = meeting.unionByName(met.select("a", "b"))
-        pairs = meeting.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = landed(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = landed(similar_pairs(pairs, sets, similarity), "near-links")
-        tested = tested.unionByName(pairs)
-        labels = _merged(labels, found)
-    crowded = landed(_mixed(buckets.join(labels, "node"), MET).select("band", "key", "node", "label"), "crowded-buckets")
-    if crowded.isEmpty():
+    leaders = buckets.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("leader"))
+    meeting = buckets.join(leaders, ["band", "key"]).filter("node <> leader")
+    meeting = meeting.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    labels = _merged(labels, landed(similar_pairs(meeting, sets, similarity), "near-links"))
+    # of two nodes, one has been the other's leader
+    mixed = landed(_mixed(buckets.join(labels, "node"), 2).select("band", "key", "node", "label"), "mixed-buckets")
+    if mixed.isEmpty():
         return labels
-    pairs = close_pairs(crowded, nodes, sets, similarity).distinct().join(tested, ["a", "b"], "left_anti")
-    return _merged(labels, landed(similar_pairs(landed(pairs, "close-pairs"), sets, similarity), "near-links"))
+    pairs = landed(close_pairs(mixed, nodes, sets, similarity).distinct(), "close-pairs")
+    return _merged(labels, landed(similar_pairs(pairs, sets, similarity), "near-links"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -381,26 +351,6 @@ def _mixed(placed: DataFrame, over: int) -> DataFrame:
     return placed.join(of, ["band", "key"])
 
 
-def _finer(placed: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """The nodes (node, label) in buckets of three bands at once, others in each turn.
-
-    Where many documents are somewhat similar, a bucket of one band holds mostly pairs below the limit. Three bands
-    agree for 3.5 % of the pairs at 0.8 and for 0.05 % at 0.6, so that a leader found there is mostly a true one.
-    """
-    held = placed.join(nodes.select("node", "bands"), "node")
-    steps = range((turn - 1) * STEPS + 1, turn * STEPS + 1)
-    picked = F.flatten(F.array(*(F.transform("bands", _three_bands(step)) for step in steps)))
-    return held.select("node", "label", F.posexplode(picked).alias("band", "key"))
-
-
-def _three_bands(step: int):
-    def combine(key: Column, at: Column) -> Column:
-        second, third = (F.element_at("bands", (at + shift) % F.size("bands") + 1) for shift in (step, 3 * step + 1))
-        return F.xxhash64(key, second, third)
-
-    return combine
-
-
 def _key(text: str, doc_id: str) -> Column:
     """What a document is found again by."""
     return F.xxhash64(column(doc_id).cast("long"), F.coalesce(column(text), F.lit("")))

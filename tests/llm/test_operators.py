@@ -353,10 +353,9 @@ def test_near_classes(spark, corpus):
     assert dart_minhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_near_classes_of_a_crowded_family(spark, monkeypatch):
-    # all documents are much alike, so that their buckets are large, but only the two of a pair are similar; the
-    # classes must not hang on how often nodes meet leaders
-    monkeypatch.setattr(dart_minhash, "TURNS", 1)
+def test_near_classes_of_a_crowded_family(spark):
+    # all documents are much alike, so that their buckets are large, but only the two of a pair are similar, and mostly
+    # neither is a leader
     rng = random.Random(11)
     base, rows = passage(rng, 100).split(" "), []
     for i in range(100):
@@ -434,10 +433,10 @@ def test_packing(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    odd = [(950, "a  b \n c  "), (951, "<|endoftext|> x  y"), (952, "don't　we 12\t\t")]
+    odd = [(950, "a  b \n c  "), (951, "<|endoftext|> x  y"), (953, "a <|endoftext|>  b<|endoftext|><|endoftext|>c"),
+           (954, "<|endoftext|>"), (955, " <|endoftext |> <|endoftext|> \n"), (952, "don't　we 12\t\t")]
     rows = [*corpus, *odd]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs_of(spark, rows), group=40).collect()
     expected = Counter()
     for i, t, *_ in rows:
