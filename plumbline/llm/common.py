@@ -26,6 +26,11 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def nested(docs: DataFrame) -> Column:
+    """All columns in one, ``doc``, so that no name of theirs meets one of an operator's own; "doc.*" gives them back."""
+    return F.struct(*map(column, docs.columns)).alias("doc")
+
+
 def landed(df: DataFrame, label: str) -> DataFrame:
     """The frame, written once to the shared folder and read back, so that lost executors repeat nothing before it."""
     path = fresh_path(df.sparkSession, label)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, landed, map_arrow, mix, slices, text_bytes, unit, window_hashes, window_starts, words_of
+from .common import column, landed, map_arrow, mix, nested, slices, text_bytes, unit, window_hashes, window_starts, words_of
 from .components import components
 
 SHINGLE = 5
@@ -359,12 +359,12 @@ def _key(text: str, doc_id: str) -> Column:
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents with one of each class left; columns as given."""
     kept = near_classes(docs, text, doc_id).filter(F.col("row") == F.col("best.row")).select(
-        F.col("doc_id").alias("__kept_id"), F.col("key").alias("__kept_key"))
-    keyed = docs.withColumn("__key", _key(text, doc_id)).withColumn("__id", column(doc_id).cast("long"))
-    same = (F.col("__key") == F.col("__kept_key")) & F.col("__id").eqNullSafe(F.col("__kept_id"))
-    once = Window.partitionBy("__key", "__id").orderBy("__key")
-    left = keyed.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(once))
-    return left.filter("__n = 1").select(*map(column, docs.columns))
+        F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    keyed = docs.select(nested(docs), _key(text, doc_id).alias("key"), column(doc_id).cast("long").alias("id"))
+    same = (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    once = Window.partitionBy("key", "id").orderBy("key")
+    left = keyed.join(kept, same, "left_semi").withColumn("n", F.row_number().over(once))
+    return left.filter("n = 1").select("doc.*")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, landed
+from .common import column, landed, nested
 
 #: A digest in more than this share of the rows is frequent.
 SUPPORT = 0.001
@@ -84,9 +84,8 @@ def drop_exact_copies(
     rows = docs.select(column(doc_id).alias("doc_id"), digest(column(text)).alias("digest"))
     rows = landed(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
     winners = settle(rows, support).filter(F.col("row") == F.col("best.row"))
-    winners = winners.select(F.col("doc_id").alias("__winner"), F.col("digest").alias("__of"))
-    marked = docs.withColumn("__digest", digest(column(text)))
-    same = (F.col("__digest") == F.col("__of")) & column(doc_id).eqNullSafe(F.col("__winner"))
-    left = marked.join(winners, same, "left_semi")
-    once = Window.partitionBy("__digest", column(doc_id)).orderBy("__digest")
-    return left.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*map(column, docs.columns))
+    winners = winners.select(F.col("doc_id").alias("winner"), F.col("digest").alias("of"))
+    marked = docs.select(nested(docs), digest(column(text)).alias("digest"), column(doc_id).alias("id"))
+    left = marked.join(winners, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("winner")), "left_semi")
+    once = Window.partitionBy("digest", "id").orderBy("digest")
+    return left.withColumn("n", F.row_number().over(once)).filter("n = 1").select("doc.*")

@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, landed, n_words
+from .common import column, landed, n_words, nested
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -223,7 +223,9 @@ def sized(rows: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
 def mix_documents(docs: DataFrame, members: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents as the mix takes them: absent, once or repeatedly; columns as given."""
-    rows = marked(docs, members, text, doc_id)
-    taken = times_taken(rows, plan_mixture(sized(rows, text, doc_id)))
+    given = docs.select(
+        nested(docs), column(doc_id).alias("doc_id"), column(text).alias("text"), members.alias("members"))
+    rows = marked(given, F.col("members"))
+    taken = times_taken(rows, plan_mixture(sized(rows)))
     copies = F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))
-    return taken.withColumn("__copy", copies).select(*map(column, docs.columns))
+    return taken.withColumn("__copy", copies).select("doc.*")

@@ -550,6 +550,24 @@ def test_windows_compared_within_tasks(monkeypatch, compared):
         assert sum((r["a"], r["b"]) == key for r in asked) <= 2  # of the rows of least rank only
 
 
+def test_columns_with_names_of_helpers(spark, corpus):
+    """Stages of the pipeline give extra columns back as they are, whatever their names."""
+    names = ["__n", "__key", "__digest", "__winner", "__pattern", "__k", "__place", "__row", "__times", "__copy", "__base",
+             "__cut", "__fills", "doc", "digest", "id", "n", "key", "best", "winner", "kept_id", "members", "rank", "a b"]
+    plain = docs_of(spark, corpus).select("doc_id", "text", "lang", "source")
+    extra = plain.select("*", *(F.concat_ws("|", F.lit(name), F.col("doc_id")).alias(name) for name in names)).cache()
+
+    stages = [exact_dedup.drop_exact_copies, dart_minhash.drop_near_duplicates,
+              lambda docs: mixing.mix_documents(docs, F.array("source"))]
+    for stage in stages:
+        got = stage(extra)
+        assert got.columns == extra.columns
+        rows = got.collect()
+        assert rows and all(r[name] == f"{name}|{r['doc_id']}".replace("|None", "") for r in rows for name in names)
+        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in stage(plain.cache()).collect())
+    extra.unpersist()
+
+
 def test_languages_are_the_same_whatever_the_pieces(monkeypatch):
     texts = ["the house and the street", "", "das Haus und die Straße " * 40, "x", "la maison et la rue"]
     model = language_id.fit(texts * 4, ["en", "en", "de", "en", "fr"] * 4, language_id.Settings(steps=20, epochs=1))
