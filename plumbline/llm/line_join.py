@@ -4,9 +4,10 @@ Lines within ``EDITS`` edits of each other are linked; connected lines are a cla
 occurrence may be removed. A line of threshold t is cut into t + 1 segments; a line within t edits has at least one of
 them unchanged, at a place that the two lengths limit. Segments are indexed by length, number and content; each line
 probes the substrings that could match a line of its own length or up to t shorter. Where very many lines have a key,
-they are cut into more segments, of which all but t must agree. Pairs that meet are verified by
-the bit-parallel edit distance of the diagonal band, 2 t + 1 bits wide, in 64-bit integers, after their common ends are
-cut off. Equal lines are one entry, however often they occur.
+they are cut into more segments, of which all but t must agree; where they are still many, the differing segments are
+cut again in the same way, down to single characters. Pairs that meet and agree in all but t of ``CHECKED`` segments
+are verified by the bit-parallel edit distance of the diagonal band, 2 t + 1 bits wide, in 64-bit integers, after their
+common ends are cut off. Equal lines are one entry, however often they occur.
 
 Lines shorter than 20 characters allow one edit and those shorter than 10 none (the shorter line of a pair decides),
 so that words are not taken for copies of each other.
@@ -26,9 +27,13 @@ from .components import components
 
 EDITS = 2
 #: Lines of a key that a probe meets right away; those of larger keys are cut finer first.
-FEW = 32
-#: Finer cuts, one after the other, for lines whose keys are still large. Of the last one's keys all lines meet.
-FINER = (6, 18)
+FEW = 8
+#: Segments of lines whose keys are large, and of what keys that are still large leave open.
+FINER = 6
+#: Segments of the shorter line of a pair, of which all but the allowed edits stand near their place in the longer one.
+CHECKED = 20
+#: Lines of at least this share of all are joined apart.
+COMMON = 0.001
 #: A line allows one edit for each so many characters, up to EDITS.
 CHARS_PER_EDIT = 10
 
@@ -120,65 +125,104 @@ def _add(a: Column, b: Column) -> Column:
     return F.shiftleft(high.bitwiseAND(low32), 32).bitwiseOR(low.bitwiseAND(low32))
 
 
-def _finer_keys(lines: DataFrame, parts: int, edits: int, probing: bool) -> DataFrame:
-    """(id, gap, key) of lines (id, line, size) cut into ``parts``: all parts but as many as there may be edits.
+def _gaps(lines: DataFrame, edits: int, most: int) -> DataFrame:
+    """Lines (id, line, size) once for each length up to ``most`` shorter that they are looked up with: + gap, t, within."""
+    listed = F.array(*(F.lit(gap) for gap in range(most + 1)))
+    rows = lines.select("id", "line", "size", F.explode(listed).alias("gap"))
+    return rows.select("*", _allowed(F.col("size") - F.col("gap"), edits).alias("t"), F.lit(0).cast("long").alias("within")).filter(
+        "t > 0 and gap <= t")
 
-    Edits touch at most so many parts of the shorter line. What lies before the first of them stands at the same place
+
+def _finer_keys(rows: DataFrame, edits: int, probing: bool) -> DataFrame:
+    """(id, gap, t, key, line, size, last, a, b, left, right): rows (id, line, size, gap, t, within) cut into up to
+    FINER parts, with one key for all parts but t (a and b); ``line`` is then what these hold (``left`` and ``right``
+    are its hashes by part), and ``last`` says if they are single characters.
+
+    Edits touch at most t parts of the shorter line. What lies before the first of them stands at the same place
     in both lines, what lies after the last one is moved by the difference of lengths, and what lies between (for two
-    edits) by ``moved``. A line is probed for each place that the edits allow.
+    edits) by ``moved``. A line is probed for each place that the edits allow. Keys tell apart rows of different
+    ``within``, the key whose open parts are cut here.
     """
-    most = 2 if probing else 0
-    gaps = [(t, gap, moved) for t in (1, 2) if t <= edits for gap in range(min(t, most) + 1)
-            for moved in range(-1, 3) if (abs(moved) + abs(gap - moved) <= t and (probing or moved == 0) and (t == 2 or moved == 0))]
-    listed = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(g).alias("gap"), F.lit(m).alias("moved")) for t, g, m in gaps))
-    rows = lines.select("id", "line", "size", F.inline(listed)).withColumn("other", F.col("size") - F.col("gap"))
-    rows = rows.filter(_allowed(F.col("other"), edits) == F.col("t"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts) - F.col("t"))).alias("a"))
-    second = F.when(F.col("t") == 1, F.array("a")).otherwise(F.sequence(F.col("a") + 1, F.lit(parts - 1)))
+    moves = [(t, gap, moved) for t in range(1, edits + 1) for gap in range(t + 1) for moved in range(-1, 3)
+             if abs(moved) + abs(gap - moved) <= t and (moved == 0 or (probing and t == 2))]
+    listed = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(g).alias("gap"), F.lit(m).alias("moved")) for t, g, m in moves))
+    moved = F.transform(F.filter(listed, lambda m: (m["t"] == F.col("t")) & (m["gap"] == F.col("gap"))), lambda m: m["moved"])
+    rows = rows.withColumn("other", F.col("size") - F.col("gap")).withColumn("parts", F.least(F.lit(FINER), F.col("other")))
+    rows = rows.select("*", F.explode(moved).alias("moved"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - F.col("t"))).alias("a"))
+    second = F.when(F.col("t") == 1, F.array("a")).otherwise(F.sequence(F.col("a") + 1, F.col("parts") - 1))
     rows = rows.select("*", F.explode(second).alias("b"))
 
     def start(part: Column) -> Column:
-        return F.floor(part * F.col("other") / parts).cast("int")
+        return F.floor(part * F.col("other") / F.col("parts")).cast("int")
 
     def piece(first: Column, end: Column) -> Column:
         return F.substring("line", first + 1, F.greatest(end - first, F.lit(0)))
 
+    one = F.col("t") == 1
+    shift = F.when(one, F.col("gap")).otherwise(F.col("moved"))
     before = piece(F.lit(0), start(F.col("a")))
     between = piece(start(F.col("a") + 1) + F.col("moved"), start(F.col("b")) + F.col("moved"))
     after = piece(start(F.col("b") + 1) + F.col("gap"), F.col("size"))
-    return rows.select("id", "gap", F.xxhash64("t", "other", "a", "b", before, between, after).alias("key"))
+    left = piece(start(F.col("a")), start(F.col("a") + 1) + shift)
+    right = F.when(one, F.lit("")).otherwise(piece(start(F.col("b")) + F.col("moved"), start(F.col("b") + 1) + F.col("gap")))
+    return rows.select(
+        "id", "gap", "t", F.xxhash64("within", "t", "other", "a", "b", before, between, after).alias("key"),
+        F.concat(left, right).alias("line"), (F.col("other") <= FINER).alias("last"),
+        "a", "b", F.xxhash64(left).alias("left"), F.xxhash64(right).alias("right"),
+    ).withColumn("size", F.char_length("line"))
 
 
 def _meetings(lines: DataFrame, edits: int) -> DataFrame:
     """(other, id): the pairs of lines (id, line, size) to compare, ``other`` not the shorter.
 
     A probe meets all lines of a key that has up to FEW of them. The lines and probes of larger keys are cut into more
-    parts, of which all but ``edits`` have to agree: no pair within the edits is lost, and lines that have no more than
-    a beginning in common do not meet.
+    parts, of which all but ``edits`` have to agree, and of keys that are large then, the parts that need not agree are
+    cut in turn, until they are single characters: no pair within the edits is lost, and lines of one key differ in few
+    places. Those of a last key have one length and differ in ``edits`` characters at most, so that its size is bounded
+    by the alphabet and its pairs of equal length are links.
     """
     index = _keys(lines, _index_specs(edits), edits).select("id", "key")
-    probe = _keys(lines, _probe_specs(edits), edits).withColumnRenamed("id", "other")
-    met = []
-    for parts in (*FINER, None):
-        sizes = index.groupBy("key").agg(F.count("*").alias("n"))
-        large = landed(sizes.filter(F.col("n") > FEW).select("key"), "large-keys")
-        last = parts is None or large.isEmpty()
-        near = index if last else index.join(large, "key", "left_anti")
-        # lines of equal length meet once
-        met.append(probe.join(near, "key").filter((F.col("gap") > 0) | (F.col("id") < F.col("other"))).select("other", "id"))
-        if last:
-            break
-        held = [landed(rows.join(large, "key", "left_semi").select(F.col(name).alias("id")).distinct(), "crowded")
-                for rows, name in ((index, "id"), (probe, "other"))]
-        shown = [landed(lines.join(ids, "id", "left_semi"), "crowded-lines") for ids in held]
-        index = _finer_keys(shown[0], parts, edits, probing=False).select("id", "key")
-        probe = _finer_keys(shown[1], parts, edits, probing=True).withColumnRenamed("id", "other")
+    probe = _keys(lines, _probe_specs(edits), edits)
+    large = _large(index)
+    met = [_met(index, probe, large)]
+    if not large.isEmpty():
+        held = [landed(rows.join(large, "key", "left_semi").select("id").distinct(), "crowded") for rows in (index, probe)]
+        crowded = [landed(lines.join(ids, "id", "left_semi"), "crowded-lines") for ids in held]
+        rows = [_gaps(crowded[0], edits, 0), _gaps(crowded[1], edits, edits)]
+        while True:
+            index, probe = (_finer_keys(r, edits, probing) for r, probing in zip(rows, (False, True)))
+            large = _large(index.filter(~F.col("last")))
+            met.append(_met(index, probe, large, _once()))
+            if large.isEmpty():
+                break
+            rows = [landed(r.join(large, "key", "left_semi").select("id", "line", "size", "gap", "t", F.col("key").alias("within"))
+                           .distinct(), "open-parts") for r in (index, probe)]
     pairs = met[0]
     for more in met[1:]:
         pairs = pairs.unionByName(more)
     return pairs.distinct()
 
 
+def _large(index: DataFrame) -> DataFrame:
+    return landed(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("key"), "large-keys")
+
+
+def _once() -> Column:
+    """Lines that differ in one part only have a key in common with each other part; they meet at the first part's."""
+    a, b = F.col("p.a"), F.col("p.b")
+    same_left, same_right = F.col("p.left") == F.col("q.left"), F.col("p.right") == F.col("q.right")
+    return (F.col("p.t") == 1) | (~(same_left & (a != 0)) & ~(same_right & ((a != 0) | (b != 1))))
+
+
+def _met(index: DataFrame, probe: DataFrame, large: DataFrame, where: Column | None = None) -> DataFrame:
+    """(other, id) of probes and lines with one key that is not ``large``; lines of equal length meet once."""
+    near = index.join(large, "key", "left_anti").alias("q")
+    fresh = (F.col("p.gap") > 0) | (F.col("q.id") < F.col("p.id"))
+    on = (F.col("p.key") == F.col("q.key")) & fresh & (F.lit(True) if where is None else where)
+    return probe.alias("p").join(near, on).select(F.col("p.id").alias("other"), F.col("q.id").alias("id"))
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however the optimiser moves the expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -220,16 +264,34 @@ def _chars(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
+def _alike(p: Column, q: Column, limit: Column) -> Column:
+    """False only where ``q`` (not the longer) cannot be within ``limit`` edits of ``p``: each edit touches one of
+    ``CHECKED`` segments at most, and the others stand in ``p`` up to EDITS places away."""
+    size = F.char_length(q)
+
+    def start(i: int) -> Column:
+        return F.floor(i * size / CHECKED).cast("int")
+
+    found = F.lit(0)
+    for i in range(CHECKED):
+        low = F.greatest(start(i) - EDITS, F.lit(0))
+        around = F.substring(p, low + 1, start(i + 1) + EDITS - low)
+        found = found + F.contains(around, F.substring(q, start(i) + 1, start(i + 1) - start(i))).cast("int")
+    return found >= CHECKED - limit
+
+
 def within(pairs: DataFrame, edits: int) -> DataFrame:
     """Of pairs with lines ``p`` (the longer) and ``q``, those within what the shorter line allows."""
     limit = _allowed(F.char_length("q"), edits)
-    return pairs.filter(edit_distance(F.col("p"), F.col("q"), limit) <= limit)
-
+    alike = pairs.filter(_alike(F.col("p"), F.col("q"), limit))
+    return alike.filter(edit_distance(F.col("p"), F.col("q"), limit) <= limit)
 
-def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS) -> DataFrame:
-    """One row per line occurrence that has a word: doc_id, row, line_no, links, class_size, first (is it kept?).
 
-    Documents without such a line have one row with a null line_no.
+def shared_lines(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS
+) -> tuple[DataFrame, DataFrame]:
+    """All lines that have a word (doc_id, row, line_no; documents without one have one row with a null line_no), and of
+    those the ones in classes of more than one occurrence: doc_id, row, line_no, links, class, first (is it kept?).
     """
     spark = docs.sparkSession
     lines = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text")).withColumn(
@@ -237,11 +299,13 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ed
     ).select("doc_id", "row", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
     worded = F.col("line").rlike(r"[^\x20\x09-\x0D]")
     mark = {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")}
+    # rows have their numbers from this table only
     seen = landed(
-        lines.filter(worded | (F.col("line_no").isNull()) | (F.col("line_no") == 0))
-        .withColumns(mark).select("doc_id", "row", F.when(worded, F.col("line_no")).alias("line_no"), "h1", "h2"), "lines")
+        lines.filter(worded | (F.col("line_no").isNull()) | (F.col("line_no") == 0)).withColumns(mark)
+        .select("doc_id", "row", F.when(worded, F.col("line_no")).alias("line_no"), "h1", "h2"), "lines")
     distinct = landed(
-        lines.filter(worded).select("line").withColumns(mark).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+        lines.filter(worded).select("line").withColumns(mark).groupBy("h1", "h2")
+        .agg(F.first("line").alias("line"), F.count("*").alias("n"))
         .withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.char_length("line")), "distinct-lines")
     pairs = landed(_meetings(distinct.select("id", "line", "size"), edits), "line-pairs")
     wanted = pairs.select(F.col("id").alias("w")).union(pairs.select("other")).distinct()
@@ -250,28 +314,43 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ed
     links = landed(
         within(pairs.join(longer, "other").join(texts.withColumnRenamed("line", "q"), "id"), edits)
         .select(F.col("id").alias("a"), F.col("other").alias("b")), "line-links")
-    labels = landed(components(links), "line-labels") if not links.isEmpty() else spark.createDataFrame([], "node long, label long")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    known = distinct.select("h1", "h2", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
-    known = known.select("h1", "h2", F.coalesce("label", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    placed = landed(seen.filter("line_no is not null").join(known, ["h1", "h2"]).drop("h1", "h2"), "placed-lines")
+    labels = components(links) if not links.isEmpty() else spark.createDataFrame([], "node long, label long")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    linked = landed(labels.join(degree, "node").withColumnRenamed("node", "id"), "line-labels")
+    # lines that occur once and have no link are their own class; only the others are looked up
+    alone = distinct.filter("n > 1").join(linked, "id", "left_anti").select(
+        "h1", "h2", F.lit(0).cast("long").alias("links"), F.col("id").alias("class"), "n")
+    near = distinct.select("id", "h1", "h2", "n").join(linked, "id").select(
+        "h1", "h2", "links", F.col("label").alias("class"), "n")
+    known = landed(alone.unionByName(near), "shared-lines")
+    placed = landed(_placed(seen.filter("line_no is not null"), known), "placed-lines")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line_no")
-    classes = placed.groupBy("class").agg(F.min(order).alias("best"), F.count("*").alias("class_size"))
-    found = placed.join(classes, "class").select(
-        "doc_id", "row", "line_no", "links", "class_size",
-        ((F.col("best.row") == F.col("row")) & (F.col("best.line_no") == F.col("line_no"))).alias("first"))
-    none = seen.filter("line_no is null").select(
-        "doc_id", "row", "line_no", F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("class_size"), F.lit(True).alias("first"))
-    return found.unionByName(none)
+    kept = placed.groupBy("class").agg(F.min(order).alias("best")).select("best.row", "best.line_no", F.lit(True).alias("first"))
+    # by place, not by class, which may hold very many lines
+    found = placed.join(kept, ["row", "line_no"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    return seen.drop("h1", "h2"), found
+
+
+def _placed(seen: DataFrame, known: DataFrame) -> DataFrame:
+    """The occurrences of the lines of ``known``; lines that make up a share of ``COMMON`` of all, of which there are
+    1 / COMMON at most, are broadcast, so that no task gets all occurrences of one."""
+    common = F.col("n") > COMMON * seen.count()
+    often = F.broadcast(known.filter(common))
+    rest = seen.join(often.select("h1", "h2"), ["h1", "h2"], "left_anti").join(known.filter(~common), ["h1", "h2"])
+    return seen.join(often, ["h1", "h2"]).unionByName(rest).select("doc_id", "row", "line_no", "links", "class")
 
 
 def duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = EDITS) -> DataFrame:
     """One row per document: doc_id, n_lines (with a word), n_links, n_removed, and the removed line numbers."""
-    lines = line_classes(docs, text, doc_id, edits)
+    lines, shared = shared_lines(docs, text, doc_id, edits)
     gone = ~F.col("first")
-    return lines.groupBy("row", "doc_id").agg(
-        F.count("line_no").alias("n_lines"), F.sum("links").alias("n_links"), F.count_if(gone).alias("n_removed"),
-        F.array_sort(F.collect_list(F.when(gone, F.col("line_no")))).alias("removed")).drop("row")
+    counted = lines.groupBy("row", "doc_id").agg(F.count("line_no").alias("n_lines"))
+    found = shared.groupBy("row").agg(
+        F.sum("links").alias("n_links"), F.count_if(gone).alias("n_removed"),
+        F.array_sort(F.collect_list(F.when(gone, F.col("line_no")))).alias("removed"))
+    nothing = {"n_links": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "removed": F.array().cast("array<int>")}
+    return counted.join(found, "row", "left").select(
+        "doc_id", "n_lines", *(F.coalesce(name, value).alias(name) for name, value in nothing.items()))
 
 
 def without_lines(text: Column, removed: Column) -> Column:
