@@ -581,3 +581,25 @@ def test_languages_are_the_same_whatever_the_pieces(monkeypatch):
         monkeypatch.setattr(language_id, "PIECE", piece)
         assert language_id.logits_of(flat, offsets, model) == pytest.approx(whole)
         assert language_id.logits_of(flat, offsets[2:], model) == pytest.approx(whole[2:])
+
+
+def test_unlearned_languages_are_rejected(spark, small):
+    docs = spark.read.parquet(f"{small}/../sf0.01/documents.parquet")  # some hundred texts a language
+    rows = docs.filter("lang is not null").withColumn("held", language_id.is_held_out(F.col("doc_id"))).orderBy("doc_id")
+    rows = rows.select("text", "lang", "held").collect()
+    odd = ["Это простое предложение о погоде и о реке.", "asdkjh qwlekj zxmcnb poqiwe alskdj mznxcb"]
+
+    def rejected(model, texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+        return next(language_id.predictor(model)(iter([batch]))).to_pandas()
+
+    for out in (None, *sorted({r["lang"] for r in rows})):
+        learned = [r for r in rows if r["lang"] != out]
+        train = [r for r in learned if not r["held"]]
+        model = language_id.fit([r["text"] for r in train], [r["lang"] for r in train])
+        assert 0.1 < model.temperature < 10
+        assert rejected(model, [r["text"] for r in learned if r["held"]])["rejected"].mean() < 0.01
+        if out is None:
+            assert rejected(model, odd)["rejected"].all()
+        else:
+            assert rejected(model, [r["text"] for r in rows if r["lang"] == out])["rejected"].mean() >= 0.9
