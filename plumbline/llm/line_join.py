@@ -27,7 +27,7 @@ from .components import components
 
 EDITS = 2
 #: Lines of a key that a probe meets right away; those of larger keys are cut finer first.
-FEW = 8
+FEW = 16
 #: Segments of lines whose keys are large, and of what keys that are still large leave open.
 FINER = 6
 #: Segments of the shorter line of a pair, of which all but the allowed edits stand near their place in the longer one.
@@ -196,7 +196,8 @@ def _meetings(lines: DataFrame, edits: int) -> DataFrame:
             met.append(_met(index, probe, large, _once()))
             if large.isEmpty():
                 break
-            rows = [landed(r.join(large, "key", "left_semi").select("id", "line", "size", "gap", "t", F.col("key").alias("within"))
+            open_keys = _first_keys(probe, large)
+            rows = [landed(r.join(open_keys, "key", "left_semi").select("id", "line", "size", "gap", "t", F.col("key").alias("within"))
                            .distinct(), "open-parts") for r in (index, probe)]
     pairs = met[0]
     for more in met[1:]:
@@ -215,6 +216,15 @@ def _once() -> Column:
     return (F.col("p.t") == 1) | (~(same_left & (a != 0)) & ~(same_right & ((a != 0) | (b != 1))))
 
 
+def _first_keys(probe: DataFrame, large: DataFrame) -> DataFrame:
+    """Of the ``large`` keys, those that hold lines which ``_once`` lets meet there; probes include the lines looked for."""
+    varies = probe.join(large, "key", "left_semi").groupBy("key").agg(
+        F.first("t").alias("t"), F.first("a").alias("a"), F.first("b").alias("b"),
+        (F.min("left") < F.max("left")).alias("left"), (F.min("right") < F.max("right")).alias("right"))
+    first = (F.col("left") | (F.col("a") == 0)) & (F.col("right") | ((F.col("a") == 0) & (F.col("b") == 1)))
+    return landed(varies.filter((F.col("t") == 1) | first).select("key"), "open-keys")
+
+
 def _met(index: DataFrame, probe: DataFrame, large: DataFrame, where: Column | None = None) -> DataFrame:
     """(other, id) of probes and lines with one key that is not ``large``; lines of equal length meet once."""
     near = index.join(large, "key", "left_anti").alias("q")
