@@ -155,7 +155,8 @@ class Tracked:
         both sides get the suffixes. ``null_safe`` also matches null with null. Whether a side is
         broadcast is left to the optimiser, which checks its size. ``salt=n`` splits every key of the
         left side over ``n`` parts and repeats the right side ``n`` times: for a shuffled join whose
-        left side has very frequent keys.
+        left side has very frequent keys. It is never broadcast, as the optimiser would take the
+        repeated side for as small as it was before.
         """
         shared = on is not None
         left_keys = _names(on if shared else left_on)
@@ -170,7 +171,7 @@ class Tracked:
             spread = F.pmod(F.xxhash64(F.col(LINEAGE)), F.lit(salt))
             left = self.df.withColumn(_SALT, spread.cast("int")).alias("l")
             copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-            right = other.df.withColumn(_SALT, copies).alias("r")
+            right = other.df.withColumn(_SALT, copies).alias("r").hint("merge")
 
         def col(side: str, name: str) -> Column:
             return F.col(f"{side}.`{name}`")

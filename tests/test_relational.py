@@ -69,6 +69,14 @@ def test_salted_join_with_one_dominant_key(spark, salt):
     assert joined.df.select(LINEAGE).distinct().count() == 1000
 
 
+def test_salted_join_never_broadcasts_the_repeated_side(spark, capsys):
+    left = track(spark.range(100).withColumn("k", F.col("id") % 7), 0, key="id")
+    right = track(spark.range(7).select(F.col("id").alias("k")), 1, key="k")
+    left.join(right, on="k", salt=3).df.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_join_order_does_not_change_lineage(fact, dim):
     assert lineages(fact.join(dim, on="dim").df) == lineages(dim.join(fact, on="dim").df)
 
