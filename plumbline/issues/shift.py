@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import DataFrame
@@ -26,6 +28,17 @@ LABEL_SHIFT_P = 0.001
 AUC_THRESHOLD = 0.7
 HELD_OUT = 0.2
 
+#: Bins of a feature, which are all that a forest sees of it.
+BINS = 32
+#: Features up to which rows are binned, and equal ones counted, before a forest is fitted.
+NARROW = 128
+#: Parts that rows of equal bins are dealt to; the forest's bootstrap draws parts.
+PARTS = 64
+#: Rows of one partition of what a forest is fitted on.
+_CELLS = 10_000
+#: Different values of a feature up to which they are counted one by one.
+_COUNTED = 1000
+
 
 def chi_square_2x2(a: float, b: float, c: float, d: float) -> float:
     """Chi-square of the table ((a, b), (c, d)) with Yates' correction; 0 when a margin is empty."""
@@ -83,11 +96,15 @@ def domain_classifier_auc(
 
     Both frames hold ``lineage`` and ``features``. The held-out fifth is chosen by hash, exactly.
     Trees are at most ``depth`` deep, which bounds what a forest holds; the default of 10 is ours.
+    The forest sees rows by their bins only, so rows of equal bins are counted first and are fitted with their number
+    as weight: a forest costs as much as there are different rows, not all rows for each of its trees. Every tree draws
+    its bootstrap from up to ``PARTS`` parts of equal rows, which are single rows where there are few. Rows of more than
+    ``NARROW`` features hardly repeat and are fitted as they are.
     The forest regresses the 0/1 domain: its splits are those of the Gini impurity and its score is
     the mean share of domain 1 in the leaves. The classifier would merge sibling leaves with the same
     majority and so lose the scores when one side is much larger.
     """
-    both = _with_domain(one, 0.0).unionByName(_with_domain(two, 1.0))
+    both = _with_domain(one, 0.0, seed).unionByName(_with_domain(two, 1.0, seed))
     both = both.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         held_out, fitted_on = split_at_rank(both, _held_out, seed)
@@ -101,23 +118,110 @@ def _held_out(rows: int) -> int:
 
 
 def _forest_auc(fitted_on: DataFrame, held_out: DataFrame, seed: int, trees: int, depth: int) -> float | None:
+    """``fitted_on`` and ``held_out`` hold ``(vector, domain, part)``."""
     shared_folder(fitted_on.sparkSession)  # the forest checkpoints its node ids there
-    forest = RandomForestRegressor(
-        featuresCol="vector",
-        labelCol="domain",
-        predictionCol="score",
-        numTrees=trees,
-        maxDepth=depth,
-        featureSubsetStrategy="sqrt",
-        seed=seed,
-        maxMemoryInMB=1024,
-        cacheNodeIds=True,
-    ).fit(fitted_on)
-    return roc_auc_value(forest.transform(held_out), "score", "domain")
+    kept = []
+    edges = _bin_edges(fitted_on)
+    if edges is not None:
+        counted = _cells(fitted_on, edges, "part").persist(StorageLevel.MEMORY_AND_DISK)
+        partitions = math.ceil(counted.count() / _CELLS) or 1
+        # in one order, so that the bootstrap is the same in every run
+        keys = ["bins", "domain", "part"]
+        ordered = counted.repartition(partitions, *keys).sortWithinPartitions(*keys)
+        fitted_on = _bin_vectors(ordered).persist(StorageLevel.MEMORY_AND_DISK)
+        held_out = _bin_vectors(_cells(held_out, edges))
+        kept = [counted, fitted_on]
+    else:
+        fitted_on, held_out = (x.withColumn("weight", F.lit(1.0)) for x in (fitted_on, held_out))
+    try:
+        forest = RandomForestRegressor(
+            featuresCol="vector",
+            labelCol="domain",
+            weightCol="weight",
+            predictionCol="score",
+            numTrees=trees,
+            maxDepth=depth,
+            maxBins=BINS,
+            featureSubsetStrategy="sqrt",
+            seed=seed,
+            maxMemoryInMB=1024,
+            cacheNodeIds=True,
+        ).fit(fitted_on)
+        return roc_auc_value(forest.transform(held_out), "score", "domain", "weight")
+    finally:
+        for rows in kept:
+            rows.unpersist()
+
 
+def _bin_edges(rows: DataFrame) -> list[np.ndarray] | None:
+    """The upper ends of each feature's bins but the last; None for rows of more than ``NARROW`` features.
 
-def _with_domain(df: DataFrame, domain: float) -> DataFrame:
-    return df.select(LINEAGE, vector(df).alias("vector"), F.lit(domain).alias("domain"))
+    Between all values where there are few; else at the quantiles, put between counted values as the forest's own splits
+    are where these can be counted.
+    """
+    first = rows.select("vector").first()
+    if first is None or first["vector"].size > NARROW:
+        return None
+    places = range(first["vector"].size)
+    values = rows.select(vector_to_array("vector").alias("x"))
+    shares = [i / BINS for i in range(1, BINS)]
+    found = values.agg(*[
+        F.struct(F.percentile_approx(x, shares, 10_000).alias("ends"), F.approx_count_distinct(x).alias("n")).alias(f"f{i}")
+        for i, x in ((i, F.get("x", F.lit(i))) for i in places)
+    ]).first()
+    few = [i for i in places if found[i]["n"] <= _COUNTED]
+    numbers = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.get("x", F.lit(i)).alias("value")) for i in few]))
+    counts: dict[int, list] = {i: [] for i in few}
+    if few:
+        for row in values.select(numbers.alias("e")).groupBy("e.pos", "e.value").count().collect():
+            counts[row["pos"]].append((row["value"], row["count"]))
+    return [_ends(counts[i]) if i in counts else np.unique(np.array(found[i]["ends"], np.float64)) for i in places]
+
+
+def _ends(counts: list[tuple[float, int]]) -> np.ndarray:
+    """Upper ends of at most ``BINS`` bins of about equal weight over counted values."""
+    values, weights = np.array(counts, np.float64)[np.argsort([v for v, _ in counts], kind="stable")].T
+    if len(values) <= BINS:
+        return values[:-1]
+    stride = weights.sum() / BINS
+    below, target, ends = np.cumsum(weights), stride, []
+    for i in range(1, len(values)):
+        if abs(below[i - 1] - target) < abs(below[i] - target):
+            ends.append(values[i - 1])
+            target += stride
+    return np.array(ends)
+
+
+def _cells(rows: DataFrame, edges: list[np.ndarray], *by: str) -> DataFrame:
+    """``(bins, domain, by, weight)``: how many rows have the same bins."""
+    bins = _binned(edges)(vector_to_array("vector")).alias("bins")
+    return rows.select(bins, "domain", *by).groupBy("bins", "domain", *by).agg(F.count("*").cast("double").alias("weight"))
+
+
+def _bin_vectors(cells: DataFrame) -> DataFrame:
+    return cells.select(array_to_vector(F.col("bins").cast("array<double>")).alias("vector"), "domain", "weight")
+
+
+def _binned(edges: list[np.ndarray]):
+    @F.arrow_udf("array<tinyint>")
+    def bins(values: pa.Array) -> pa.Array:
+        numbers = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), len(edges))
+        found = np.empty(numbers.shape, np.int8)
+        for i, ends in enumerate(edges):
+            found[:, i] = np.searchsorted(ends, numbers[:, i])
+        offsets = np.arange(len(values) + 1, dtype=np.int32) * len(edges)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.reshape(-1), pa.int8()))
+
+    return bins
+
+
+def _part(seed: int):
+    """The part that a row belongs to among rows of equal bins."""
+    return F.pmod(F.xxhash64(F.lit(seed), LINEAGE), F.lit(PARTS)).cast("int").alias("part")
+
+
+def _with_domain(df: DataFrame, domain: float, seed: int) -> DataFrame:
+    return df.select(LINEAGE, vector(df).alias("vector"), F.lit(domain).alias("domain"), _part(seed))
 
 
 class CovariateShift(IssueDetector):
@@ -159,11 +263,11 @@ class RunRows:
             features = store.features(run_id, "train")
             held_out, fitted_on = split_at_rank(features, _held_out, seed)
             rows = fitted_on.withColumn("held_out", F.lit(False)).unionByName(held_out.withColumn("held_out", F.lit(True)))
-            kept = rows.select(vector(rows).alias("vector"), "held_out")
+            kept = rows.select(vector(rows).alias("vector"), "held_out", _part(seed))
             self.rows[run_id] = kept.persist(StorageLevel.MEMORY_AND_DISK)
 
     def pair(self, a: str, b: str) -> DataFrame:
-        """``(vector, held_out, domain)``; domain 1 is run b."""
+        """``(vector, held_out, part, domain)``; domain 1 is run b."""
         one, two = (self.rows[r].withColumn("domain", F.lit(d)) for r, d in ((a, 0.0), (b, 1.0)))
         return one.unionByName(two)
 

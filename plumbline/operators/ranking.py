@@ -27,15 +27,16 @@ def before_in(order: Column, group: Sequence[str] = ()) -> WindowSpec:
     return W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
 
 
-def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Exact area under the ROC curve as one row ``auc``; null when a class is missing.
+def roc_auc(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
+    """Exact area under the ROC curve as one row ``auc``; null when a class is missing. A row counts ``weight`` times.
 
     Rows are first added up per score. Each score range then needs only its own running sum, and the
     ranges are put together from three totals each.
     """
     positive = F.col(label).cast("double")
+    times = F.lit(1.0) if weight is None else F.col(weight)
     per_score = df.groupBy(F.col(score).alias("s")).agg(
-        F.sum(positive).alias("p"), F.sum(1.0 - positive).alias("n")
+        F.sum(positive * times).alias("p"), F.sum((1.0 - positive) * times).alias("n")
     )
     negatives_below = F.coalesce(F.sum("n").over(before_in(F.col("s"), [BUCKET])), F.lit(0.0))
     per_range = (
@@ -53,5 +54,5 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def roc_auc_value(df: DataFrame, score: str, label: str) -> float | None:
-    return roc_auc(df, score, label).first()["auc"]
+def roc_auc_value(df: DataFrame, score: str, label: str, weight: str | None = None) -> float | None:
+    return roc_auc(df, score, label, weight).first()["auc"]

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from plumbline.features.vectors import sparse
@@ -14,10 +15,11 @@ from plumbline.issues import (
     TrainTestOverlap,
     UnnormalisedFeatures,
     covariate_shift_between_runs,
+    domain_classifier_auc,
     overlapping_rows,
 )
-from plumbline.issues.shift import RunRows, chi_square_2x2
-from plumbline.operators import roc_auc_value
+from plumbline.issues.shift import BINS, PARTS, RunRows, _ends, chi_square_2x2
+from plumbline.operators import LINEAGE, roc_auc_value
 from plumbline.plans.classification import feature_statistics, sparse_entries
 from tests.helpers import FRAME, frame, lineages, pipeline_of, simple_pipeline
 
@@ -135,6 +137,40 @@ def test_covariate_shift_is_seen_in_a_small_test_set(spark):
     assert CovariateShift(trees=20, depth=6).detect(shifted(spark, 10.0, test_rows=60)).is_present
 
 
+def test_forest_is_fitted_on_equal_rows_with_their_number(spark, monkeypatch):
+    seen, fit = [], RandomForestRegressor.fit
+
+    def spied(self, rows):
+        seen.append(rows.agg(F.count("*"), F.sum("weight")).first())
+        return fit(self, rows)
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", spied)
+    rows = spark.range(20_000).select(
+        F.array(F.struct(F.lit(0).alias("operator_id"), F.col("id").alias("row_id"))).alias(LINEAGE),
+        F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("features"),
+    )
+    other = rows.withColumn("features", F.array(F.element_at("features", 1) + 1, F.lit(1.0)))
+    auc = domain_classifier_auc(rows, other, trees=10, depth=5)
+    ((fitted, weight),) = seen
+    assert fitted <= 2 * 3 * PARTS and weight == 32_000
+    # 0 and 3 tell the domain, 1 and 2 do not: 1/3 + 2/3 * (1/3 + 2/3 / 2)
+    assert auc == pytest.approx(7 / 9, abs=0.02)
+
+
+def test_bins_lie_between_counted_values_and_at_quantiles(spark):
+    few = _ends([(3.0, 5), (1.0, 900), (2.0, 1)])
+    assert few.tolist() == [1.0, 2.0]
+    many = _ends([(float(i), 10) for i in range(320)])
+    assert len(many) == BINS - 1 and many.tolist() == [10.0 * i - 1 for i in range(1, BINS)]
+
+
+def test_auc_of_weighted_rows_is_that_of_repeated_ones(spark):
+    pairs = [(float(i % 7), float(i % 3 == 0), float(1 + i % 4)) for i in range(60)]
+    df = spark.createDataFrame(pairs, "s double, y double, w double")
+    repeated = [(s, y) for s, y, w in pairs for _ in range(int(w))]
+    assert roc_auc_value(df, "s", "y", "w") == pytest.approx(brute_auc(repeated))
+
+
 def test_runs_are_compared_in_pairs_and_read_once(spark, monkeypatch):
     class Store:
         def __init__(self):
