@@ -148,6 +148,7 @@ class Tracked:
         null_safe: bool = False,
         suffixes: tuple[str, str] = ("_x", "_y"),
         salt: int | None = None,
+        shuffled: bool = False,
     ) -> Tracked:
         """Inner equi-join; a result row's lineage is the union of its two sides'.
 
@@ -156,7 +157,9 @@ class Tracked:
         broadcast is left to the optimiser, which checks its size. ``salt=n`` splits every key of the
         left side over ``n`` parts and repeats the right side ``n`` times: for a shuffled join whose
         left side has very frequent keys. It is never broadcast, as the optimiser would take the
-        repeated side for as small as it was before.
+        repeated side for as small as it was before. ``shuffled`` says that the other side grows
+        with the data and is not to be broadcast: the optimiser goes by the size of compressed
+        files, which may be a small part of what their rows take in memory.
         """
         shared = on is not None
         left_keys = _names(on if shared else left_on)
@@ -171,7 +174,9 @@ class Tracked:
             spread = F.pmod(F.xxhash64(F.col(LINEAGE)), F.lit(salt))
             left = self.df.withColumn(_SALT, spread.cast("int")).alias("l")
             copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-            right = other.df.withColumn(_SALT, copies).alias("r").hint("merge")
+            right = other.df.withColumn(_SALT, copies).alias("r")
+        if salt or shuffled:
+            right = right.hint("merge")
 
         def col(side: str, name: str) -> Column:
             return F.col(f"{side}.`{name}`")

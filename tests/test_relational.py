@@ -19,6 +19,7 @@ from plumbline.operators import (
 )
 from plumbline.sources.identity import ROW_ID, hashed_ids
 from tests.helpers import lineages
+from workload.bindings import orders_star
 
 
 @pytest.fixture
@@ -77,6 +78,13 @@ def test_salted_join_never_broadcasts_the_repeated_side(spark, capsys):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_orders_star_broadcasts_no_customers(spark, small, capsys):
+    orders_star(spark, small).df.explain()
+    joins = [line.strip(" +-:") for line in capsys.readouterr().out.splitlines() if "Join" in line]
+    assert [j for j in joins if "o_custkey" in j and "SortMergeJoin" in j]
+    assert not [j for j in joins if "o_custkey" in j and "BroadcastHashJoin" in j]
+
+
 def test_join_order_does_not_change_lineage(fact, dim):
     assert lineages(fact.join(dim, on="dim").df) == lineages(dim.join(fact, on="dim").df)
 

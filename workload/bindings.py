@@ -64,7 +64,7 @@ def orders_star(spark: SparkSession, folder: str, spread_rows: bool = False) ->
     """Orders with their customer, nation and region."""
     return (
         tracked(spark, folder, "orders", spread_rows)
-        .join(tracked(spark, folder, "customer"), left_on="o_custkey", right_on="c_custkey")
+        .join(tracked(spark, folder, "customer"), left_on="o_custkey", right_on="c_custkey", shuffled=True)
         .join(tracked(spark, folder, "nation"), left_on="c_nationkey", right_on="n_nationkey")
         .join(tracked(spark, folder, "region"), left_on="n_regionkey", right_on="r_regionkey")
     )
