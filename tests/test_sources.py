@@ -18,6 +18,7 @@ from plumbline.sources import (
 )
 from plumbline.sources.identity import ROW_ID
 from tests.helpers import lineages
+from workload import relational_queries
 
 
 def test_indexed_csv_plain_and_gzip(spark, tmp_path):
@@ -120,3 +121,12 @@ def test_lines_that_do_not_fit_are_split_off(spark, tmp_path):
     (tmp_path / "h.csv").write_text("id;name;amount\n1;x;?\n")
     headed = read_checked_csv(spark, [str(tmp_path / "h.csv")], schema, header=True, sep=";", nullValue="?")
     assert [tuple(r) for r in headed.rows.collect()] == [(1, "x", None)] and headed.rejected.count() == 0
+
+
+def test_positions_are_taken_over_five_files_of_the_columns_asked_for(spark, small, tmp_path, monkeypatch):
+    path = str(tmp_path / "lineitem")
+    monkeypatch.setattr(relational_queries, "fresh_path", lambda spark, label: path)
+    row = relational_queries.source_positions(spark, small).first()
+    written = spark.read.parquet(path)
+    assert written.columns == ["l_quantity"] and len(written.inputFiles()) == row["n_files"] == 5
+    assert row["n"] == row["different"] == spark.read.parquet(f"{small}/lineitem.parquet").count()
