@@ -89,7 +89,7 @@ def hash_code(gram: Column, buckets: int) -> Column:
 
 
 #: n-grams that one counting step takes at once; a longer text is a step of its own.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def hashed_ngrams(
@@ -111,8 +111,10 @@ def _bucket_counter(buckets: int, normalise: bool):
         lengths = codes.value_lengths().to_numpy(zero_copy_only=False)
         ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
         flat = codes.flatten().to_numpy()
-        sizes, places, values = [np.zeros(1, np.int64)], [], []
-        first = 0
+        # no more entries than codes; each step fills in its own, and pages that none reaches take no memory
+        places, values = np.empty(len(flat), np.int32), np.empty(len(flat), np.float64)
+        sizes = np.zeros(len(lengths) + 1, np.int32)
+        first = filled = 0
         while first < len(lengths):
             last = max(int(np.searchsorted(ends, ends[first] + STEP, side="right")) - 1, first + 1)
             part = flat[ends[first] : ends[last]].astype(np.int64)
@@ -123,13 +125,14 @@ def _bucket_counter(buckets: int, normalise: bool):
             rows = cells // buckets
             if normalise:
                 sums = sums / np.sqrt(np.bincount(rows, sums**2, last - first))[rows]
-            sizes.append(np.bincount(rows, minlength=last - first))
-            places.append(cells % buckets)
-            values.append(sums)
+            sizes[first + 1 : last + 1] = np.bincount(rows, minlength=last - first)
+            places[filled : filled + len(cells)] = cells % buckets
+            values[filled : filled + len(cells)] = sums
+            filled += len(cells)
             first = last
-        offsets = np.cumsum(np.concatenate(sizes))  # no more entries than codes, whose offsets are 32 bits wide too
-        held = [np.concatenate(x) if x else np.zeros(0) for x in (places, values)]
-        entries = pa.StructArray.from_arrays([pa.array(held[0], pa.int32()), pa.array(held[1])], names=["pos", "value"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+        offsets = np.cumsum(sizes, dtype=np.int32)  # the codes' offsets are 32 bits wide too
+        held = [pa.array(places[:filled]), pa.array(values[:filled])]
+        entries = pa.StructArray.from_arrays(held, names=["pos", "value"])
+        return pa.ListArray.from_arrays(pa.array(offsets), entries)
 
     return count_buckets

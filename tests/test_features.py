@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import tracemalloc
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -246,3 +248,17 @@ def test_plans_describe_their_encoders():
         ("Apply", {"columns": "a,b", "function": "positive_flag", "is_array": "False"}),
         ("HashNgrams", {"columns": "t", "buckets": "50", "low": "1", "high": "3"}),
     ]
+
+
+def test_counting_buckets_holds_little_beside_its_result(spark):
+    each, rows = 1000, 4000
+    flat = np.random.default_rng(1).integers(0, 1 << 19, rows * each, dtype=np.int32)
+    codes = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * each), pa.array(flat))
+    count = expressions._bucket_counter(1 << 18, False).func
+    tracemalloc.start()
+    counted = count(codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 12 bytes for each code, and one step
+    own = np.bincount(flat[:each] % (1 << 18), np.where(flat[:each] < 1 << 18, 1.0, -1.0))
+    assert {e["pos"]: e["value"] for e in counted[0].as_py()} == {i: own[i] for i in np.flatnonzero(own)}
