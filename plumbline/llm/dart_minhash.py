@@ -266,8 +266,7 @@ def _link(docs, text, doc_id, signed, nodes, buckets, similarity, size) -> DataF
     mixed = landed(_mixed(buckets.join(labels, "node"), 2).select("band", "key", "node", "label"), "mixed-buckets")
     if mixed.isEmpty():
         return labels
-    pairs = landed(close_pairs(mixed, nodes, sets, similarity).distinct(), "close-pairs")
-    return _merged(labels, landed(similar_pairs(pairs, sets, similarity), "near-links"))
+    return _merged(labels, landed(close_pairs(mixed, nodes, sets, similarity, forest=True).distinct(), "near-links"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -299,11 +298,31 @@ def _overlaps(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
     return total
 
 
-def close_pairs(placed: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _forest(linked: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the linked pairs, as many as connect what all of them connect, given that ``same`` ones are one already."""
+    joined, left = linked | same, np.ones(len(linked), bool)
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for root in np.flatnonzero(linked.any(axis=1)):
+        front, left[root] = np.array([root] if left[root] else [], np.int64), False
+        while len(front):
+            reached = np.flatnonzero(joined[front].any(axis=0) & left)
+            left[reached] = False
+            ends.append((front[joined[np.ix_(front, reached)].argmax(axis=0)], reached))
+            front = reached
+    a, b = (np.concatenate([e[i] for e in ends] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    kept = ~same[a, b]
+    return a[kept], b[kept]
+
+
+def close_pairs(
+    placed: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, forest: bool = False
+) -> DataFrame:
     """Pairs (a, b) of different labels in one bucket of ``placed`` (band, key, node, label) that may be similar.
 
     A bucket is cut into blocks, and each two of them meet in one cell. Overlaps are counted there on 32 bits of the
-    strips, which makes none smaller, so that no similar pair is left out; pairs may be named more than once.
+    strips, which makes none smaller, so that no similar pair is left out; pairs may be named more than once. With
+    ``forest`` they are counted on whole strips, and of the similar pairs of a cell only those are named that are needed
+    to connect the same nodes, given the labels: fewer than the cell has nodes.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +332,15 @@ def close_pairs(placed: DataFrame, nodes: DataFrame, sets: DataFrame, similarity
             values = np.concatenate([p.column("short").flatten().to_numpy() for p in parts])
             common = _overlaps(values, np.repeat(np.arange(len(node)), weight), len(node))
             both = weight[:, None] + weight[None, :]
-            good = common >= similarity * (both - common) - 1e-3
+            good = common >= similarity * (both - common) - (1e-9 if forest else 1e-3)
             good &= np.minimum.outer(weight, weight) >= similarity * np.maximum.outer(weight, weight) - 1e-9
-            a, b = np.nonzero(good & (label[:, None] != label[None, :]) & (node[:, None] < node[None, :]))
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+            same = label[:, None] == label[None, :]
+            if forest:
+                a, b = _forest(good & ~same, same)
+            else:
+                a, b = np.nonzero(good & ~same & (node[:, None] < node[None, :]))
+            low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
         parts, current = [], None
         for batch in batches:
@@ -338,7 +362,8 @@ def close_pairs(placed: DataFrame, nodes: DataFrame, sets: DataFrame, similarity
     dealt = placed.join(buckets, ["band", "key"]).withColumn("own", own).select(
         "band", "key", "node", "label", "own", F.explode(others).alias("other"))
     cell = F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other"))
-    short = sets.select("node", F.transform("strips", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
+    strips = F.col("strips") if forest else F.transform("strips", lambda x: F.shiftright(x, 32).cast("int"))
+    short = sets.select("node", strips.alias("short"))
     cells = dealt.select(cell.alias("cell"), "node", "label").join(short, "node")
     return map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), meet, "a long, b long")
 

@@ -409,6 +409,34 @@ def test_close_pairs_cut_into_blocks(spark, monkeypatch):
     assert got == wanted and len(wanted) > 10
 
 
+def test_close_pairs_as_a_forest_connect_the_same_nodes(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    base = [int(v) for v in rng.integers(-(1 << 62), 1 << 62, 60)]
+    # three families; within one, all are similar
+    sets = [sorted({*base[20 * (i % 3) : 20 * (i % 3) + 20], 1000 + i}) for i in range(120)]
+    labels = [i if i % 4 else i % 3 for i in range(120)]
+    placed = spark.createDataFrame([(1, 3, i, labels[i]) for i in range(120)], "band int, key long, node long, label long")
+    nodes = spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "node long, weight long")
+    strips = spark.createDataFrame(list(enumerate(sets)), "node long, strips array<long>")
+    every = dart_minhash.close_pairs(placed, nodes, strips, 0.8).collect()
+    got = dart_minhash.close_pairs(placed, nodes, strips, 0.8, forest=True).collect()
+    assert {(r["a"], r["b"]) for r in got} <= {(r["a"], r["b"]) for r in every}
+    assert len(got) < 6 * 120 < len(every) / 2  # six cells at the most
+
+    def classes(pairs):
+        place = {label: label for label in labels}
+        while True:
+            before = dict(place)
+            for a, b in pairs:
+                x, y = place[labels[a]], place[labels[b]]
+                place = {k: min(x, y) if v in (x, y) else v for k, v in place.items()}
+            if place == before:
+                return place
+
+    assert classes([(r["a"], r["b"]) for r in got]) == classes([(r["a"], r["b"]) for r in every])
+
+
 def test_dart_ranks_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
