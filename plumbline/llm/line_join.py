@@ -7,7 +7,8 @@ probes the substrings that could match a line of its own length or up to t short
 they are cut into more segments, of which all but t must agree; where they are still many, the differing segments are
 cut again in the same way, down to single characters. Pairs that meet and agree in all but t of ``CHECKED`` segments
 are verified by the bit-parallel edit distance of the diagonal band, 2 t + 1 bits wide, in 64-bit integers, after their
-common ends are cut off. Equal lines are one entry, however often they occur.
+common ends are cut off. Equal lines are one entry, however often they occur. Lines travel as hashes: the texts of those
+that met some other line are looked up again in the documents, through a bitmap of bounded size.
 
 Lines shorter than 20 characters allow one edit and those shorter than 10 none (the shorter line of a pair decides),
 so that words are not taken for copies of each other.
@@ -19,7 +20,9 @@ comes first; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, landed
@@ -34,6 +37,8 @@ FINER = 6
 CHECKED = 20
 #: Lines of at least this share of all are joined apart.
 COMMON = 0.001
+#: Bits of a bitmap for each hash in it, and the power of two that it has at most.
+BITS, WIDEST = 16, 29
 #: A line allows one edit for each so many characters, up to EDITS.
 CHARS_PER_EDIT = 10
 
@@ -42,12 +47,9 @@ def _allowed(length: Column, edits: int) -> Column:
     return F.least(F.lit(edits), F.floor(length / CHARS_PER_EDIT)).cast("int")
 
 
-def _key(threshold: int, number: int, length: Column, part: Column) -> Column:
-    return F.xxhash64(F.lit(threshold), F.lit(number), length.cast("int"), part)
-
-
 def _keys(lines: DataFrame, specs: list[tuple[int, int, int, int]], edits: int) -> DataFrame:
-    """(id, gap, key) of lines (id, line, size) for each spec (threshold, gap, segment, shift) that applies."""
+    """(id, key, gap) of lines (id, line, size) for each spec (threshold, gap, segment, shift) that applies. A gap of -1
+    stands for the segments of the line itself, which are probes of gap 0 as well."""
     listed = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(s, ("t", "gap", "i", "shift")))) for s in specs))
     rows = lines.select("id", "line", "size", F.inline(listed)).withColumn("other", F.col("size") - F.col("gap"))
     rows = rows.filter(_allowed(F.col("other"), edits) == F.col("t"))
@@ -55,13 +57,11 @@ def _keys(lines: DataFrame, specs: list[tuple[int, int, int, int]], edits: int)
     base, longer = F.floor(F.col("other") / count).cast("int"), F.col("other") % count
     start = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - count + longer) + F.col("shift")
     size = base + (F.col("i") >= count - longer).cast("int")
-    rows = rows.select("id", "line", "size", "t", "i", "gap", "other", start.alias("start"), size.alias("width"))
+    gap = F.when((F.col("gap") == 0) & (F.col("shift") == 0), -1).otherwise(F.col("gap"))
+    rows = rows.select("id", "line", "size", "t", "i", "other", gap.alias("gap"), start.alias("start"), size.alias("width"))
     rows = rows.filter("start >= 0 and start + width <= size")
-    return rows.select("id", "gap", F.xxhash64("t", "i", "other", F.substring("line", F.col("start") + 1, F.col("width"))).alias("key"))
-
-
-def _index_specs(edits: int) -> list[tuple[int, int, int, int]]:
-    return [(t, 0, i, 0) for t in range(1, edits + 1) for i in range(t + 1)]
+    piece = F.substring("line", F.col("start") + 1, F.col("width"))
+    return rows.select("id", F.xxhash64("t", "i", "other", piece).alias("key"), "gap")
 
 
 def _probe_specs(edits: int) -> list[tuple[int, int, int, int]]:
@@ -125,32 +125,27 @@ def _add(a: Column, b: Column) -> Column:
     return F.shiftleft(high.bitwiseAND(low32), 32).bitwiseOR(low.bitwiseAND(low32))
 
 
-def _gaps(lines: DataFrame, edits: int, most: int) -> DataFrame:
-    """Lines (id, line, size) once for each length up to ``most`` shorter that they are looked up with: + gap, t, within."""
-    listed = F.array(*(F.lit(gap) for gap in range(most + 1)))
-    rows = lines.select("id", "line", "size", F.explode(listed).alias("gap"))
-    return rows.select("*", _allowed(F.col("size") - F.col("gap"), edits).alias("t"), F.lit(0).cast("long").alias("within")).filter(
-        "t > 0 and gap <= t")
-
-
-def _finer_keys(rows: DataFrame, edits: int, probing: bool) -> DataFrame:
-    """(id, gap, t, key, line, size, last, a, b, left, right): rows (id, line, size, gap, t, within) cut into up to
-    FINER parts, with one key for all parts but t (a and b); ``line`` is then what these hold (``left`` and ``right``
-    are its hashes by part), and ``last`` says if they are single characters.
+def _finer_keys(rows: DataFrame, edits: int) -> DataFrame:
+    """(id, gap, t, key, line, size, last, a, b, left, right, indexed): rows (id, line, size, gap, t, within, indexed) cut
+    into up to FINER parts, with one key for all parts but t (a and b); ``line`` is then what these hold (``left`` and
+    ``right`` are its hashes by part), and ``last`` says if they are single characters. A row has many keys, so that rows
+    are dealt out before. All are probes; those ``indexed`` are also what probes look for.
 
     Edits touch at most t parts of the shorter line. What lies before the first of them stands at the same place
     in both lines, what lies after the last one is moved by the difference of lengths, and what lies between (for two
-    edits) by ``moved``. A line is probed for each place that the edits allow. Keys tell apart rows of different
-    ``within``, the key whose open parts are cut here.
+    edits) by ``moved``. A line is probed for each place that the edits allow, once where nothing lies between. Keys
+    tell apart rows of different ``within``, the key whose open parts are cut here.
     """
     moves = [(t, gap, moved) for t in range(1, edits + 1) for gap in range(t + 1) for moved in range(-1, 3)
-             if abs(moved) + abs(gap - moved) <= t and (moved == 0 or (probing and t == 2))]
+             if abs(moved) + abs(gap - moved) <= t and (moved == 0 or t == 2)]
     listed = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(g).alias("gap"), F.lit(m).alias("moved")) for t, g, m in moves))
     moved = F.transform(F.filter(listed, lambda m: (m["t"] == F.col("t")) & (m["gap"] == F.col("gap"))), lambda m: m["moved"])
-    rows = rows.withColumn("other", F.col("size") - F.col("gap")).withColumn("parts", F.least(F.lit(FINER), F.col("other")))
+    rows = rows.repartition("id", "gap", "within").withColumn("other", F.col("size") - F.col("gap"))
+    rows = rows.withColumn("parts", F.least(F.lit(FINER), F.col("other")))
     rows = rows.select("*", F.explode(moved).alias("moved"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - F.col("t"))).alias("a"))
-    second = F.when(F.col("t") == 1, F.array("a")).otherwise(F.sequence(F.col("a") + 1, F.col("parts") - 1))
+    second = F.when(F.col("t") == 1, F.array("a")).otherwise(
+        F.filter(F.sequence(F.col("a") + 1, F.col("parts") - 1), lambda b: (F.col("moved") == 0) | (b > F.col("a") + 1)))
     rows = rows.select("*", F.explode(second).alias("b"))
 
     def start(part: Column) -> Column:
@@ -170,11 +165,34 @@ def _finer_keys(rows: DataFrame, edits: int, probing: bool) -> DataFrame:
         "id", "gap", "t", F.xxhash64("within", "t", "other", "a", "b", before, between, after).alias("key"),
         F.concat(left, right).alias("line"), (F.col("other") <= FINER).alias("last"),
         "a", "b", F.xxhash64(left).alias("left"), F.xxhash64(right).alias("right"),
+        (F.col("indexed") & (F.col("gap") == 0) & (F.col("moved") == 0)).alias("indexed"),
     ).withColumn("size", F.char_length("line"))
 
 
-def _meetings(lines: DataFrame, edits: int) -> DataFrame:
-    """(other, id): the pairs of lines (id, line, size) to compare, ``other`` not the shorter.
+def _first_meetings(lines: DataFrame, edits: int) -> DataFrame:
+    """(other, id, gap, large, indexed): lines that meet in a key, and, with ``large`` and without id, each line in a key
+    that more than FEW have; ``indexed`` if it is one of these.
+
+    One shuffle of the keys does both: what a key holds is counted up to FEW + 1 and met within its group. ``lines`` may
+    name a line more than once.
+    """
+    same = Window.partitionBy("key")
+    order = same.orderBy("gap", "id")
+    keys = _keys(lines, _probe_specs(edits), edits).withColumn("nth", F.dense_rank().over(order))
+    # ranked in the order of the key's rows, so that a repeated row stands next to its like
+    once = keys.withColumn("before", F.lag("nth").over(order)).filter("before is null or before < nth")
+    first = F.when((F.col("gap") < 0) & (F.col("nth") <= FEW + 1), F.col("id"))
+    met = once.withColumn("held", F.collect_set(first).over(same)).withColumn("large", F.size("held") > FEW)
+    fresh = F.filter("held", lambda q: (F.col("gap") > 0) | (q < F.col("id")))
+    found = F.when(F.col("large"), F.array(F.lit(None).cast("long"))).otherwise(fresh)
+    return met.select(
+        F.col("id").alias("other"), "gap", "large", F.explode(found).alias("id")
+    ).withColumn("indexed", F.col("gap") < 0).withColumn("gap", F.greatest("gap", F.lit(0)))
+
+
+def _meetings(lines: DataFrame, texts: Callable[[DataFrame, str], DataFrame], edits: int) -> DataFrame:
+    """(other, id): the pairs of lines (id, line, size) to compare, ``other`` not the shorter; ``texts`` gives the lines
+    of ids, each once.
 
     A probe meets all lines of a key that has up to FEW of them. The lines and probes of larger keys are cut into more
     parts, of which all but ``edits`` have to agree, and of keys that are large then, the parts that need not agree are
@@ -182,29 +200,46 @@ def _meetings(lines: DataFrame, edits: int) -> DataFrame:
     places. Those of a last key have one length and differ in ``edits`` characters at most, so that its size is bounded
     by the alphabet and its pairs of equal length are links.
     """
-    index = _keys(lines, _index_specs(edits), edits).select("id", "key")
-    probe = _keys(lines, _probe_specs(edits), edits)
-    large = _large(index)
-    met = [_met(index, probe, large)]
-    if not large.isEmpty():
-        held = [landed(rows.join(large, "key", "left_semi").select("id").distinct(), "crowded") for rows in (index, probe)]
-        crowded = [landed(lines.join(ids, "id", "left_semi"), "crowded-lines") for ids in held]
-        rows = [_gaps(crowded[0], edits, 0), _gaps(crowded[1], edits, edits)]
+    first = landed(_first_meetings(lines, edits), "meetings")
+    met = [first.filter("not large").select("other", "id")]
+    in_large = landed(
+        first.filter("large").groupBy(F.col("other").alias("id"), "gap").agg(F.bool_or("indexed").alias("indexed")), "crowded")
+    if not in_large.isEmpty():
+        held = texts(in_large.select("id").distinct(), "crowded-lines")
+        rows = held.join(in_large, "id").select(
+            "id", "line", "size", "gap", _allowed(F.col("size") - F.col("gap"), edits).alias("t"), F.lit(0).cast("long").alias("within"), "indexed")
         while True:
-            index, probe = (_finer_keys(r, edits, probing) for r, probing in zip(rows, (False, True)))
+            probe = landed(_finer_keys(rows, edits), "finer-keys")
+            index = probe.filter("indexed")
             large = _large(index.filter(~F.col("last")))
             met.append(_met(index, probe, large, _once()))
             if large.isEmpty():
                 break
             open_keys = _first_keys(probe, large)
-            rows = [landed(r.join(open_keys, "key", "left_semi").select("id", "line", "size", "gap", "t", F.col("key").alias("within"))
-                           .distinct(), "open-parts") for r in (index, probe)]
+            rows = landed(probe.join(open_keys, "key", "left_semi").groupBy(
+                "id", "line", "size", "gap", "t", F.col("key").alias("within")).agg(F.bool_or("indexed").alias("indexed")), "open-parts")
     pairs = met[0]
     for more in met[1:]:
         pairs = pairs.unionByName(more)
     return pairs.distinct()
 
 
+def _among(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``name`` is a hash in ``ids`` (id), and few others: those that a broadcast bitmap cannot tell apart."""
+    bits = 1 << min(WIDEST, max(15, (BITS * ids.count()).bit_length()))
+
+    def place(x: str) -> Column:
+        return F.pmod(x, F.lit(bits)) + 1
+
+    marks = ids.select(
+        F.bitmap_bucket_number(place("id")).alias("bucket"), F.bitmap_bit_position(place("id")).alias("at")
+    ).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    at = F.bitmap_bit_position(place(name))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("bucket", F.bitmap_bucket_number(place(name))).join(F.broadcast(marks), "bucket")
+    return found.filter(F.bit_get(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _large(index: DataFrame) -> DataFrame:
     return landed(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("key"), "large-keys")
 
@@ -225,11 +260,11 @@ def _first_keys(probe: DataFrame, large: DataFrame) -> DataFrame:
     return landed(varies.filter((F.col("t") == 1) | first).select("key"), "open-keys")
 
 
-def _met(index: DataFrame, probe: DataFrame, large: DataFrame, where: Column | None = None) -> DataFrame:
+def _met(index: DataFrame, probe: DataFrame, large: DataFrame, where: Column) -> DataFrame:
     """(other, id) of probes and lines with one key that is not ``large``; lines of equal length meet once."""
     near = index.join(large, "key", "left_anti").alias("q")
     fresh = (F.col("p.gap") > 0) | (F.col("q.id") < F.col("p.id"))
-    on = (F.col("p.key") == F.col("q.key")) & fresh & (F.lit(True) if where is None else where)
+    on = (F.col("p.key") == F.col("q.key")) & fresh & where
     return probe.alias("p").join(near, on).select(F.col("p.id").alias("other"), F.col("q.id").alias("id"))
 
 
@@ -313,26 +348,30 @@ def shared_lines(
     seen = landed(
         lines.filter(worded | (F.col("line_no").isNull()) | (F.col("line_no") == 0)).withColumns(mark)
         .select("doc_id", "row", F.when(worded, F.col("line_no")).alias("line_no"), "h1", "h2"), "lines")
-    distinct = landed(
-        lines.filter(worded).select("line").withColumns(mark).groupBy("h1", "h2")
-        .agg(F.first("line").alias("line"), F.count("*").alias("n"))
-        .withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.char_length("line")), "distinct-lines")
-    pairs = landed(_meetings(distinct.select("id", "line", "size"), edits), "line-pairs")
-    wanted = pairs.select(F.col("id").alias("w")).union(pairs.select("other")).distinct()
-    texts = landed(distinct.select("id", "line").join(wanted, F.col("id") == F.col("w"), "left_semi"), "line-texts")
-    longer = texts.select(F.col("id").alias("other"), F.col("line").alias("p"))
-    links = landed(
-        within(pairs.join(longer, "other").join(texts.withColumnRenamed("line", "q"), "id"), edits)
-        .select(F.col("id").alias("a"), F.col("other").alias("b")), "line-links")
+    repeated = landed(
+        seen.filter("line_no is not null").groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
+        .withColumn("alone", -1 - F.monotonically_increasing_id()), "repeated-lines")
+    every = docs.select(F.explode(F.split(column(text), "\n", -1)).alias("line")).filter(worded).withColumns(mark)
+
+    def texts(ids: DataFrame, label: str) -> DataFrame:
+        near = _among(every, "h1", ids).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+        return landed(near.withColumn("id", F.col("h1")).join(ids, "id", "left_semi").withColumn("size", F.char_length("line")), label)
+
+    # an id is half of a line's mark; lines that share it are told apart when pairs are checked
+    pairs = landed(_meetings(_mostly_once(every, repeated, seen.count()), texts, edits), "line-pairs")
+    wanted = landed(pairs.select("id").union(pairs.select("other")).distinct(), "met-lines")
+    found = landed(texts(wanted, "line-texts").withColumn("number", F.monotonically_increasing_id()), "numbered-lines")
+    longer = found.select(F.col("id").alias("other"), F.col("number").alias("b"), F.col("line").alias("p"))
+    shorter = found.select("id", F.col("number").alias("a"), F.col("line").alias("q"))
+    both = pairs.join(longer, "other").join(shorter, "id").filter(F.char_length("p") >= F.char_length("q"))
+    links = landed(within(both, edits).select("a", "b"), "line-links")
     labels = components(links) if not links.isEmpty() else spark.createDataFrame([], "node long, label long")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    linked = landed(labels.join(degree, "node").withColumnRenamed("node", "id"), "line-labels")
+    linked = labels.join(degree, "node").join(found.select(F.col("number").alias("node"), "h1", "h2"), "node")
     # lines that occur once and have no link are their own class; only the others are looked up
-    alone = distinct.filter("n > 1").join(linked, "id", "left_anti").select(
-        "h1", "h2", F.lit(0).cast("long").alias("links"), F.col("id").alias("class"), "n")
-    near = distinct.select("id", "h1", "h2", "n").join(linked, "id").select(
-        "h1", "h2", "links", F.col("label").alias("class"), "n")
-    known = landed(alone.unionByName(near), "shared-lines")
+    known = landed(repeated.join(linked, ["h1", "h2"], "full_outer").select(
+        "h1", "h2", F.coalesce("links", F.lit(0).cast("long")).alias("links"),
+        F.coalesce("label", "alone").alias("class"), F.coalesce("n", F.lit(1).cast("long")).alias("n")), "shared-lines")
     placed = landed(_placed(seen.filter("line_no is not null"), known), "placed-lines")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line_no")
     kept = placed.groupBy("class").agg(F.min(order).alias("best")).select("best.row", "best.line_no", F.lit(True).alias("first"))
@@ -341,6 +380,16 @@ def shared_lines(
     return seen.drop("h1", "h2"), found
 
 
+def _mostly_once(every: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+    """Lines (id, line, size); those that make up a share of ``COMMON`` of all are named once, others as they occur."""
+    common = landed(repeated.filter(F.col("n") > COMMON * total).select("h1", "h2"), "common-lines")
+    lines = every
+    if not common.isEmpty():
+        one = landed(every.join(F.broadcast(common), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")), "common-texts")
+        lines = every.join(F.broadcast(common), ["h1", "h2"], "left_anti").unionByName(one)
+    return lines.select(F.col("h1").alias("id"), "line", F.char_length("line").alias("size"))
+
+
 def _placed(seen: DataFrame, known: DataFrame) -> DataFrame:
     """The occurrences of the lines of ``known``; lines that make up a share of ``COMMON`` of all, of which there are
     1 / COMMON at most, are broadcast, so that no task gets all occurrences of one."""

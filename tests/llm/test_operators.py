@@ -189,6 +189,33 @@ def test_line_join(spark, corpus):
     assert line_join.duplicate_lines(empty(spark)).count() == 0
 
 
+def test_line_join_keeps_texts_of_lines_that_meet_only(spark, monkeypatch):
+    rng = random.Random(3)
+    lines = [passage(rng, 12) for _ in range(300)]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    rows += [(500, lines[0][:-1] + "?"), (501, lines[1] + "?"), (502, lines[1])]
+    kept, landed = [], line_join.landed
+
+    def watched(df, label):
+        table = landed(df, label)
+        if {"line", "text", "p"} & set(table.columns):
+            kept.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_join, "landed", watched)
+    got = {r["doc_id"]: (r["n_links"], r["n_removed"]) for r in line_join.duplicate_lines(docs_of(spark, rows)).collect()}
+    assert {i: x for i, x in got.items() if x != (0, 0)} == {0: (1, 0), 500: (1, 1), 1: (1, 0), 501: (1, 1), 502: (1, 1)}
+    assert kept and max(kept) < 20
+
+
+def test_line_join_finds_all_among_marked_hashes(spark):
+    ids = spark.createDataFrame([(x,) for x in (-(1 << 63), (1 << 63) - 1, -1, 0, 1, 7, 8, 32767, 32768, 123456789)], "id long")
+    rows = spark.createDataFrame([(r["id"], "x") for r in ids.collect()] + [(1000 + x, "y") for x in range(2000)], "h long, of string")
+    got = [r["of"] for r in line_join._among(rows, "h", ids).collect()]
+    assert got.count("x") == 10 and got.count("y") < 20
+    assert line_join._among(rows, "h", ids.limit(0)).count() == 0
+
+
 def test_line_quality_counts_and_verdicts(spark, corpus):
     clean = "\n".join(passage(random.Random(i), 12).capitalize() + "." for i in range(10))
     junk = "\n".join(f"{w}*** {w[::-1]}### %%% &&&" for w in ("alpha", "beta", "gamma", "delta", "omega", "sigma"))
