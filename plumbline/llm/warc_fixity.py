@@ -52,11 +52,23 @@ def record_text(page_id: Column, url: Column, html: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, records: int = RECORDS, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Write the pages as WARC files, one for each archive, in order of page id, below ``path``."""
+    _write(_dealt(pages, F.lit(False), records, page_id, url, html), path)
+
+
+def _dealt(pages: DataFrame, wrong: Column, records: int, page_id: str, url: str, html: str) -> DataFrame:
+    """(archive, id, tie, url, html, wrong): the pages, those of one archive in one task; ``tie`` orders pages of one id."""
     p, u, h = column(page_id), column(url), column(html)
-    rows = pages.select(
-        archive_number(p, u, h, records).alias("archive"), p.alias("__page"), F.xxhash64(u, h).alias("__tie"), record_text(p, u, h).alias("value"))
-    ordered = rows.repartition("archive").sortWithinPartitions("archive", "__page", "__tie")
-    ordered.select("archive", "value").write.partitionBy("archive").option("lineSep", _END).option("compression", "gzip").text(path)
+    return pages.select(
+        archive_number(p, u, h, records).alias("archive"), p.alias("id"), F.xxhash64(u, h).alias("tie"),
+        u.alias("url"), h.alias("html"), wrong.alias("wrong")).repartition("archive")
+
+
+def _write(dealt: DataFrame, path: str, *folders: str) -> None:
+    """Write dealt pages as WARC files, one for each archive, below a folder for each value of the columns ``folders``."""
+    by = [*folders, "archive"]
+    rows = dealt.select(*by, "id", "tie", record_text(F.col("id"), F.col("url"), F.col("html")).alias("value"))
+    ordered = rows.sortWithinPartitions(*by, "id", "tie").select(*by, "value")
+    ordered.write.partitionBy(*by).option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def _unpacked(packed: bytes) -> tuple[bytes, bool]:
@@ -201,10 +213,13 @@ def audited(spark: SparkSession, first: str, second: str) -> DataFrame:
 
 
 def replicated(pages: DataFrame, damage: Column, html: str = "html") -> tuple[str, str]:
-    """Two replicas of the pages as archives; in the second the first character of pages under ``damage`` is wrong."""
-    spark = pages.sparkSession
-    paths = fresh_path(spark, "replica"), fresh_path(spark, "replica")
-    write_archives(pages, paths[0])
-    wrong = F.when(damage & (F.char_length(column(html)) > 0), F.overlay(column(html), F.lit("~"), F.lit(1))).otherwise(column(html))
-    write_archives(pages.withColumn(html, wrong), paths[1])
-    return paths
+    """Two replicas of the pages as archives; in the second the first character of pages under ``damage`` is wrong.
+
+    Pages are shuffled once: the task that holds an archive's pages writes them to both replicas.
+    """
+    path = fresh_path(pages.sparkSession, "replicas")
+    dealt = _dealt(pages, damage & (F.char_length(column(html)) > 0), RECORDS, "page_id", "url", html)
+    twice = dealt.withColumn("replica", F.explode(F.array(F.lit(0), F.lit(1))))
+    wrong = F.when((F.col("replica") == 1) & F.col("wrong"), F.overlay("html", F.lit("~"), F.lit(1)))
+    _write(twice.withColumn("html", F.coalesce(wrong, "html")), path, "replica")
+    return f"{path}/replica=0", f"{path}/replica=1"

@@ -93,6 +93,24 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert warc_fixity.audit(a, a).count() == 0
 
 
+def test_replicas_come_of_one_pass_over_the_pages(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}") for i in range(1100)] + [(None, "u", "no id"), (1200, "v", None), (1201, "w", "")]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(html):
+        seen.add(1)
+        return html
+
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("html", counted("html"))
+    paths = warc_fixity.replicated(pages, F.coalesce(F.col("page_id") % 97 == 3, F.lit(True)))
+    assert seen.value == len(rows)
+    got = warc_fixity.audited(spark, *paths).collect()
+    assert len(got) == len(rows)
+    assert {r["page_id"] for r in got if r["state"] == "changed"} == {None, *(i for i in range(1100) if i % 97 == 3)}
+    assert {r["state"] for r in got} == {"changed", "intact"}
+
+
 @pytest.mark.parametrize("damage", ["drop", "shorten", "length", "id", "flip", "trailer", "cut"])
 def test_audit_of_damaged_files(spark, tmp_path, damage):
     rng = random.Random(2)
