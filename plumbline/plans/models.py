@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..features.vectors import vector, width
+from .network import fit_perceptron
 
 _VECTOR = "__vector"
 
@@ -42,15 +43,15 @@ def fit_network(
     train: DataFrame, hidden: tuple[int, ...] = (256, 64), max_iter: int = 30, seed: int = 42
 ) -> Model:
     """A dense network with two outputs."""
-    inputs = train.agg(F.max(width(train)).alias("d")).first()["d"]
+    found = train.agg(F.max(width(train)).alias("d"), F.count("*").alias("n")).first()
     learner = MultilayerPerceptronClassifier(
         featuresCol=_VECTOR,
         labelCol="label",
-        layers=[inputs, *hidden, 2],
+        layers=[found["d"], *hidden, 2],
         maxIter=max_iter,
         seed=seed,
     )
-    return learner.fit(with_vector(train))
+    return fit_perceptron(learner, train, with_vector(train), found["n"])
 
 
 def predict(model: Model, df: DataFrame) -> DataFrame:
