@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..features.vectors import vector, width
+from ..features.vectors import vector
 from .network import fit_perceptron
 
 _VECTOR = "__vector"
@@ -43,15 +42,10 @@ def fit_network(
     train: DataFrame, hidden: tuple[int, ...] = (256, 64), max_iter: int = 30, seed: int = 42
 ) -> Model:
     """A dense network with two outputs."""
-    found = train.agg(F.max(width(train)).alias("d"), F.count("*").alias("n")).first()
     learner = MultilayerPerceptronClassifier(
-        featuresCol=_VECTOR,
-        labelCol="label",
-        layers=[found["d"], *hidden, 2],
-        maxIter=max_iter,
-        seed=seed,
+        featuresCol=_VECTOR, labelCol="label", maxIter=max_iter, seed=seed
     )
-    return fit_perceptron(learner, train, with_vector(train), found["n"])
+    return fit_perceptron(learner, hidden, 2, train, with_vector(train))
 
 
 def predict(model: Model, df: DataFrame) -> DataFrame:

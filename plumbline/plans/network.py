@@ -28,20 +28,21 @@ TASK = 1 << 17  # rows of a task, about; tasks come in multiples of the cores
 CELLS = 1 << 22  # numbers that rows take at most while they are spread out
 PIECE = 1 << 13  # sums that are added up together
 
-PACKED = "counts binary, places binary, numbers binary, labels binary"
+PACKED = "width int, counts binary, places binary, numbers binary, labels binary"
 _SUMS = "piece int, part int, sums binary"
 _TOTALS = "piece int, sums binary"
 
 
 def fit_perceptron(
-    learner: MultilayerPerceptronClassifier, train: DataFrame, vectors: DataFrame, count: int
+    learner: MultilayerPerceptronClassifier, hidden: Sequence[int], classes: int, train: DataFrame, vectors: DataFrame
 ) -> MultilayerPerceptronClassificationModel:
-    """What ``learner.fit(vectors)`` gives. ``train`` has the same rows, ``count`` in number, with ``features`` and
-    ``label``."""
-    layers = learner.getLayers()
+    """What ``learner.fit(vectors)`` gives with layers from the features' width through ``hidden`` to ``classes``. ``train``
+    has the same rows with ``features`` and ``label``."""
     ship(train.sparkSession)
-    packed = pack(train, layers[0], layers[-1], learner.getBlockSize(), count).persist(StorageLevel.MEMORY_AND_DISK)
+    packed = pack(train, classes, learner.getBlockSize(), train.count()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        layers = [_width(packed), *hidden, classes]
+        learner.setLayers(layers)
         weights, history = minimize(
             lambda w: objective(packed, layers, w),
             first_weights(learner, vectors.sparkSession),
@@ -66,10 +67,18 @@ def first_weights(learner: MultilayerPerceptronClassifier, spark) -> np.ndarray:
     return learner.copy({learner.maxIter: 0}).fit(two).weights.toArray()
 
 
-def pack(train: DataFrame, width: int, classes: int, block: int, count: int) -> DataFrame:
+def _width(packed: DataFrame) -> int | None:
+    least, most = packed.agg(F.min("width"), F.max("width")).first()
+    if least != most:
+        raise ValueError(f"features are {least} to {most} wide")
+    return most
+
+
+def pack(train: DataFrame, classes: int, block: int, count: int) -> DataFrame:
     """One row for each block of rows that are neighbours in a partition, evenly dealt to the tasks.
 
-    A block holds how many numbers each row has, their places (none for rows without gaps), the numbers and the labels.
+    A block holds the features' width, how many numbers each row has, their places (none for rows without gaps), the numbers
+    and the labels.
     """
     sparse = is_sparse(train)
 
@@ -79,17 +88,17 @@ def pack(train: DataFrame, width: int, classes: int, block: int, count: int) ->
             rows = batch if rest is None else pa.concat_batches([rest, batch])
             whole = rows.num_rows // block * block
             if whole:
-                yield _blocks(rows.slice(0, whole), width, classes, block, sparse)
+                yield _blocks(rows.slice(0, whole), classes, block, sparse)
             rest = rows.slice(whole)
         if rest is not None and rest.num_rows:
-            yield _blocks(rest, width, classes, block, sparse)
+            yield _blocks(rest, classes, block, sparse)
 
     cores = train.sparkSession.sparkContext.defaultParallelism
     tasks = max(1, -(-count // (TASK * cores))) * cores
     return train.select("features", "label").mapInArrow(packed, PACKED).repartition(tasks)
 
 
-def _blocks(rows: pa.RecordBatch, width: int, classes: int, block: int, sparse: bool) -> pa.RecordBatch:
+def _blocks(rows: pa.RecordBatch, classes: int, block: int, sparse: bool) -> pa.RecordBatch:
     features, label = rows.column("features"), rows.column("label")
     if features.null_count:
         raise ValueError("features must not be null")
@@ -108,8 +117,8 @@ def _blocks(rows: pa.RecordBatch, width: int, classes: int, block: int, sparse:
         places = features.field("indices").flatten().to_numpy(zero_copy_only=False).astype(np.int32)
     else:
         sizes, places = counts, np.empty(0, np.int32)
-    if (sizes != width).any():
-        raise ValueError(f"features must be {width} wide")
+    if (sizes != sizes[0]).any():
+        raise ValueError("features must be of one width")
     ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
     columns: list[list[bytes]] = [[], [], [], []]
     for first in range(0, len(labels), block):
@@ -119,7 +128,8 @@ def _blocks(rows: pa.RecordBatch, width: int, classes: int, block: int, sparse:
         for column, part in zip(columns, parts):
             column.append(part.tobytes())
     names = [c.split()[0] for c in PACKED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=names)
+    width = pa.array([sizes[0]] * len(columns[0]), pa.int32())
+    return pa.RecordBatch.from_arrays([width, *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
 
 def objective(packed: DataFrame, layers: Sequence[int], weights: np.ndarray) -> tuple[float, np.ndarray]:

@@ -63,7 +63,7 @@ def test_same_steps_as_the_learner(spark, sparse, tmp_path):
 def test_rows_of_one_partition_are_dealt_to_all_tasks(spark):
     train = rows_of(spark, 20000, 1)
     cores = spark.sparkContext.defaultParallelism
-    packed = pack(train, 5, 2, 128, 20000)
+    packed = pack(train, 2, 128, 20000)
     sizes = [r["n"] for r in packed.groupBy(F.spark_partition_id()).agg(F.sum(F.length("labels") / 4).alias("n")).collect()]
     assert sum(sizes) == 20000 and len(sizes) == cores
     assert max(sizes) - min(sizes) <= 256
@@ -85,7 +85,7 @@ def test_gradient_agrees_with_differences(spark):
     layers = [5, 4, 3, 2]
     count = sum((i + 1) * o for i, o in zip(layers, layers[1:]))
     weights = np.random.default_rng(3).normal(size=count)
-    packed = pack(rows_of(spark, 500, 3, True), 5, 2, 128, 500).cache()
+    packed = pack(rows_of(spark, 500, 3, True), 2, 128, 500).cache()
     _, grad = objective(packed, layers, weights)
     for at in (0, 7, 23, count - 1):
         step = np.zeros(count)
@@ -101,7 +101,7 @@ def test_steps_cut_blocks_anywhere(monkeypatch):
     weights = rng.normal(size=4 * 4 + 5 * 3)
     features = pa.array(rng.normal(size=(n, 3)).tolist(), pa.list_(pa.float64()))
     rows = pa.RecordBatch.from_arrays([features, pa.array(rng.integers(0, 3, n).astype(float))], names=["features", "label"])
-    blocks = _blocks(rows, 3, 3, 128, False)
+    blocks = _blocks(rows, 3, 128, False)
     assert blocks.num_rows == 3
     found = []
     for step in (7, 128, 1000):
@@ -130,7 +130,16 @@ def test_rows_that_cannot_be_learned_are_errors(features, label):
         names=["features", "label"],
     )
     with pytest.raises(ValueError):
-        _blocks(rows, 2, 2, 128, False)
+        _blocks(rows, 2, 128, False)
+
+
+def test_partitions_of_features_of_different_width_are_an_error(spark):
+    wide = spark.range(0, 8, 1, 2).select(
+        F.when(F.col("id") < 4, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("features"),
+        (F.col("id") % 2).cast("double").alias("label"),
+    )
+    with pytest.raises(ValueError, match="1 to 2 wide"):
+        fit_network(wide, (3,))
 
 
 def test_optimiser_finds_the_minimum_and_keeps_its_limits():
